@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sketchloom.llm import fingerprints, substring_dedup
+from sketchloom.llm import additive_quantisation, fingerprints, substring_dedup
 
 QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op8_fingerprints": fingerprints.op8_fingerprints,
+    "op10_additive_quantisation": additive_quantisation.op10_additive_quantisation,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
