@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sketchloom.llm import additive_quantisation, fingerprints, substring_dedup
+from sketchloom.llm import additive_quantisation, fingerprints, sentencepiece_codec, substring_dedup
 
 QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op8_fingerprints": fingerprints.op8_fingerprints,
+    "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_additive_quantisation": additive_quantisation.op10_additive_quantisation,
 }
 
