@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from sketchloom.llm import additive_quantisation, fingerprints, sentencepiece_codec, substring_dedup
+from sketchloom.llm import additive_quantisation, fingerprints, label_propagation, mixing, sentencepiece_codec, substring_dedup
 
 QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_label_propagation": label_propagation.op4_label_propagation,
+    "op5_mixing": mixing.op5_mixing,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_additive_quantisation": additive_quantisation.op10_additive_quantisation,
