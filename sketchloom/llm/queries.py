@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sketchloom.llm import additive_quantisation, fingerprints, label_propagation, mixing, sentencepiece_codec, substring_dedup
+from sketchloom.llm import additive_quantisation, fingerprints, grammar_tokens, label_propagation, mixing, sentencepiece_codec, substring_dedup
 
 QUERIES = {
+    "op1_grammar_tokens": grammar_tokens.op1_grammar_tokens,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_label_propagation": label_propagation.op4_label_propagation,
     "op5_mixing": mixing.op5_mixing,
