@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sketchloom.llm import additive_quantisation, fingerprints, grammar_tokens, label_propagation, mixing, sentencepiece_codec, substring_dedup
+from sketchloom.llm import additive_quantisation, fingerprints, grammar_tokens, label_propagation, mixing, sentencepiece_codec, substring_dedup, toxic_passages
 
 QUERIES = {
     "op1_grammar_tokens": grammar_tokens.op1_grammar_tokens,
+    "op2_toxic_passages": toxic_passages.op2_toxic_passages,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_label_propagation": label_propagation.op4_label_propagation,
     "op5_mixing": mixing.op5_mixing,
