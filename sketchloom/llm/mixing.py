@@ -116,10 +116,14 @@ def route(patterns: list[tuple[frozenset[int], int]], wanted: list[int], repeats
     return [sum(net.room[e ^ 1] for e in arcs) for arcs in first]
 
 
-def _sizes(batches):
-    for batch in batches:
-        n = [0 if t is None else len(t.encode("utf-8", "surrogatepass").split()) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in batch.schema.names if k != "text"), pa.array(n, pa.int64())], [*(k for k in batch.schema.names if k != "text"), "size"])
+def _sizes(column: str):
+    def run(batches):
+        for batch in batches:
+            n = [0 if t is None else len(t.encode("utf-8", "surrogatepass").split()) for t in batch.column(column).to_pylist()]
+            names = [k for k in batch.schema.names if k != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(n, pa.int64())], [*names, "size"])
+
+    return run
 
 
 def mix(docs: DataFrame, keys: list[str], sources: str = "sources", weights: tuple[int, ...] = WEIGHTS, repeats: int = 2, seed: int = 11) -> DataFrame:
@@ -130,9 +134,9 @@ def mix(docs: DataFrame, keys: list[str], sources: str = "sources", weights: tup
     names = F.array_sort(F.array_distinct(F.transform(F.col(sources), lambda x: F.when(x.isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), x)))))
     first = F.get(F.col(sources), 0)
     kept = docs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], names.alias("pattern"), F.when(first.isNull(), "n").otherwise(F.concat(F.lit("a"), first)).alias("own"),
-                       F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)).alias("h"), "text")
+                       F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)).alias("h"), *([] if "text" in keys else ["text"]))
     fields = [f for f in kept.schema.fields if f.name != "text"]
-    sized = c.table(kept.mapInArrow(_sizes, T.StructType([*fields, T.StructField("size", T.LongType())])), "sized")
+    sized = c.table(kept.mapInArrow(_sizes(f"k{keys.index('text')}" if "text" in keys else "text"), T.StructType([*fields, T.StructField("size", T.LongType())])), "sized")
     totals = sized.groupBy("pattern").agg(F.sum("size").alias("size")).orderBy("pattern").limit(MAX_PATTERNS + 1).collect()
     if len(totals) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -163,6 +167,15 @@ def mix(docs: DataFrame, keys: list[str], sources: str = "sources", weights: tup
     return clear.unionByName(ranked).select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "size", "source_size", "target", (F.col("size") * (F.col("times") + F.col("extra"))).alias("taken"))
 
 
+def repeat_mixed(docs: DataFrame, source: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, each as often as the mix takes it."""
+    names = docs.columns
+    plan = mix(docs.select("*", F.array(source).alias("membership of the row")), names, "membership of the row")
+    times = F.when(F.col("size taken") > 0, F.expr("`words taken` div `size taken`")).otherwise(0).cast("int")
+    own = plan.toDF(*names, "size taken", "source size", "target words", "words taken")
+    return own.select(*names, F.explode(F.array_repeat(F.lit(1), times)).alias("once")).select(*names)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs.select("doc_id", "text", F.array("source").alias("sources")), ["doc_id"])

@@ -193,6 +193,25 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return rows.join(spans, "rid", "left").mapInArrow(_removal(width), OUT)
 
 
+def strip_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs``, all columns as they are but ``text`` (and ``n_chars``) of what is kept."""
+    c.check_columns(docs, "doc_id", "text")
+    names = docs.columns
+    spans = repeated_windows(docs, width).groupBy("rid").agg(F.collect_set(F.struct("first", "mask")).alias("spans"))
+    whole = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text", F.struct(*names).alias("row"))
+    own = whole.join(spans, "rid", "left")
+
+    def run(batches):
+        for batch in batches:
+            texts = pa.Table.from_batches([b.select(["kept_text"]) for b in removal(iter([batch]))]).combine_chunks().column(0)
+            row = batch.column("row")
+            out = [texts.combine_chunks() if n == "text" else pa.compute.utf8_length(texts.combine_chunks()).cast(pa.int64()) if n == "n_chars" else row.field(i) for i, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    removal = _removal(width)
+    return own.mapInArrow(run, docs.schema)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = remove_repeats(docs)
