@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sketchloom.llm import additive_quantisation, fingerprints, grammar_tokens, label_propagation, lsh_forest, mixing, sentencepiece_codec, substring_dedup, toxic_passages
+from sketchloom.llm import additive_quantisation, byte_cnn, fingerprints, grammar_tokens, label_propagation, lsh_forest, mixing, sentencepiece_codec, substring_dedup, toxic_passages
 
 QUERIES = {
     "op1_grammar_tokens": grammar_tokens.op1_grammar_tokens,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_label_propagation": label_propagation.op4_label_propagation,
     "op5_mixing": mixing.op5_mixing,
+    "op6_byte_cnn": byte_cnn.op6_byte_cnn,
     "op7_lsh_forest": lsh_forest.op7_lsh_forest,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
