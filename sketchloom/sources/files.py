@@ -18,7 +18,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    row = spark.read.option("wholetext", True).text(path).first()
+    row = spark.read.text(path, wholetext=True).first()
     return row[0] if row else ""
 
 
@@ -26,7 +26,7 @@ def user_bins(spark: SparkSession, path: str) -> DataFrame:
     """(ub_id, files): one line a user bin; files split by single spaces up to the first tab."""
     if not exists(spark, path):
         raise ValueError(f"The file {path} does not exist.")
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("ub_id", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("ub_id", "line"))
     out = lines.select(F.col("ub_id").cast("long"), F.split(F.substring_index("line", "\t", 1), " ").alias("files"))
     if out.isEmpty() or out.where(F.array_join("files", "") != "").isEmpty():
         raise ValueError(f"The file {path} appears to be empty.")
