@@ -63,7 +63,8 @@ class ByteCnn:
         top = (p.reshape(-1, p.shape[2]) @ self.filters).reshape(len(x), p.shape[1], -1).max(1)
         return np.maximum(top + self.bias, 0) @ self.out + self.out_bias
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.004, seed: int = 9) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.004, least_steps: int = 400, seed: int = 9) -> None:
+        epochs = max(epochs, -(-least_steps * batch // max(1, len(x))))
         rng = np.random.default_rng(seed)
         names = ["embed", "filters", "bias", "out", "out_bias"]
         first = {k: np.zeros_like(getattr(self, k)) for k in names}
