@@ -3,6 +3,9 @@
 * A token is a run of letters, lower-cased. Its weight is the log-odds of toxic against clean
   labelled documents under an informative Dirichlet prior (the corpus frequencies), kept if
   its z-score is significant; rare words fall back to their first 5 or 4 letters.
+  A toxic document counts for a token only as far as the token's neighbours differ (62-bit maps
+  of hashed contexts, merged by OR): else copies of one toxic document would make all its
+  words look toxic.
 * A neutral token costs ``drift``. All maximal scoring segments of a document are found in one
   linear scan (a stack of cumulative sums); only tokens with a weight are visited.
 * Extreme-value calibration: lambda solves E[exp(lambda s)] = 1 over clean tokens, K is
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,7 @@ Z_LEAST = 3.0
 DRIFT = 0.25
 MOST_WEIGHT = 6.0
 CACHE = 500_000
+CONTEXTS = 62  # bits of a non-negative long
 THRESHOLD = 0.3
 
 
@@ -70,6 +75,15 @@ class Weights(dict):
         return Weights, (self.table, self.counts)
 
 
+def contexts(bitmaps: list[int]) -> int:
+    """How many different contexts bitmaps of hashed contexts stand for (linear counting)."""
+    bits = 0
+    for m in bitmaps:
+        bits |= m
+    free = CONTEXTS - bits.bit_count()
+    return round(CONTEXTS * math.log(CONTEXTS / free)) if free else 1 << 60
+
+
 def log_odds(toxic: dict[str, int], clean: dict[str, int], n1: int, n0: int) -> dict[str, float]:
     """Weights of the significant features, from document counts."""
     out = {}
@@ -155,30 +169,42 @@ class Model:
         self.k = max(1e-6, (over + 0.5) / max(room, 1e-9))
         x = np.array([max(-10.0, min(self.evidence(n, f)[0], 40.0)) for n, f, _ in rows])
         y = np.array([r[2] for r in rows], float)
-        a, b = 0.1, 0.0
-        for _ in range(50):  # Newton's method for the logistic curve, slightly regularised
-            p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-            w = p * (1 - p)
-            g = np.array([((p - y) * x).sum() + 0.01 * a, (p - y).sum() + 0.01 * b])
-            h = np.array([[(w * x * x).sum() + 0.01, (w * x).sum()], [(w * x).sum(), w.sum() + 0.01]])
-            step = np.linalg.solve(h, g)
-            a, b = a - step[0], b - step[1]
-            if abs(step).max() < 1e-6:
+        # Penalised logistic regression: convex, and with a finite optimum for separable classes.
+        z = np.stack([x / 10, np.ones(len(x))], 1)
+        ridge = np.array([0.5, 0.01])
+        loss = lambda w: np.logaddexp(0, z @ w).sum() - (y * (z @ w)).sum() + (ridge * w * w).sum() / 2
+        w = np.zeros(2)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
+            grad = z.T @ (p - y) + ridge * w
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), grad)
+            size = 1.0
+            while size > 1e-6 and loss(w - size * step) > loss(w) - 1e-4 * size * (grad @ step):
+                size /= 2
+            w = w - size * step
+            if abs(size * step).max() < 1e-7:
                 break
+        a, b = w[0] / 10, w[1]
         self.curve = (max(0.0, float(a)), float(b))
 
 
 def _count(batches):
     for batch in batches:
         for part in c.slices(batch, "text"):
-            found: dict[tuple[str, int], list[int]] = {}
+            found: dict[str, list[int]] = {}
             for text, toxic, fold in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), part.column("fold").to_pylist()):
                 k = 2 * (fold == 3) + toxic
-                seen = {f for w in set(LETTERS.findall((text or "").lower())) for f in features(w)}
+                words = LETTERS.findall((text or "").lower())
+                seen = {f for w in set(words) for f in features(w)}
                 seen.add("")  # counts the documents
                 for f in seen:
-                    found.setdefault(f, [0, 0, 0, 0])[k] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(found)), *(pa.array([v[k] for v in found.values()], pa.int64()) for k in range(4))], ["f", "c0", "t0", "c3", "t3"])
+                    found.setdefault(f, [0] * 6)[k] += 1
+                if toxic:
+                    for a, w, b in zip(["", *words], words, [*words[1:], ""]):
+                        bit = 1 << (zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) % CONTEXTS)
+                        for f in features(w):
+                            found[f][4 + (fold == 3)] |= bit
+            yield pa.RecordBatch.from_arrays([pa.array(list(found)), *(pa.array([v[k] for v in found.values()], pa.int64()) for k in range(6))], ["f", "c0", "t0", "c3", "t3", "m0", "m3"])
 
 
 def remainder() -> F.Column:
@@ -193,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     # About `sample` rows of three numbers, whatever the corpus.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold")
-    sums = rows.mapInArrow(_count, "f string, c0 long, t0 long, c3 long, t3 long").groupBy("f").agg(*[F.sum(k).alias(k) for k in ("c0", "t0", "c3", "t3")])
+    sums = rows.mapInArrow(_count, "f string, c0 long, t0 long, c3 long, t3 long, m0 long, m3 long").groupBy("f").agg(*[F.sum(k).alias(k) for k in ("c0", "t0", "c3", "t3")], *[F.bit_or(k).alias(k) for k in ("m0", "m3")])
     counts = {r["f"]: r for r in sums.where(f"t0 + t3 >= {MIN_COUNT} or f = ''").orderBy(F.desc(F.col("t0") + F.col("t3")), "f").limit(200_000).collect()}
     n = counts.pop("", None)
     if n is None or not n["c0"] + n["c3"] or not n["t0"] + n["t3"]:
@@ -201,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(None, (n["t0"] + n["t3"]) / done if done else 0.0)
 
     def weights(keys):
-        toxic = {f: sum(r[f"t{k}"] for k in keys) for f, r in counts.items()}
+        toxic = {f: min(sum(r[f"t{k}"] for k in keys), contexts([r[f"m{k}"] for k in keys])) for f, r in counts.items()}
         clean = {f: sum(r[f"c{k}"] for k in keys) for f, r in counts.items()}
         n1, n0 = sum(n[f"t{k}"] for k in keys), sum(n[f"c{k}"] for k in keys)
         known = {f: v for f, v in toxic.items() if v + clean[f] >= MIN_COUNT}
