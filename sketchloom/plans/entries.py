@@ -6,8 +6,11 @@ import json
 import time
 from dataclasses import asdict, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sketchloom.config import IndexConfig, RunConfig, reconcile
 from sketchloom.functions import hll, kmers
@@ -43,9 +46,18 @@ def sketch(elements: DataFrame, bits: int) -> DataFrame:
 
 def packed_registers(elements: DataFrame) -> DataFrame:
     """(ub_id, regs): 4096 one-byte registers, for union estimates inside the optimiser."""
-    pairs = hll.registers(elements).groupBy("ub_id").agg(F.map_from_entries(F.collect_list(F.struct("reg", "rank"))).alias("m"))
-    bytes_ = F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda r: F.lpad(F.hex(F.coalesce(F.get(F.array(F.element_at("m", r)), 0), F.lit(0)).cast("long")), 2, "0"))
-    return pairs.select("ub_id", F.unhex(F.array_join(bytes_, "")).alias("regs"))
+    pairs = hll.registers(elements).groupBy("ub_id").agg(F.collect_list(F.struct("reg", "rank")).alias("pairs"))
+
+    def pack(batches):
+        for batch in batches:
+            out = []
+            for pairs in batch.column("pairs"):
+                row = np.zeros(4096, np.uint8)
+                row[pairs.values.field("reg").to_numpy()] = pairs.values.field("rank").to_numpy()
+                out.append(row.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("ub_id"), pa.array(out, pa.binary())], ["ub_id", "regs"])
+
+    return pairs.mapInArrow(pack, T.StructType([pairs.schema["ub_id"], T.StructField("regs", T.BinaryType())]))
 
 
 def search(spark: SparkSession, counts: DataFrame, cfg: IndexConfig, verbose: bool = False, force_all: bool = False, regs: DataFrame | None = None, sketches: DataFrame | None = None) -> tuple[Layout, int, str]:
