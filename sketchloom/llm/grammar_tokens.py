@@ -27,6 +27,7 @@ import os
 import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ BLOCK_TOKENS = 1 << 20
 ROUNDS, RULES_A_ROUND, MIN_COUNT = 8, 4096, 12
 LEAST_GAIN = 0.002  # a round that saves a smaller share of the symbols is the last
 SLOT_BITS = 17
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_200_000
 UNSAFE = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -62,28 +63,33 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, dict[str, int]] = {"": {}, " ": {}}
         self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _index(self, chunks: list[str]) -> np.ndarray:
-        fresh = list(dict.fromkeys(x for x in chunks if x not in self.known))
-        if fresh:
-            found = [e.ids for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)]
+    def _index(self, chunks: list[str], lead: str = "") -> np.ndarray:
+        """Where the ids of ``lead`` + chunk stand; what is not known yet is encoded."""
+        known = self.known[lead]
+        out = np.array([known.get(x, -1) for x in chunks], np.int64)
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            fresh = list(dict.fromkeys(chunks[i] for i in missing))
+            found = [e.ids for e in self.library.encode_batch_fast([lead + x for x in fresh] if lead else fresh, add_special_tokens=False)]
             size = np.fromiter(map(len, found), np.int64, len(found))
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-            self.flat = np.concatenate([self.flat, np.fromiter((x for ids in found for x in ids), np.uint32, int(size.sum()))])
+            known.update(zip(fresh, range(len(self.at) - 1, len(self.at) - 1 + len(fresh))))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
-        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+            out[missing] = [known[chunks[i]] for i in missing]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > CACHE_CHUNKS:
+        if len(self.at) > CACHE_CHUNKS:
             self._forget()
         rows = [t or "" for t in texts]
         plain = ["" if UNSAFE.search(t) else t for t in rows]
         words = pa.compute.split_pattern(pa.array(plain, pa.large_string()), " ")
         ends = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
         flat = words.flatten().dictionary_encode()
-        chunk = self._index([" " + w for w in flat.dictionary.to_pylist()])[flat.indices.to_numpy(zero_copy_only=False)]
+        chunk = self._index(flat.dictionary.to_pylist(), " ")[flat.indices.to_numpy(zero_copy_only=False)]
         chunk[ends[:-1]] = self._index([t.split(" ", 1)[0] for t in plain])
         n = self.at[chunk + 1] - self.at[chunk]
         stops = np.concatenate([[0], np.cumsum(n)])
@@ -236,7 +242,7 @@ def _tokens(path: str, bounds: list[int], end_id: int, kind: str):
     def run(batches):
         own = encoder(path)
         for batch in batches:
-            for part in c.slices(batch, "text", 2 << 20):
+            for part in c.slices(batch, "text"):
                 ids = own.encode(part.column("text").to_pylist())
                 keys = part.column("doc_id")
                 shard = np.searchsorted(edges, keys.fill_null(-(2**63)).to_numpy(), side="right").astype(np.int32)
