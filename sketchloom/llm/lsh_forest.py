@@ -9,11 +9,12 @@
 * First every class is compared with one class only: the leader (least node) that it shares
   most regions with. Confirmed links give components.
 * Regions that still hold several components are looked at again, split by further labels
-  (adaptive depth) while they have more than ``region`` members; there all pairs across
-  components whose sizes allow the similarity, and whose labels do not rule it out (4.5 sigma),
-  are confirmed. A region of one component gives no pair, so the pairs of a large group of near copies
-  are never listed. Only regions that are still too large at full depth are cut by hash, a
-  different cut in each tree.
+  (adaptive depth) while they have more than ``region`` members. In ``ROUNDS`` rounds, each on
+  other trees, every member tries the most alike class of another component that it has not tried yet, and
+  components are joined; then all pairs that are left across components, whose sizes allow the
+  similarity and whose labels do not rule it out (4.5 sigma), are confirmed. A region of one
+  component gives no pair, so the pairs of a large group of near copies are never listed. Only
+  regions that are still too large at full depth are cut by hash, differently in each tree.
 * A link is confirmed on the full sets, by ``percent * union <= 100 * intersection``.
   Components come from min-label propagation with pointer jumping, by joins over written
   tables.
@@ -38,6 +39,7 @@ from sketchloom.llm import common as c
 TREES, DEPTH, START = 24, 6, 4
 REGION = 256
 PERCENT = 80
+ROUNDS, BEST = 4, 4
 _draw = np.random.default_rng(77)
 FLIPS = _draw.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
 FACTORS = _draw.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -137,23 +139,37 @@ def _deeper(depth: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs across components in one region that size and labels do not rule out."""
+def _across(percent: int, best: int | None):
+    """Pairs across components in one region that size and labels do not rule out: all, or
+    for each member only its ``best`` most alike (then with ``node``, whose choice it is)."""
     least = percent / 100
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
+        # One byte of each minhash: unequal ones agree by chance once in 256.
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1).astype(np.uint8)
         node, n, comp = pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["comp"].to_numpy()
         cut = least - 4.5 * np.sqrt(least * (1 - least) / sig.shape[1])
-        a, b = [], []
-        for i in range(len(pdf) - 1):
-            rest = np.arange(i + 1, len(pdf))
-            rest = rest[(comp[rest] != comp[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
-            rest = rest[(sig[rest] == sig[i]).mean(1) >= cut] if len(rest) else rest
-            a.append(np.full(len(rest), node[i]))
-            b.append(node[rest])
-        a, b = np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*b, np.zeros(0, np.int64)]).astype(np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        found = []
+        for at in range(0, len(pdf), 64):  # blocks of rows against all
+            rows = slice(at, at + 64)
+            may = (comp[rows, None] != comp) & (100 * np.minimum(n[rows, None], n) >= percent * np.maximum(n[rows, None], n))
+            if not may.any():
+                continue
+            like = np.count_nonzero(sig[rows, None, :] == sig[None, :, :], axis=2).astype(np.float32) / sig.shape[1]
+            like[~may] = 0
+            like[like < cut] = 0
+            if best:
+                top = np.argsort(-like, 1, kind="stable")[:, :best]
+                i = np.repeat(np.arange(len(like)), top.shape[1])
+                j = top.ravel()
+            else:
+                i, j = np.nonzero(like)
+                i, j = i[at + i < j], j[at + i < j]
+            good = like[i, j] > 0
+            found.append((node[at + i[good]], node[j[good]], like[i[good], j[good]].astype(np.float64)))
+        found.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
+        one, two, like = (np.concatenate([f[k] for f in found]) for k in range(3))
+        return pd.DataFrame({"node": one, "a": np.minimum(one, two), "b": np.maximum(one, two), "like": like})
 
     return run
 
@@ -227,13 +243,33 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, shingle:
 
     texts = c.table(rows.select("node", "text").mapInArrow(exact, "node long, text string").dropDuplicates(["node"]), "texts")
     found = confirmed(first, texts, percent, shingle)
+    sigs = nodes.select("node", "n", "sig")
+    tested = c.table(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tested")
+    pairs = lambda rows, best: rows.join(sigs, "node").groupBy("key").applyInPandas(_across(percent, best), "node long, a long, b long, like double")
     comps = components(found)
-    # Regions that hold several components: who is in them, with sizes and labels.
-    place = members.join(comps, "node", "left").select("key", "tree", "m", "node", F.coalesce("comp", "node").alias("comp"))
-    place = c.table(place, "place")
+    for turn in range(ROUNDS):  # each round looks at other trees
+        ready = _torn(members.where(F.col("tree") % ROUNDS == turn), comps, sigs, region)
+        fresh = pairs(ready, BEST).join(tested, ["a", "b"], "left_anti")
+        choice = c.table(fresh.groupBy("node").agg(F.max(F.struct("like", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "choice")
+        if choice.isEmpty():
+            continue
+        won, tested = confirmed(choice, texts, percent, shingle), c.table(tested.unionByName(choice), "tested")
+        if not won.isEmpty():
+            found = c.table(found.unionByName(won), "links")
+            comps = components(found)
+    more = c.table(pairs(_torn(members, comps, sigs, region), None).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "more")
+    out = c.table(found.unionByName(confirmed(more, texts, percent, shingle)), "all-links")
+    c.drop(members, first, named, texts, tested, more)
+    return out
+
+
+def _torn(members: DataFrame, comps: DataFrame, sigs: DataFrame, region: int) -> DataFrame:
+    """(key, node, comp) of the regions that hold several components, split by further labels
+    while they have more than ``region`` members."""
+    place = c.table(members.join(comps, "node", "left").select("key", "tree", "m", "node", F.coalesce("comp", "node").alias("comp")), "place")
     torn = place.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_ = c.table(place.join(c.table(torn, "torn"), "key"), "open")
-    sigs = nodes.select("node", "n", "sig")
+    c.drop(place)
     ready = open_.where(f"m <= {region}").select("key", "node", "comp")
     big = open_.where(f"m > {region}").select("key", "tree", "m", "node", "comp")
     depth = START
@@ -246,12 +282,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, shingle:
         last = depth > DEPTH
         ready = ready.unionByName((split if last else split.where(f"m <= {region}")).select("key", "node", "comp"))
         big = split.where(F.lit(False) if last else F.col("m") > region)
-    groups = ready.join(sigs, "node").groupBy("key").applyInPandas(_across(percent), "a long, b long")
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = c.table(groups.distinct().join(tested, ["a", "b"], "left_anti"), "more")
-    out = c.table(found.unionByName(confirmed(more, texts, percent, shingle)), "all-links")
-    c.drop(members, first, named, texts, place, open_, more)
-    return out
+    return ready
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = 2, region: int = REGION) -> DataFrame:
