@@ -11,10 +11,14 @@
 * Regions that still hold several components are looked at again, split by further labels
   (adaptive depth) while they have more than ``region`` members. In ``ROUNDS`` rounds, each on
   other trees, every member tries the most alike class of another component that it has not tried yet, and
-  components are joined; then all pairs that are left across components, whose sizes allow the
-  similarity and whose labels do not rule it out (4.5 sigma), are confirmed. A region of one
-  component gives no pair, so the pairs of a large group of near copies are never listed. Only
-  regions that are still too large at full depth are cut by hash, differently in each tree.
+  components are joined. Only in these rounds are regions that are still too large at full depth
+  cut by hash, differently in each tree.
+* Then all pairs that are left across components are compared in whole regions of ``start``
+  labels, whatever their size, each pair in the first tree that it meets in; those whose sizes
+  allow the similarity and whose labels do not rule it out (4.5 sigma) are confirmed. A large
+  region is dealt into lots, and every two lots meet. A component that is large in its region
+  has lots of its own that do not meet each other, so the pairs of a large group of near copies
+  are never listed.
 * A link is confirmed on the full sets, by ``percent * union <= 100 * intersection``.
   Components come from min-label propagation with pointer jumping, by joins over written
   tables.
@@ -40,6 +44,7 @@ TREES, DEPTH, START = 24, 6, 4
 REGION = 256
 PERCENT = 80
 ROUNDS, BEST = 4, 4
+LOT = 8  # members of a lot, in units of ``region``
 _draw = np.random.default_rng(77)
 FLIPS = _draw.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
 FACTORS = _draw.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -140,19 +145,24 @@ def _deeper(depth: int):
 
 
 def _across(percent: int, best: int | None):
-    """Pairs across components in one region that size and labels do not rule out: all, or
-    for each member only its ``best`` most alike (then with ``node``, whose choice it is)."""
+    """Pairs across components in one region that size and labels do not rule out: all between
+    its two sides (side 0 meets itself) that share no earlier tree, or for each member only its
+    ``best`` most alike (then with ``node``, whose choice it is)."""
     least = percent / 100
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # One byte of each minhash: unequal ones agree by chance once in 256.
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1).astype(np.uint8)
+        full = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
+        sig = full.astype(np.uint8)
         node, n, comp = pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["comp"].to_numpy()
         cut = least - 4.5 * np.sqrt(least * (1 - least) / sig.shape[1])
         found = []
         for at in range(0, len(pdf), 64):  # blocks of rows against all
             rows = slice(at, at + 64)
             may = (comp[rows, None] != comp) & (100 * np.minimum(n[rows, None], n) >= percent * np.maximum(n[rows, None], n))
+            if not best:
+                side = pdf["side"].to_numpy()
+                may &= (side[rows, None] == 0) | (side[rows, None] != side)
             if not may.any():
                 continue
             like = np.count_nonzero(sig[rows, None, :] == sig[None, :, :], axis=2).astype(np.float32) / sig.shape[1]
@@ -165,6 +175,10 @@ def _across(percent: int, best: int | None):
             else:
                 i, j = np.nonzero(like)
                 i, j = i[at + i < j], j[at + i < j]
+                for tree in range(pdf["tree"].iloc[0]):
+                    own = slice(tree * DEPTH, tree * DEPTH + START)
+                    new = (full[at + i, own] != full[j, own]).any(1)
+                    i, j = i[new], j[new]
             good = like[i, j] > 0
             found.append((node[at + i[good]], node[j[good]], like[i[good], j[good]].astype(np.float64)))
         found.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
@@ -257,19 +271,47 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, shingle:
         if not won.isEmpty():
             found = c.table(found.unionByName(won), "links")
             comps = components(found)
-    more = c.table(pairs(_torn(members, comps, sigs, region), None).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "more")
+    more = c.table(pairs(_whole(members, comps, region), None).select("a", "b").join(tested, ["a", "b"], "left_anti"), "more")
     out = c.table(found.unionByName(confirmed(more, texts, percent, shingle)), "all-links")
     c.drop(members, first, named, texts, tested, more)
     return out
 
 
-def _torn(members: DataFrame, comps: DataFrame, sigs: DataFrame, region: int) -> DataFrame:
-    """(key, node, comp) of the regions that hold several components, split by further labels
-    while they have more than ``region`` members."""
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, tree, m, node, comp) of the regions that hold several components."""
     place = c.table(members.join(comps, "node", "left").select("key", "tree", "m", "node", F.coalesce("comp", "node").alias("comp")), "place")
     torn = place.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_ = c.table(place.join(c.table(torn, "torn"), "key"), "open")
     c.drop(place)
+    return open_
+
+
+def _whole(members: DataFrame, comps: DataFrame, region: int) -> DataFrame:
+    """(key, tree, side, node, comp) of the regions that hold several components. Of those with
+    more than ``region`` members every two lots whose components differ share a key of their own."""
+    open_ = _open(members, comps)
+    big = open_.where(f"m > {region}")
+    size = LOT * region
+    held = c.table(big.groupBy("key", "comp").agg(F.count("*").alias("held")), "held")
+    # ``own`` is the component of a lot that holds nothing else, or 0.
+    of = held.select("key", F.when(F.col("held") > size, F.col("comp")).otherwise(0).alias("own"), "held")
+    dealt = c.table(of.groupBy("key", "own").agg(F.ceil(F.sum("held") / size).cast("long").alias("lots")), "dealt")
+    split = held.select("key", "comp", F.when(F.col("held") > size, F.col("comp")).otherwise(0).alias("own")).join(dealt, ["key", "own"])
+    by = F.when(F.col("own") == 0, F.xxhash64("comp")).otherwise(F.xxhash64("node"))
+    rows = big.join(split, ["key", "comp"]).select("key", "tree", "node", "comp", "own", F.pmod(by, "lots").alias("lot"))
+    each = c.table(dealt.select("key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot")), "lots")
+    one, two = (each.select("key", F.struct("own", "lot").alias(x)) for x in ("one", "two"))
+    meet = one.join(two, "key").where("one <= two and (one.own = 0 or one.own <> two.own)")
+    meet = meet.select("key", "one", "two", F.xxhash64("key", "one", "two").alias("pair"), (F.col("one") != F.col("two")).cast("int").alias("apart"))
+    sides = meet.select("key", "one.own", "one.lot", "pair", F.col("apart").alias("side")).unionByName(meet.where("apart = 1").select("key", "two.own", "two.lot", "pair", F.lit(2).alias("side")))
+    dealt_rows = c.table(rows, "dealt-rows").join(c.table(sides, "sides"), ["key", "own", "lot"]).select(F.col("pair").alias("key"), "tree", "side", "node", "comp")
+    return open_.where(f"m <= {region}").select("key", "tree", F.lit(0).alias("side"), "node", "comp").unionByName(dealt_rows)
+
+
+def _torn(members: DataFrame, comps: DataFrame, sigs: DataFrame, region: int) -> DataFrame:
+    """(key, node, comp) of the regions that hold several components, split by further labels
+    while they have more than ``region`` members."""
+    open_ = _open(members, comps)
     ready = open_.where(f"m <= {region}").select("key", "node", "comp")
     big = open_.where(f"m > {region}").select("key", "tree", "m", "node", "comp")
     depth = START

@@ -268,6 +268,18 @@ def test_near_duplicates(spark, region):
         assert kept.columns == frame.columns and sorted(i for i in ids if i is not None) == sorted(set(want.values())) and ids.count(None) == 2
 
 
+def test_links_inside_large_regions(spark):
+    rng = random.Random(8)
+    texts = [h.sentence(rng, 60) for _ in range(60)]
+    texts += [f"{t} last" for t in texts[:12]]  # each near one other text only
+    flat, at = lsh_forest.shingle_sets(texts, 2)
+    node, n = lsh_forest.set_keys(flat, at).view(np.int64).tolist(), np.diff(at).tolist()
+    sig = bytes(4 * len(lsh_forest.FLIPS))  # no label tells them apart: one region in every tree
+    classes = spark.createDataFrame([(*r, sig) for r in zip(node, n, range(72))], "node long, n long, doc_id long, sig binary")
+    got = lsh_forest.links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), classes, region=2).collect()
+    assert {frozenset((r.a, r.b)) for r in got} == {frozenset((node[i], node[60 + i])) for i in range(12)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7), (200, 201)]
     rng = random.Random(1)
