@@ -5,16 +5,17 @@ codebooks. Codebooks are learned by residual k-means on a bounded seeded sample
 (``sample`` rows, at most) and refined by least squares; every vector is encoded by beam
 search over the codebooks and stored with the squared norm of its reconstruction. A query
 scores all codes by lookup tables (``|x|^2 - 2 q.x`` with one table of dot products a
-codebook), blockwise; the best ``rerank`` of each block are measured exactly on the original
-vectors, and the exact distances alone decide the result.
+codebook), blockwise; the best ``rerank`` of each block, and all that tie with the last of them,
+are measured exactly on the original vectors, and the exact distances alone decide the result.
 
-Each partition of the index keeps its own best ``rerank`` a query and measures them where the
-vectors lie; only ``k`` rows a query and partition are shuffled, and the final top ``k`` is a
-max-heap aggregate, so a hot query or a group of equal vectors needs no special case.
+The index holds each distinct vector once, with its ``k + 1`` smallest ids (one may be the query's
+own), so a group of equal vectors takes one place of a block's ``rerank``. Each partition measures
+its candidates where the vectors lie; only ``k`` ids a query and partition are shuffled, and the
+final top ``k`` is an aggregate over these.
 
 Defined results: vectors that are null, zero, of another length than the first query's or hold
 null or non-finite components take no part; distance ties go to the smaller ``vec_id``;
-repeated rows of one id count once; with fewer candidates than ``k`` all are returned; an empty table gives an
+repeated rows of one id count once, at the least of their distances; with fewer candidates than ``k`` all are returned; an empty table gives an
 empty result. Queries are a stated set (``vec_id`` divisible by ``every``), held in blocks of
 ``block`` by the tasks.
 """
@@ -22,7 +23,9 @@ empty result. Queries are a stated set (``vec_id`` divisible by ``every``), held
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,12 +122,30 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.reshape(-1, dim).astype(np.float64)
 
 
+def _least_ids(k: int):
+    """Of each batch's equal vectors the rows with the ``k + 1`` smallest ids."""
+
+    def run(batches):
+        for batch in batches:
+            raw = [np.array(v).tobytes() for v in batch.column("v").to_pylist()]
+            seen = pd.DataFrame({"raw": raw, "id": batch.column("vec_id").to_numpy()}).drop_duplicates().sort_values("id", kind="stable")
+            yield batch.take(pa.array(np.sort(seen.index[seen.groupby("raw").cumcount() <= k])))
+
+    return run
+
+
+def distinct(rows: DataFrame, k: int) -> DataFrame:
+    """(v, ids) of the distinct vectors, with their ``k + 1`` smallest ids in order."""
+    least = rows.mapInArrow(_least_ids(k), "vec_id long, v array<double>")
+    return least.groupBy("v").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
+
+
 def _encode(model: AdditiveQuantiser, dim: int, beam: int):
     def run(batches):
         for batch in batches:
             x = _matrix(batch.column("v"), dim)
             codes, norms = model.encode(x, beam)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(norms)], ["vec_id", "v", "code", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column("ids"), batch.column("v"), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(norms)], ["ids", "v", "code", "norm"])
 
     return run
 
@@ -132,35 +153,49 @@ def _encode(model: AdditiveQuantiser, dim: int, beam: int):
 def _search(model: AdditiveQuantiser, q_ids: np.ndarray, q: np.ndarray, k: int, rerank: int):
     dim = q.shape[1]
 
-    def best(ids, x, codes, norms, lut, qs, own):
+    def least(ids, d):
+        """The first ``k`` by (distance, id) of each row, every id once; the rest is infinite."""
+        order = np.lexsort((d, ids), axis=1)
+        ids, d = np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
+        d[:, 1:][ids[:, 1:] == ids[:, :-1]] = np.inf
+        order = np.lexsort((ids, d), axis=1)[:, :k]
+        more = ((0, 0), (0, k - order.shape[1]))
+        return np.pad(np.take_along_axis(ids, order, 1), more), np.pad(np.take_along_axis(d, order, 1), more, constant_values=np.inf)
+
+    def best(ids, there, x, codes, norms, lut, qs, own):
         books = codes.shape[1]
         approx = np.repeat(norms[None, :], len(qs), 0)
         for b in range(books):
             approx += lut[:, b, :][:, codes[:, b]]
-        keep = min(rerank, len(ids))
-        near = np.argpartition(approx, keep - 1, 1)[:, :keep]
-        exact = np.sqrt(((x[near] - qs[:, None, :]) ** 2).sum(2))
-        exact[ids[near] == own[:, None]] = np.inf
-        order = np.lexsort((ids[near], exact), axis=1)[:, :k]
-        return np.take_along_axis(ids[near], order, 1), np.take_along_axis(exact, order, 1)
-
-    def merged(old, new, k):
-        if old is None:
-            return new
-        ids, d = np.concatenate([old[0], new[0]], 1), np.concatenate([old[1], new[1]], 1)
-        order = np.lexsort((ids, d), axis=1)[:, :k]
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
+        last = min(rerank, len(ids)) - 1
+        cut = np.partition(approx, last, 1)[:, last]
+        keep = int((approx <= cut[:, None]).sum(1).max())  # ties with the last count
+        step = max(1, len(qs) * (last + 1) // (keep * ids.shape[1]))
+        out = []
+        for at in range(0, len(qs), step):
+            q = qs[at : at + step]
+            near = np.argpartition(approx[at : at + step], keep - 1, 1)[:, :keep]
+            exact = np.sqrt(((x[near] - q[:, None, :]) ** 2).sum(2))
+            d = np.where(there[near] & (ids[near] != own[at : at + step, None, None]), exact[:, :, None], np.inf)
+            out.append(least(ids[near].reshape(len(q), -1), d.reshape(len(q), -1)))
+        return tuple(np.concatenate(z) for z in zip(*out))
+
+    def merged(old, new):
+        return new if old is None else least(np.concatenate([old[0], new[0]], 1), np.concatenate([old[1], new[1]], 1))
 
     def run(batches):
         lut, top = model.tables(q), None
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                ids, x = part.column("vec_id").to_numpy(), _matrix(part.column("v"), dim)
+                x, count = _matrix(part.column("v"), dim), pa.compute.list_value_length(part.column("ids")).to_numpy()
+                there = np.arange(count.max()) < count[:, None]
+                ids = np.zeros(there.shape, np.int64)
+                ids[there] = part.column("ids").flatten().to_numpy()
                 codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
                 norms = part.column("norm").to_numpy().astype(np.float32)
-                found = [best(ids, x, codes, norms, lut[i : i + 64], q[i : i + 64], q_ids[i : i + 64]) for i in range(0, len(q), 64)]
-                top = merged(top, tuple(np.concatenate(z) for z in zip(*found)), k)
+                found = [best(ids, there, x, codes, norms, lut[i : i + 64], q[i : i + 64], q_ids[i : i + 64]) for i in range(0, len(q), 64)]
+                top = merged(top, tuple(np.concatenate(z) for z in zip(*found)))
         if top is not None:
             ids, d = top
             row, col = np.nonzero(np.isfinite(d))
@@ -182,7 +217,7 @@ def search(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", eve
     rows = rows.where(F.size("v") == dim)
     x = np.array([v for v in train["v"] if len(v) == dim], np.float64)
     model = AdditiveQuantiser.fit(x, books, words, seed=seed)
-    index = c.table(rows.mapInArrow(_encode(model, dim, beam), "vec_id long, v array<double>, code binary, norm float"), "aq-index")
+    index = c.table(distinct(rows, k).select("ids", "v").mapInArrow(_encode(model, dim, beam), "ids array<long>, v array<double>, code binary, norm float"), "aq-index")
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
     found = None
     count, last = queries.count(), None
@@ -192,11 +227,12 @@ def search(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", eve
             break
         ids, q = part["vec_id"].to_numpy(np.int64), np.array(part["v"].tolist(), np.float64)
         last, count = int(ids[-1]), count - len(part)
-        one = index.select("vec_id", "v", "code", "norm").mapInArrow(_search(model, ids, q, k, rerank), "query_id long, vec_id long, score double")
+        one = index.select("ids", "v", "code", "norm").mapInArrow(_search(model, ids, q, k, rerank), "query_id long, vec_id long, score double")
         found = one if found is None else found.unionByName(one)
     if found is None:
         return empty
-    ranked = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("score", "vec_id"))), 1, k).alias("best"))
+    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ranked = once.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
     return ranked.select("query_id", F.posexplode("best").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score")
 
 

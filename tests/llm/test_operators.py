@@ -394,6 +394,24 @@ def test_search_is_exact_where_it_looks(spark):
     assert found >= 0.9 * 10 * len(got)
 
 
+def test_many_equal_vectors_and_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 8)).round(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(1000 + int(i), x[0].tolist()) for i in rng.permutation(900)]  # more than are reranked
+    rows += [(5000, (x[100] + 0.001).tolist())] * 15 + [(5000, (x[100] + 0.002 * j).tolist()) for j in range(2, 14)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    got = {}
+    for r in aq.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q in range(0, 500, 100):
+        d = {}
+        for i, v in rows:
+            d[i] = min(d.get(i, np.inf), np.sqrt(((np.array(v) - x[q]) ** 2).sum()))
+        want = sorted((s, i) for i, s in d.items() if i != q)[:10]
+        assert sorted(got[q]) == [(k + 1, i) for k, (_, i) in enumerate(want)]
+
+
 def test_few_vectors(spark):
     got = aq.search(spark.createDataFrame([(0, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [0.0, 1.0])], "vec_id long, embedding array<double>")).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(0, 1, 5), (0, 2, 7)]
