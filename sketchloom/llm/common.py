@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -21,11 +20,10 @@ SLICE_BYTES = 1 << 21
 
 # ------------------------------------------------------------------ work tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir; where that is unset, one in the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = f"file://{tempfile.gettempdir()}/sketchloom-checkpoints"
-        spark.sparkContext.setCheckpointDir(path)
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work-tables"
     return path.rstrip("/")
 
 
@@ -38,16 +36,23 @@ def table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._work_path = path
+    return out
+
+
+def renamed(df: DataFrame, table_: DataFrame) -> DataFrame:
+    """``df``, which reads the work table ``table_`` and stands for it in ``drop``."""
+    df._work_path = table_._work_path
+    return df
 
 
 def drop(*frames: DataFrame) -> None:
     """Delete the files of work tables that nothing needs any more."""
     for df in frames:
         spark = df.sparkSession
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        p = spark._jvm.org.apache.hadoop.fs.Path(df._work_path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:

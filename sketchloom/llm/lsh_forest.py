@@ -2,26 +2,25 @@
 
 * Sets are the distinct ``shingle``-word shingles (64-bit hashes); equal sets are one *class*
   from here on, so a thousand copies cost one. A class's node id is its set's hash.
-* Each of ``trees`` sorted orders has its own ``depth`` minhash labels. Classes that share the
-  first ``start`` labels are a region of that order: its members are each other's neighbours by
-  longest common prefix. With similarity s two classes miss each other with probability
-  ``(1 - s**start) ** trees`` (3e-6 at s = 0.8 for 24 trees and start 4).
-* First every class is compared with one class only: the leader (least node) that it shares
-  most regions with. Confirmed links give components.
-* Regions that still hold several components are looked at again, split by further labels
-  (adaptive depth) while they have more than ``region`` members. In ``ROUNDS`` rounds, each on
-  other trees, every member tries the most alike class of another component that it has not tried yet, and
-  components are joined. Only in these rounds are regions that are still too large at full depth
-  cut by hash, differently in each tree.
-* Then all pairs that are left across components are compared in whole regions of ``start``
-  labels, whatever their size, each pair in the first tree that it meets in; those whose sizes
-  allow the similarity and whose labels do not rule it out (4.5 sigma) are confirmed. A large
-  region is dealt into lots, and every two lots meet. A component that is large in its region
-  has lots of its own that do not meet each other, so the pairs of a large group of near copies
-  are never listed.
+* Each of ``TREES`` sorted orders ranks all classes by ``DEPTH`` minhash labels of its own.
+  Classes that share the first ``START`` labels are a region of that order. With similarity s
+  two classes share no region with probability ``(1 - s**START) ** TREES`` (3e-6 at s = 0.8).
+* Classes without any possible partner leave first: in regions of up to ``region`` members all
+  signatures are compared (a pair is possible if sizes allow the similarity and the 144 labels
+  do not rule it out, at 4.5 sigma); members of larger regions all stay.
+* In each round the orders are sorted anew and every class meets its neighbours by longest
+  common prefix that are in another component (the depth that counts so adapts to the region);
+  each takes its ``BEST`` most alike ones to the full comparison. Links join components, and
+  rounds go on, among regions that still hold several components, until one links nothing
+  (``ROUNDS`` at most).
+* What the rounds leave open is settled exactly, without listing the pairs of a region: classes
+  that still have a possible partner in another component are joined by the prefix filter. In
+  ascending order of frequency, two sets that are similar enough share one of their first
+  tokens, and how many is known from the sizes. A token's largest component is never joined
+  with itself, and positions rule out most of the other pairs.
 * A link is confirmed on the full sets, by ``percent * union <= 100 * intersection``.
   Components come from min-label propagation with pointer jumping, by joins over written
-  tables.
+  tables; later links are added between components only.
 
 Defined results: words are taken after lower-casing A-Z; a text with fewer words than
 ``shingle`` has one shingle, the whole sequence; a text without words, or null, has an empty
@@ -33,23 +32,25 @@ are ``kept``). An empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sketchloom.llm import common as c
 
 TREES, DEPTH, START = 24, 6, 4
-REGION = 256
-PERCENT = 80
-ROUNDS, BEST = 4, 4
-LOT = 8  # members of a lot, in units of ``region``
+REGION = 32
+PERCENT, SHINGLE = 80, 5
+ROUNDS, BEST = 6, 2
+RATIO = 1.05  # of the size classes of the exact join
+PARTNERS = 64  # that one task row of a confirmation holds at most
 _draw = np.random.default_rng(77)
 FLIPS = _draw.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
 FACTORS = _draw.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
+# ------------------------------------------------------------------ sets and signatures
 def shingle_sets(texts: list[str | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct shingle hashes of all texts, and the offsets of each text."""
     words, at, *_ = c.hash_words(texts, lower=True)
@@ -62,7 +63,8 @@ def shingle_sets(texts: list[str | None], shingle: int) -> tuple[np.ndarray, np.
     for k in range(shingle):
         inside = np.minimum(first + k, max(len(words) - 1, 0))
         here = (k < n[doc]) & (first + k < len(words))
-        value = np.where(here, c.mix(value * c.U64(c.BASES[1]) + words[inside]), value) if len(words) else value
+        if len(words):
+            value = np.where(here, c.mix(value * c.U64(c.BASES[1]) + words[inside]), value)
     out, ends = [], [0]
     for i in range(len(n)):
         own = np.sort(value[stops[i] : stops[i + 1]])
@@ -98,259 +100,375 @@ def _describe(shingle: int):
             for part in c.slices(batch, "text", 2 << 20):
                 flat, at = shingle_sets(part.column("text").to_pylist(), shingle)
                 sig = signatures(flat, at)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(set_keys(flat, at).view(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "n", "node", "sig"])
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id"), pa.array(np.diff(at)), pa.array(set_keys(flat, at).view(np.int64)),
+                    pa.array([r.tobytes() for r in sig], pa.binary()),
+                ], ["doc_id", "n", "node", "sig"])
 
     return run
 
 
-def _prefix(sig: np.ndarray, tree: int, depth: int) -> np.ndarray:
-    """Key of the region at ``depth`` of a tree."""
-    key = np.full(len(sig), tree + 1, c.U64) * c.GOLD
-    for d in range(depth):
-        key = c.mix(key * c.U64(c.BASES[0]) + sig[:, tree * DEPTH + d])
-    return key.view(np.int64)
+# ------------------------------------------------------------------ sorted orders
+def _bytes(column, kind, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, len(FLIPS))
-
-
-def _regions(batches):
+def _places(batches):
+    """Each class's place in each order: its region, and the labels that rank it there."""
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
-            sig = _matrix(part.column("sig"))
-            keys = np.stack([_prefix(sig, t, START) for t in range(TREES)], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("node").to_numpy(), TREES)), pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(sig))), pa.array(keys.ravel())], ["node", "tree", "key"])
+            sig = _bytes(part.column("sig"), np.uint32, TREES * DEPTH).reshape(-1, TREES, DEPTH)
+            key = np.tile((np.arange(TREES, dtype=c.U64) + c.U64(1)) * c.GOLD, (len(sig), 1))
+            for d in range(START):
+                key = c.mix(key * c.U64(c.BASES[0]) + sig[:, :, d])
+            rest = np.zeros_like(key)
+            for d in range(START, DEPTH):
+                rest = (rest << c.U64(32)) | sig[:, :, d]
+            node = np.repeat(part.column("node").to_numpy(), TREES)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(node), pa.array(key.ravel().view(np.int64)), pa.array(rest.ravel().view(np.int64)),
+            ], ["node", "key", "rest"])
+
+
+def _low_bytes(batches):
+    """One byte of each label: unequal ones agree by chance once in 256."""
+    for batch in batches:
+        sig = _bytes(batch.column("sig"), np.uint32, TREES * DEPTH).astype(np.uint8)
+        small = pa.array([r.tobytes() for r in sig], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), small], ["node", "n", "sig"])
 
 
-def _deeper(depth: int):
-    """Keys one label deeper; beyond the last label a hash of the node cuts the region."""
+def _alike(n: np.ndarray, sig: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """How many labels agree, for pairs (i, j); -1 where size or labels rule the similarity out."""
+    least = percent / 100
+    cut = (least - 4.5 * np.sqrt(least * (1 - least) / sig.shape[1])) * sig.shape[1]
+    like = np.full(len(i), -1, np.int32)
+    may = np.flatnonzero(100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+    for at in range(0, len(may), 8192):
+        some = may[at : at + 8192]
+        same = np.count_nonzero(sig[i[some]] == sig[j[some]], axis=1)
+        like[some] = np.where(same >= cut, same, -1)
+    return like
+
+
+def _possible(percent: int):
+    """Of whole regions in sorted batches: the nodes with a possible partner in another component."""
+
+    def nodes(rows: pa.Table):
+        key, comp, n = (rows.column(x).to_numpy() for x in ("key", "comp", "n"))
+        sig = _bytes(rows.column("sig"), np.uint8, TREES * DEPTH)
+        good = np.zeros(len(key), bool)
+        for d in range(1, len(key)):
+            i = np.flatnonzero(key[d:] == key[:-d])
+            if not len(i):
+                break
+            i = i[(comp[i + d] != comp[i]) & ~(good[i] & good[i + d])]
+            i = i[_alike(n, sig, i, i + d, percent) >= 0]
+            good[i] = good[i + d] = True
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(rows.column("node").to_numpy()[good]))], ["node"])
 
     def run(batches):
+        held = None
         for batch in batches:
-            sig, tree = _matrix(batch.column("sig")), batch.column("tree").to_numpy()
-            node, parts = batch.column("node").to_numpy(), batch.column("parts").to_numpy().astype(np.int64)
-            key = np.zeros(len(tree), np.int64)
-            for t in np.unique(tree):
-                at = tree == t
-                key[at] = _prefix(sig[at], int(t), min(depth, DEPTH))
-            if depth > DEPTH:
-                lot = (c.mix(node.astype(np.int64).view(c.U64) + tree.astype(c.U64) * c.GOLD) % parts.astype(c.U64)).astype(c.U64)
-                key = c.mix(key.view(c.U64) + (lot + c.U64(1)) * c.GOLD).view(np.int64)
-            names = [n for n in batch.schema.names if n not in ("key", "parts")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(key)], [*names, "key"])
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            key = rows.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if last:
+                yield nodes(rows.slice(0, last))
+            held = rows.slice(last)
+        if held is not None and len(held):
+            yield nodes(held)
 
     return run
 
 
-def _across(percent: int, best: int | None):
-    """Pairs across components in one region that size and labels do not rule out: all between
-    its two sides (side 0 meets itself) that share no earlier tree, or for each member only its
-    ``best`` most alike (then with ``node``, whose choice it is)."""
-    least = percent / 100
+def _neighbours(percent: int):
+    """In one order's rows, as sorted: the neighbours of different components in one region."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # One byte of each minhash: unequal ones agree by chance once in 256.
-        full = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
-        sig = full.astype(np.uint8)
-        node, n, comp = pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["comp"].to_numpy()
-        cut = least - 4.5 * np.sqrt(least * (1 - least) / sig.shape[1])
-        found = []
-        for at in range(0, len(pdf), 64):  # blocks of rows against all
-            rows = slice(at, at + 64)
-            may = (comp[rows, None] != comp) & (100 * np.minimum(n[rows, None], n) >= percent * np.maximum(n[rows, None], n))
-            if not best:
-                side = pdf["side"].to_numpy()
-                may &= (side[rows, None] == 0) | (side[rows, None] != side)
-            if not may.any():
-                continue
-            like = np.count_nonzero(sig[rows, None, :] == sig[None, :, :], axis=2).astype(np.float32) / sig.shape[1]
-            like[~may] = 0
-            like[like < cut] = 0
-            if best:
-                top = np.argsort(-like, 1, kind="stable")[:, :best]
-                i = np.repeat(np.arange(len(like)), top.shape[1])
-                j = top.ravel()
-            else:
-                i, j = np.nonzero(like)
-                i, j = i[at + i < j], j[at + i < j]
-                for tree in range(pdf["tree"].iloc[0]):
-                    own = slice(tree * DEPTH, tree * DEPTH + START)
-                    new = (full[at + i, own] != full[j, own]).any(1)
-                    i, j = i[new], j[new]
-            good = like[i, j] > 0
-            found.append((node[at + i[good]], node[j[good]], like[i[good], j[good]].astype(np.float64)))
-        found.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
-        one, two, like = (np.concatenate([f[k] for f in found]) for k in range(3))
-        return pd.DataFrame({"node": one, "a": np.minimum(one, two), "b": np.maximum(one, two), "like": like})
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            held = rows.slice(max(0, len(rows) - 1))
+            key, comp, n, node = (rows.column(x).to_numpy() for x in ("key", "comp", "n", "node"))
+            sig = _bytes(rows.column("sig"), np.uint8, TREES * DEPTH)
+            i = np.flatnonzero((key[1:] == key[:-1]) & (comp[1:] != comp[:-1]))
+            like = _alike(n, sig, i, i + 1, percent)
+            i, like = i[like >= 0], like[like >= 0]
+            a, b = np.minimum(node[i], node[i + 1]), np.maximum(node[i], node[i + 1])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([a, b])), *(pa.array(np.concatenate([x, x])) for x in (a, b, like)),
+            ], ["node", "a", "b", "like"])
 
     return run
 
 
-def _confirm(percent: int, shingle: int):
+# ------------------------------------------------------------------ links on full sets
+def _confirm(percent: int):
     def run(batches):
-        last, last_set = None, None
+        own = np.zeros(0, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                first = part.column("a").to_pylist()
-                flat, ends = shingle_sets(part.column("text_b").to_pylist(), shingle)
-                good = []
-                for i, node in enumerate(first):
-                    if node != last:
-                        last, last_set = node, shingle_sets([part.column("text_a")[i].as_py()], shingle)[0]
-                    own = flat[ends[i] : ends[i + 1]]
-                    both = np.concatenate([own, last_set])
-                    both.sort()
-                    same = int((both[1:] == both[:-1]).sum())
-                    good.append(100 * same >= percent * (len(both) - same))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            tokens = batch.column("tokens")
+            flat, at = tokens.values.to_numpy(zero_copy_only=False), tokens.offsets.to_numpy()
+            head = batch.column("b").is_null().to_numpy(zero_copy_only=False)
+            good = []
+            for i in range(len(head)):
+                one = flat[at[i] : at[i + 1]]
+                if head[i]:
+                    own = one.copy()
+                    continue
+                both = np.concatenate([own, one])
+                both.sort(kind="stable")
+                same = int((both[1:] == both[:-1]).sum())
+                if 100 * same >= percent * (len(both) - same):
+                    good.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).take(pa.array(good, pa.int64()))
 
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar enough."""
-    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return c.table(both.mapInArrow(_confirm(percent, shingle), "a long, b long"), "links")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are similar enough.
 
+    The set of ``a`` travels once for each ``PARTNERS`` pairs, that of ``b`` once a pair."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    first = heads.join(sets.select(F.col("node").alias("a"), "tokens"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "tokens")
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
+    others = pairs.join(parts, "a").join(sets.select(F.col("node").alias("b"), "tokens"), "b").select("a", part, "b", "tokens")
+    rows = first.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    return c.table(rows.select("a", "b", "tokens").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
+
+# ------------------------------------------------------------------ components
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node of an edge table (a, b): comp is the least node reachable."""
-    edges = c.table(links.select("a", "b").union(links.select("b", "a")).where("a <> b"), "edges")
+    edges = c.table(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = c.table(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "node"), "labels")
     while True:
         heard = edges.join(labels, edges.a == labels.node).groupBy("b").agg(F.min("comp").alias("heard"))
-        told = c.table(labels.join(heard, labels.node == F.col("b"), "left").select("node", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp")), "told")
+        both = labels.join(heard, labels.node == F.col("b"), "left")
+        told = c.table(both.select("node", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp")), "told")
         jump = told.select(F.col("node").alias("to"), F.col("comp").alias("further"))
-        new = c.table(told.join(jump, F.col("comp") == F.col("to"), "left").select("node", "old", F.least("comp", "further").alias("comp")), "labels")
+        further = told.join(jump, F.col("comp") == F.col("to"), "left")
+        new = c.table(further.select("node", "old", F.least("comp", "further").alias("comp")), "labels")
         done = new.where("old <> comp").isEmpty()
         c.drop(told, labels)
         labels = new
         if done:
             c.drop(edges)
-            return labels.select("node", "comp")
+            return c.renamed(labels.select("node", "comp"), labels)
+
+
+def joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``comps`` after more links: only components are walked again, not their nodes."""
+    if comps is None:
+        return components(links)
+    of_a = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
+    of_b = comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    edges = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = components(edges)
+    new = top.select(F.col("node").alias("was"), F.col("comp").alias("now"))
+    both = comps.join(new, F.col("comp") == F.col("was"), "full")
+    out = c.table(both.select(F.coalesce("node", "was").alias("node"), F.coalesce("now", "comp").alias("comp")), "comps")
+    c.drop(top, comps)
+    return out
 
 
-def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, shingle: int = 2, region: int = REGION) -> DataFrame:
-    """Confirmed links (a, b) between classes, enough to connect all that are linked."""
-    nodes = classes.where("n > 0")
-    keys = c.table(nodes.select("node", "sig").mapInArrow(_regions, "node long, tree int, key long"), "keys")
-    shared = c.table(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("leader")).where("m > 1"), "shared")
-    members = c.table(keys.join(shared, "key"), "members")
-    c.drop(keys, shared)
-    # One leader a class: the one it meets in most trees, the least of these.
-    met = members.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("m"))
-    first = met.groupBy("node").agg(F.max(F.struct("m", (-F.col("leader")).alias("minus"))).alias("top")).select((-F.col("top.minus")).alias("a"), F.col("node").alias("b"))
-    first = c.table(first, "first")
-    wanted = members.select("node").distinct().join(classes.select("node", "doc_id"), "node")
-    named = c.table(wanted, "wanted")
-    rows = docs.where("doc_id is not null").select("doc_id", "text").join(named, "doc_id")
+# ------------------------------------------------------------------ the exact join
+def _size_class(n: F.Column) -> F.Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(RATIO))).cast("int")
+
+
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, comp) of different components that sizes and the first
+    tokens, in order of frequency, do not rule out. No similar pair is left out.
+
+    With o common tokens the first common one is among the first ``n - o + 1`` of both sets;
+    o is at least ``percent * (n + m) / (100 + percent)``. Larger sets show as many tokens as
+    the partners of a size class (steps of ``RATIO``) ask for."""
+    own = c.table(nodes.join(sets, "node").select("node", "comp", F.size("tokens").alias("n"), "tokens"), "exact-sets")
+    each = own.select("node", F.explode("tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = each.join(often, "token", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "token"))).alias("tokens"))
+    least = lambda n, m: F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
+    n, smallest = F.col("n"), F.ceil(F.col("n") * percent / 100)
+    listed = ranked.join(own.select("node", "comp", "n"), "node").select("node", "comp", "n", F.posexplode(F.slice("tokens", F.lit(1), (n - smallest + 1).cast("int"))).alias("i", "t"))
+    shown = c.table(listed.where("t.f > 1").select("node", "comp", "n", (F.col("i") + 1).alias("pos"), "t.token"), "exact-prefixes")
+    left = shown.where(F.col("pos") <= n - least(n, n) + 1).withColumn("k", _size_class(n))
+    right = shown.withColumn("k", F.explode(F.sequence(_size_class(smallest), _size_class(n))))
+    partner = F.greatest(smallest, F.floor(F.pow(F.lit(RATIO), F.col("k"))))
+    right = right.where(F.col("pos") <= n - least(n, partner) + 1)
+    sides = c.table(left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))), "exact-sides")
+    by_comp = sides.groupBy("token", "k", "comp").agg(F.count("*").alias("m"), F.min("side").alias("lo"), F.max("side").alias("hi"))
+    main = by_comp.groupBy("token", "k").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    main = c.table(main.where("comps > 1 and lo = 0 and hi = 1").select("token", "k", F.col("top.comp").alias("main")), "exact-main")
+    rows = sides.join(main, ["token", "k"])
+    # Lane 0 holds the larger sets outside the main component, lane 1 those in it.
+    inside = F.col("comp") == F.col("main")
+    lanes = F.when(inside, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    names = lambda x, df: df.select("token", "k", "lane", *[F.col(y).alias(f"{y}_{x}") for y in ("node", "comp", "n", "pos")])
+    small = names("x", rows.where("side = 0").withColumn("lane", F.explode(lanes)))
+    large = names("y", rows.where("side = 1").withColumn("lane", inside.cast("int")))
+    order = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
+    fits = 100 * F.col("n_x") >= percent * F.col("n_y")
+    bound = 1 + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= least(F.col("n_x"), F.col("n_y"))
+    keys = [F.col(f"s.{x}") == F.col(f"l.{x}") for x in ("token", "k", "lane")]
+    met = small.alias("s").join(large.alias("l"), [*keys, F.col("comp_x") != F.col("comp_y"), order, fits, bound])
+    out = c.table(met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct(), "exact-pairs")
+    c.drop(own, shown, sides, main)
+    return out
+
+
+# ------------------------------------------------------------------ all together
+def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, tokens) of the classes ``wanted`` (node, doc_id), each once."""
 
     def exact(batches):  # of several rows with one id only those with the class's set
         for batch in batches:
             for part in c.slices(batch, "text"):
                 flat, at = shingle_sets(part.column("text").to_pylist(), shingle)
-                yield part.filter(pa.array(set_keys(flat, at).view(np.int64) == part.column("node").to_numpy())).select(["node", "text"])
-
-    texts = c.table(rows.select("node", "text").mapInArrow(exact, "node long, text string").dropDuplicates(["node"]), "texts")
-    found = confirmed(first, texts, percent, shingle)
-    sigs = nodes.select("node", "n", "sig")
-    tested = c.table(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tested")
-    pairs = lambda rows, best: rows.join(sigs, "node").groupBy("key").applyInPandas(_across(percent, best), "node long, a long, b long, like double")
-    comps = components(found)
-    for turn in range(ROUNDS):  # each round looks at other trees
-        ready = _torn(members.where(F.col("tree") % ROUNDS == turn), comps, sigs, region)
-        fresh = pairs(ready, BEST).join(tested, ["a", "b"], "left_anti")
-        choice = c.table(fresh.groupBy("node").agg(F.max(F.struct("like", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "choice")
-        if choice.isEmpty():
-            continue
-        won, tested = confirmed(choice, texts, percent, shingle), c.table(tested.unionByName(choice), "tested")
-        if not won.isEmpty():
-            found = c.table(found.unionByName(won), "links")
-            comps = components(found)
-    more = c.table(pairs(_whole(members, comps, region), None).select("a", "b").join(tested, ["a", "b"], "left_anti"), "more")
-    out = c.table(found.unionByName(confirmed(more, texts, percent, shingle)), "all-links")
-    c.drop(members, first, named, texts, tested, more)
+                tokens = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
+                same = set_keys(flat, at).view(np.int64) == part.column("node").to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column("node"), tokens], ["node", "tokens"]).filter(pa.array(same, pa.bool_()))
+
+    rows = docs.where("doc_id is not null").select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
+    found = rows.mapInArrow(exact, "node long, tokens array<long>")
+    return c.table(found.groupBy("node").agg(F.first("tokens").alias("tokens")), "class-sets")
+
+
+def _linked(docs: DataFrame, classes: DataFrame, percent: int, shingle: int, region: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links (a, b) that connect all that are linked, and the components (node, comp)."""
+    n_parts = c.partitions(docs.sparkSession)
+    nodes = classes.where("n > 0")
+    places = c.table(nodes.select("node", "sig").mapInArrow(_places, "node long, key long, rest long"), "places")
+    shared = places.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    held = c.table(places.join(shared, "key"), "held")
+    sigs = nodes.select("node", "n", "sig").mapInArrow(_low_bytes, "node long, n long, sig binary")
+
+    def possible(rows: DataFrame) -> DataFrame:
+        """Nodes that may have a partner in another component; all of the large regions."""
+        few = rows.where(f"m <= {region}").select("key", "node", "comp", "n", "sig")
+        seen = few.repartition("key").sortWithinPartitions("key").mapInArrow(_possible(percent), "node long")
+        return seen.unionByName(rows.where(f"m > {region}").select("node")).distinct()
+
+    some = held.join(sigs, "node")
+    alive = c.table(possible(some.withColumn("comp", F.col("node"))), "alive")
+    members = c.table(some.join(alive, "node", "left_semi"), "members")
+    sets = _sets_of(docs, alive.join(classes.select("node", "doc_id"), "node"), shingle)
+    c.drop(places, held, alive)
+    comps, found, tested = None, [], None
+
+    def placed() -> DataFrame:
+        """Members of the regions that hold several components, with these."""
+        if comps is None:
+            return members.withColumn("comp", F.col("node"))
+        rows = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        torn = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        return rows.join(torn, "key", "left_semi")
+
+    for _ in range(rounds):
+        order = placed().repartitionByRange(n_parts, "key", "rest", "node").sortWithinPartitions("key", "rest", "node")
+        near = order.select("key", "node", "comp", "n", "sig").mapInArrow(_neighbours(percent), "node long, a long, b long, like int").distinct()
+        if tested is not None:
+            near = near.join(tested, ["a", "b"], "left_anti")
+        # A class has two neighbours an order, so at most 48 here.
+        best = near.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("like")).alias("like"), "a", "b"))), 1, BEST).alias("best"))
+        pairs = c.table(best.select(F.explode("best").alias("p")).select("p.a", "p.b").distinct(), "pairs")
+        won = confirmed(pairs, sets, percent)
+        seen = pairs if tested is None else c.table(tested.unionByName(pairs), "tested")
+        if tested is not None:
+            c.drop(tested, pairs)
+        tested = seen
+        if won.isEmpty():
+            c.drop(won)
+            break
+        found.append(won)
+        comps = joined(comps, won)
+    rest = placed()
+    left = possible(rest).join(comps, "node", "left") if comps is not None else possible(rest).withColumn("comp", F.col("node"))
+    left = c.table(left.select("node", F.coalesce("comp", "node").alias("comp")), "left")
+    pairs = c.table(prefix_pairs(left, sets, percent).join(tested, ["a", "b"], "left_anti"), "pairs") if tested is not None else prefix_pairs(left, sets, percent)
+    won = confirmed(pairs, sets, percent)
+    comps = joined(comps, won)
+    links = c.table(_union([*found, won]), "all-links")
+    c.drop(members, sets, left, pairs, won, *found, *([tested] if tested is not None else []))
+    return links, comps
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
     return out
 
 
-def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, tree, m, node, comp) of the regions that hold several components."""
-    place = c.table(members.join(comps, "node", "left").select("key", "tree", "m", "node", F.coalesce("comp", "node").alias("comp")), "place")
-    torn = place.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = c.table(place.join(c.table(torn, "torn"), "key"), "open")
-    c.drop(place)
-    return open_
-
-
-def _whole(members: DataFrame, comps: DataFrame, region: int) -> DataFrame:
-    """(key, tree, side, node, comp) of the regions that hold several components. Of those with
-    more than ``region`` members every two lots whose components differ share a key of their own."""
-    open_ = _open(members, comps)
-    big = open_.where(f"m > {region}")
-    size = LOT * region
-    held = c.table(big.groupBy("key", "comp").agg(F.count("*").alias("held")), "held")
-    # ``own`` is the component of a lot that holds nothing else, or 0.
-    of = held.select("key", F.when(F.col("held") > size, F.col("comp")).otherwise(0).alias("own"), "held")
-    dealt = c.table(of.groupBy("key", "own").agg(F.ceil(F.sum("held") / size).cast("long").alias("lots")), "dealt")
-    split = held.select("key", "comp", F.when(F.col("held") > size, F.col("comp")).otherwise(0).alias("own")).join(dealt, ["key", "own"])
-    by = F.when(F.col("own") == 0, F.xxhash64("comp")).otherwise(F.xxhash64("node"))
-    rows = big.join(split, ["key", "comp"]).select("key", "tree", "node", "comp", "own", F.pmod(by, "lots").alias("lot"))
-    each = c.table(dealt.select("key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot")), "lots")
-    one, two = (each.select("key", F.struct("own", "lot").alias(x)) for x in ("one", "two"))
-    meet = one.join(two, "key").where("one <= two and (one.own = 0 or one.own <> two.own)")
-    meet = meet.select("key", "one", "two", F.xxhash64("key", "one", "two").alias("pair"), (F.col("one") != F.col("two")).cast("int").alias("apart"))
-    sides = meet.select("key", "one.own", "one.lot", "pair", F.col("apart").alias("side")).unionByName(meet.where("apart = 1").select("key", "two.own", "two.lot", "pair", F.lit(2).alias("side")))
-    dealt_rows = c.table(rows, "dealt-rows").join(c.table(sides, "sides"), ["key", "own", "lot"]).select(F.col("pair").alias("key"), "tree", "side", "node", "comp")
-    return open_.where(f"m <= {region}").select("key", "tree", F.lit(0).alias("side"), "node", "comp").unionByName(dealt_rows)
-
-
-def _torn(members: DataFrame, comps: DataFrame, sigs: DataFrame, region: int) -> DataFrame:
-    """(key, node, comp) of the regions that hold several components, split by further labels
-    while they have more than ``region`` members."""
-    open_ = _open(members, comps)
-    ready = open_.where(f"m <= {region}").select("key", "node", "comp")
-    big = open_.where(f"m > {region}").select("key", "tree", "m", "node", "comp")
-    depth = START
-    while depth <= DEPTH and not big.isEmpty():
-        depth += 1
-        parts = F.greatest(F.lit(1), F.ceil(F.col("m") * 2 / region)).cast("long").alias("parts")
-        finer = c.table(big.join(sigs.select("node", "sig"), "node").select("node", "tree", "comp", "sig", "key", parts).mapInArrow(_deeper(depth), "node long, tree int, comp long, sig binary, key long").select("node", "tree", "comp", "key"), "finer")
-        sizes = c.table(finer.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "m"), "sizes")
-        split = c.table(finer.join(sizes, "key").select("key", "tree", "m", "node", "comp"), "split")
-        last = depth > DEPTH
-        ready = ready.unionByName((split if last else split.where(f"m <= {region}")).select("key", "node", "comp"))
-        big = split.where(F.lit(False) if last else F.col("m") > region)
-    return ready
-
-
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = 2, region: int = REGION) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
+def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, region: int = REGION, rounds: int = ROUNDS) -> DataFrame:
+    """Confirmed links (a, b) between classes, enough to connect all that are linked."""
+    return _linked(docs, classes, percent, shingle, region, rounds)[0]
+
+
+def _named(docs: DataFrame, percent: int, shingle: int, region: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node) of every row, and (node, component_id, comp, doc_id) of every class."""
     c.check_columns(docs, "doc_id", "text")
-    rows = c.table(docs.select("doc_id", "text").mapInArrow(_describe(shingle), "doc_id long, n long, node long, sig binary"), "sets")
-    classes = c.table(rows.where("n > 0 and doc_id is not null").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
-    comps = components(links(docs, classes, percent, shingle, region))
-    placed = classes.select("node", "doc_id").join(comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
-    placed = c.table(placed, "placed")
-    least = c.table(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
-    names = c.table(placed.join(least, "comp").select("node", "component_id"), "names")
+    found = docs.select("doc_id", "text").mapInArrow(_describe(shingle), "doc_id long, n long, node long, sig binary")
+    described = c.table(found, "sets")
+    groups = described.where("n > 0 and doc_id is not null").groupBy("node", "n")
+    classes = c.table(groups.agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
+    rows = c.table(described.select("doc_id", "n", "node"), "rows")
+    c.drop(described)
+    edges, comps = _linked(docs, classes, percent, shingle, region, ROUNDS)
+    placed = c.table(classes.select("node", "doc_id").join(comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp")), "placed")
+    least = placed.groupBy("comp").agg(F.min(F.struct("doc_id", "node")).alias("least"))
+    names = placed.join(least, "comp").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.node").alias("head"))
+    names = c.table(names, "names")
+    c.drop(classes, edges, comps, placed)
+    return rows, names
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, region: int = REGION) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
+    rows, names = _named(docs, percent, shingle, region)
     known = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     out = known.join(names, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = 2) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, region: int = REGION) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of one document a component.
 
-    A document is what one ``doc_id`` names: of repeated rows one stays. Rows without a
-    ``doc_id`` all stay."""
-    lost = near_duplicates(docs, percent, shingle).where("not kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(c.table(lost, "lost"), "doc_id", "left_anti").select(*docs.columns)
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    Rows with one ``doc_id`` and one set are one document, of which the row with the least text
+    (then the least in JSON form) stays; under one ``doc_id`` different sets are different
+    documents. Of rows without words, or without a ``doc_id``, none is a copy of another id's;
+    rows without a ``doc_id`` all stay."""
+    rows, names = _named(docs, percent, shingle, region)
+    known = rows.where("doc_id is not null").join(names, "node", "left")
+    stays = (F.col("n") == 0) | ((F.col("component_id") == F.col("doc_id")) & (F.col("head") == F.col("node")))
+    ids = known.groupBy("doc_id").agg(F.count("*").alias("m"), F.max(stays.cast("int")).alias("stays"))
+    ids = c.table(ids.where("m > 1 or stays = 0"), "dropped-ids")  # ids that do not simply stay
+    columns = F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row")
+    all_ = docs.select(columns, F.col("doc_id").alias("id"))
+    plain = all_.join(ids.select(F.col("doc_id").alias("id")), "id", "left_anti").select("row.*")
+    again = ids.where("m > 1").select(F.col("doc_id").alias("id"))
+
+    def tag(batches):
+        for batch in batches:
+            for part in c.slices(batch, "text", 2 << 20):
+                flat, at = shingle_sets(part.column("text").to_pylist(), shingle)
+                node = pa.array(set_keys(flat, at).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns, node], [*part.schema.names, "node"])
+
+    repeated = docs.select(columns, F.col("doc_id").alias("id"), "text").join(again, "id", "left_semi")
+    schema = repeated.schema
+    tagged = repeated.mapInArrow(tag, type(schema)([*schema.fields, rows.schema["node"]]))
+    heads = known.where(stays).select(F.col("doc_id").alias("id"), "node").distinct()
+    own = Window.partitionBy("id", "node").orderBy("text", F.to_json("row"))
+    some = tagged.join(heads, ["id", "node"], "left_semi").withColumn("place", F.row_number().over(own)).where("place = 1")
+    return plain.unionByName(some.select("row.*"))
 
 
 def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2)
