@@ -339,13 +339,13 @@ def tmax_candidates(spark, sf_dir):
     return spark.createDataFrame([(t,) for t in binning.candidates(1024, n)], "t_max long")
 
 
-@query("""WITH c AS (SELECT l_linenumber AS t_max, count(*) AS cost FROM lineitem WHERE l_quantity < 25 GROUP BY 1),
+@query("""WITH c AS (SELECT l_linenumber AS t_max, sum(l_quantity) / count(*) AS cost FROM lineitem GROUP BY 1),
 b AS (SELECT *, min(cost) OVER (ORDER BY t_max ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM c),
 s AS (SELECT *, coalesce(sum(CASE WHEN cost >= best THEN 1 ELSE 0 END) OVER (ORDER BY t_max ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM b)
 SELECT CAST(t_max AS BIGINT) AS t_max, CAST(cost AS DOUBLE) AS cost FROM s WHERE seen = 0""")
 def best_tmax_stop(spark, sf_dir):
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity < 25")
-    tried = li.groupBy(F.col("l_linenumber").cast("long").alias("t_max")).agg(F.count("*").cast("double").alias("cost"))
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    tried = li.groupBy(F.col("l_linenumber").cast("long").alias("t_max")).agg((F.sum("l_quantity") / F.count("*")).alias("cost"))
     return statistics.stop_early(tried)
 
 
