@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from sketchloom.config import IndexConfig, RunConfig
 from sketchloom.plans import entries
+from sketchloom.sources.files import write_text
 
 
 def parser() -> argparse.ArgumentParser:
@@ -64,24 +65,20 @@ def run(args: list[str], spark: SparkSession | None = None) -> int:
             text, stats, warnings = entries.make_layout(spark, config, given, a.output_sketches_to, a.timing_output, a.format_prefix)
             for w in warnings:
                 print(w, file=sys.stderr)
-            with open(a.output, "w") as f:
-                f.write(text)
+            write_text(spark, a.output, text)
             if stats and a.determine_best_tmax:
-                with open(a.output + ".stats", "w") as f:
-                    f.write(stats)
+                write_text(spark, a.output + ".stats", stats)
             elif stats:
                 print(stats, end="")
         elif a.command == "stats":
             text = entries.general_report(spark, a.input, a.output_shared_kmers) if a.report == "general" else entries.sizes_report(spark, a.input)
-            with open(a.output, "w") as f:
-                f.write(text)
+            write_text(spark, a.output, text)
         else:
             rows = entries.sketch_report(spark, a.input, a.bits, a.kmer).orderBy("sequence_id", "sketch_register_size").collect()
             names = ("sequence_id", "sequence_length", "sketch_register_size", "estimated_cardinality", "actual_cardinality", "expected_relative_error", "actual_relative_error")
-            with open(a.output, "w") as f:
-                f.write("\n".join([f"# input file: {a.input}", f"# k: {a.kmer}", "\t".join(names), *("\t".join(f"{r[n]:g}" if isinstance(r[n], float) else str(r[n]) for n in names) for r in rows)]) + "\n")
+            write_text(spark, a.output, "\n".join([f"# input file: {a.input}", f"# k: {a.kmer}", "\t".join(names), *("\t".join(f"{r[n]:g}" if isinstance(r[n], float) else str(r[n]) for n in names) for r in rows)]) + "\n")
         return 0
-    except ValueError as e:
+    except Exception as e:  # whatever went wrong is one line for the user
         print(f"[ERROR] {e}", file=sys.stderr)
         return -1
 

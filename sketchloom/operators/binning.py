@@ -6,6 +6,8 @@ numpy kernel in ``applyInPandas``; the tree is built level by level, all filters
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -120,7 +122,26 @@ def cardinalities(regs: np.ndarray) -> np.ndarray:
     return np.where((raw <= 2.5 * m) & (zero > 0), m * np.log(m / np.maximum(zero, 1)), raw)
 
 
-def _kernel(cfg: IndexConfig, has_regs: bool):
+_spent: dict[str, object] = {}  # accumulators of the driver, by what they measure
+
+
+def _clock(spark: SparkSession, name: str):
+    if name not in _spent or _spent[name][0] is not spark.sparkContext:
+        _spent[name] = (spark.sparkContext, spark.sparkContext.accumulator(0.0))
+    return _spent[name][1]
+
+
+def seconds(spark: SparkSession) -> tuple[float, float]:
+    """Seconds that tasks spent on union estimates and on rearrangement since the last call."""
+    out = []
+    for name in ("unions", "rearrangement"):
+        clock = _clock(spark, name)
+        out.append(float(clock.value))
+        clock.value = 0.0
+    return out[0], out[1]
+
+
+def _kernel(cfg: IndexConfig, has_regs: bool, unions, moves):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["kmer_count", "ub_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         path = [int(x) for x in pdf["ibf_path"][0]]
@@ -131,12 +152,17 @@ def _kernel(cfg: IndexConfig, has_regs: bool):
         if has_regs and not cfg.disable_estimate_union and len(pdf) > t:
             regs = np.stack([np.frombuffer(r, np.uint8) for r in pdf["regs"]])
             if not cfg.disable_rearrangement:
+                began = time.perf_counter()
                 order = order_by_similarity(counts, regs, cfg.max_rearrangement_ratio)
                 pdf, counts, regs = pdf.iloc[order].reset_index(drop=True), counts[order], regs[order]
+                moves.add(time.perf_counter() - began)
 
             def union(j):  # sizes of the unions of a .. j-1, for a = 0 .. j-2
+                began = time.perf_counter()
                 merged = np.maximum.accumulate(regs[j - 1 :: -1], 0)[1:][::-1]
-                return cardinalities(merged)
+                out = cardinalities(merged)
+                unions.add(time.perf_counter() - began)
+                return out
 
         rows = optimise(counts, t, cfg, union)
         relaxed = bloom.merged_factor(cfg.maximum_fpr, cfg.relaxed_fpr, cfg.number_of_hash_functions)
@@ -165,7 +191,7 @@ def layouts(counts: DataFrame, candidates: list[int], cfg: IndexConfig, regs: Da
     done: list[DataFrame] = []
     while True:
         work = front.join(regs, "ub_id") if regs is not None else front
-        level = work.groupBy("run", "ibf_path").applyInPandas(_kernel(cfg, regs is not None), ROWS).persist()
+        level = work.groupBy("run", "ibf_path").applyInPandas(_kernel(cfg, regs is not None, _clock(spark, "unions"), _clock(spark, "rearrangement")), ROWS).persist()
         done.append(level)
         front = level.where("merged").select("ub_id", "kmer_count", "run", F.col("run").alias("tmax"), F.concat("ibf_path", F.array("tb")).alias("ibf_path"))
         if front.isEmpty():

@@ -44,6 +44,9 @@ def sketch(elements: DataFrame, bits: int) -> DataFrame:
     return hll.native(elements, bits).withColumn("kmer_count", hll.estimate("sketch"))
 
 
+REGISTERS = 4096
+
+
 def packed_registers(elements: DataFrame) -> DataFrame:
     """(ub_id, regs): 4096 one-byte registers, for union estimates inside the optimiser."""
     pairs = hll.registers(elements).groupBy("ub_id").agg(F.collect_list(F.struct("reg", "rank")).alias("pairs"))
@@ -52,7 +55,7 @@ def packed_registers(elements: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for pairs in batch.column("pairs"):
-                row = np.zeros(4096, np.uint8)
+                row = np.zeros(REGISTERS, np.uint8)
                 row[pairs.values.field("reg").to_numpy()] = pairs.values.field("rank").to_numpy()
                 out.append(row.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("ub_id"), pa.array(out, pa.binary())], ["ub_id", "regs"])
@@ -80,11 +83,39 @@ def search(spark: SparkSession, counts: DataFrame, cfg: IndexConfig, verbose: bo
     return best[2], best[1], text + f"# Best t_max (regarding expected query runtime): {best[1]}\n"
 
 
-def write_sketches(sketched: DataFrame, bins: DataFrame, config: RunConfig, path: str) -> None:
-    """Sketches with files and the whole configuration, as Parquet."""
+def write_sketches(sketched: DataFrame, bins: DataFrame, config: RunConfig, path: str, regs: DataFrame | None = None) -> None:
+    """Sketches with files, the registers for union estimates, and the whole configuration, as
+    Parquet."""
     if not path.endswith((".sketch", ".sketches")):
         raise ValueError('The sketch output file must have the extension ".sketch" or ".sketches".')
-    sketched.join(bins, "ub_id").withColumn("config", F.lit(json.dumps(asdict(config)))).write.mode("overwrite").parquet(path)
+    rows = sketched.join(bins, "ub_id")
+    rows = rows.join(regs, "ub_id", "left") if regs is not None else rows.withColumn("regs", F.lit(None).cast("binary"))
+    rows.withColumn("config", F.lit(json.dumps(asdict(config)))).write.mode("overwrite").parquet(path)
+
+
+def read_registers(spark: SparkSession, path: str) -> DataFrame | None:
+    """(ub_id, regs) of stored sketches; None where they were stored without."""
+    df = spark.read.parquet(path)
+    if "regs" not in df.columns or df.where("regs is not null").isEmpty():
+        return None
+    return df.select("ub_id", F.coalesce("regs", F.lit(bytes(REGISTERS))).alias("regs"))
+
+
+def write_single_sketches(spark: SparkSession, sketched: DataFrame, bins: DataFrame, folder: str) -> list[str]:
+    """One ``<stem of the first file>.hll`` for each user bin; returns the paths."""
+    out = []
+    rows = sketched.join(bins, "ub_id").select("sketch", F.get("files", 0).alias("file"))
+    for r in rows.toLocalIterator():
+        stem = r["file"].rsplit("/", 1)[-1].removesuffix(".gz").rsplit(".", 1)[0]
+        out.append(f"{folder.rstrip('/')}/{stem}.hll")
+        src.write_bytes(spark, out[-1], bytes(r["sketch"]))
+    return sorted(out)
+
+
+def count_lines(counts: DataFrame, bins: DataFrame) -> DataFrame:
+    """Lines ``files joined by ";" <tab> count <tab> files joined by ";"`` of user bins, in order."""
+    names = F.concat_ws(";", "files")
+    return counts.join(bins, "ub_id").orderBy("ub_id").select(F.concat_ws("\t", names, F.col("kmer_count").cast("string"), names).alias("value"))
 
 
 def read_sketches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, RunConfig]:
@@ -107,6 +138,10 @@ def make_layout(spark: SparkSession, config: RunConfig, options: set[str] = froz
     if config.data_file.endswith((".sketch", ".sketches")):
         sketched, bins, stored = read_sketches(spark, config.data_file)
         config, warnings = reconcile(config, stored, set(options))
+        if not config.index.disable_estimate_union:
+            regs = read_registers(spark, config.data_file)
+            if regs is None:
+                warnings.append("[WARNING] The sketch file holds no registers for union estimates: merged bins are sized by sums, and nothing is rearranged.")
     else:
         if config.k > config.window_size:
             raise ValueError("The k-mer size cannot be bigger than the window size.")
@@ -131,12 +166,13 @@ def make_layout(spark: SparkSession, config: RunConfig, options: set[str] = froz
         layout = binning.compute(spark, counts, cfg, regs)
         if config.output_verbose_statistics:
             stats = statistics.header(True) + statistics.Summary(layout.frames(spark)[0], counts, cfg, only).line(None, True) + "\n"
+    layouting = time.time() - began
     config = replace(config, index=cfg)
     if sketches_to:
-        write_sketches(sketched, bins, config, sketches_to)
+        write_sketches(sketched, bins, config, sketches_to, regs)
     if timing_to:
-        with open(timing_to, "w") as f:
-            f.write("sketching_in_seconds\tlayouting_in_seconds\tunion_estimation_in_seconds\trearrangement_in_seconds\n" + "\t".join(f"{x:.2f}" for x in (sketching, time.time() - began, 0, 0)) + "\t")
+        spent = binning.seconds(spark)
+        src.write_text(spark, timing_to, "sketching_in_seconds\tlayouting_in_seconds\tunion_estimation_in_seconds\trearrangement_in_seconds\n" + "\t".join(f"{x:.2f}" for x in (sketching, layouting, *spent)) + "\t")
     return layout_text(files, config, layout, prefix), stats, warnings
 
 
@@ -162,5 +198,6 @@ def sketch_report(spark: SparkSession, path: str, bits: list[int], k: int = 20)
     """Accuracy of sketches for each sequence of a file, forward k-mers."""
     bins = spark.createDataFrame([(0, [path])], "ub_id long, files array<string>")
     seqs = src.sequences(spark, bins).select("id", F.length("seq").alias("sequence_length"), "seq")
-    own = kmers.pieces(seqs).select("id", "sequence_length", F.explode(kmers.hashes(F.col("seq"), k, seeded=False)).alias("h"))
+    each = seqs.select(F.struct("id", "sequence_length").alias("record"), "seq")
+    own = kmers.elements(each, k, seeded=False, key="record").select("record.*", "h")
     return report.sketch_accuracy(own, bits, ["id", "sequence_length"]).withColumnRenamed("id", "sequence_id")

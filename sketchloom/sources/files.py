@@ -4,8 +4,6 @@ All go through Spark's own readers, so any store that Spark can open will do."""
 
 from __future__ import annotations
 
-import gzip
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +20,37 @@ def read_text(spark: SparkSession, path: str) -> str:
     return row[0] if row else ""
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file, through Spark's file system, whatever the store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
+def missing(spark: SparkSession, names: list[str]) -> list[str]:
+    """Those of the files that don't exist; every folder is listed once."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    by_folder: dict[str, list[tuple[str, str]]] = {}
+    for n in names:
+        p = jvm.org.apache.hadoop.fs.Path(n)
+        parent = p.getParent()
+        by_folder.setdefault(parent.toString() if parent else ".", []).append((p.getName(), n))
+    out = []
+    for folder, files in by_folder.items():
+        p = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = p.getFileSystem(conf)
+        there = {f.getPath().getName() for f in fs.listStatus(p)} if fs.exists(p) else set()
+        out += [n for name, n in files if name not in there]
+    return sorted(out)
+
+
 def user_bins(spark: SparkSession, path: str) -> DataFrame:
     """(ub_id, files): one line a user bin; files split by single spaces up to the first tab."""
     if not exists(spark, path):
@@ -38,9 +67,8 @@ def user_bins(spark: SparkSession, path: str) -> DataFrame:
 def check_files(spark: SparkSession, bins: DataFrame) -> bool:
     """Whether the files hold precomputed hashes; all must or none, and all must exist."""
     names = [r[0] for r in bins.select(F.explode("files")).distinct().toLocalIterator()]
-    for n in sorted(names):
-        if not exists(spark, n):
-            raise ValueError(f"File {n} does not exist!")
+    if lost := missing(spark, names):
+        raise ValueError(f"File {lost[0]} does not exist!")
     kinds = {n.lower().endswith(".minimiser") for n in names}
     if len(kinds) > 1:
         first = bins.orderBy("ub_id").first()["files"][0].lower().endswith(".minimiser")
@@ -56,29 +84,40 @@ def _files(bins: DataFrame) -> DataFrame:
 
 
 def sequences(spark: SparkSession, bins: DataFrame) -> DataFrame:
-    """(ub_id, file, id, seq) of FASTA or FASTQ files, plain or gzipped."""
+    """(ub_id, file, id, seq) of FASTA or FASTQ files, plain or gzipped.
+
+    Both are read as text whose records end where a line starts with the format's mark, so a
+    large plain file is read by many tasks. Of FASTQ only records of four lines are known."""
     wanted = _files(bins)
     paths = sorted({r[0] for r in wanted.select("file").distinct().toLocalIterator()})
     fastq = [p for p in paths if p.lower().removesuffix(".gz").endswith((".fq", ".fastq"))]
     fasta = [p for p in paths if p not in set(fastq)]
     parts = []
-    if fasta:  # records are split at ">", so a large file is read by many tasks
-        raw = spark.read.option("lineSep", ">").text(fasta).select("value", F.col("_metadata.file_path").alias("path")).where(F.length(F.trim("value")) > 0)
-        rest = F.expr("substring(value, length(substring_index(value, '\n', 1)) + 1)")
-        parts.append(raw.select("path", F.trim(F.substring_index("value", "\n", 1)).alias("id"), F.regexp_replace(rest, r"\s", "").alias("seq")))
-    if fastq:
-
-        def parse(batches):
-            for batch in batches:
-                for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                    lines = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode().splitlines()
-                    yield pa.RecordBatch.from_pydict({"path": [path] * (len(lines) // 4), "id": [x[1:] for x in lines[0::4]][: len(lines) // 4], "seq": lines[1::4][: len(lines) // 4]})
-
-        parts.append(spark.read.format("binaryFile").load(fastq).select("path", "content").mapInArrow(parse, "path string, id string, seq string"))
+    for names, mark in ((fasta, ">"), (fastq, "@")):
+        if not names:
+            continue
+        value = F.regexp_replace("value", rf"^\s*{mark}", "")  # only a file's first record keeps its mark
+        raw = spark.read.option("lineSep", f"\n{mark}").text(names).select(value.alias("value"), F.col("_metadata.file_path").alias("path")).where(F.trim("value") != "")
+        head = F.trim(F.regexp_replace(F.substring_index("value", "\n", 1), "\r$", "")).alias("id")
+        if mark == ">":
+            rest = F.expr("substring(value, length(substring_index(value, '\n', 1)) + 1)")
+            parts.append(raw.select("path", head, F.translate(rest, "\n\r\t ", "").alias("seq")))
+        else:  # a quality line that starts with the mark is a piece of one line: no record
+            lines = F.split("value", "\n")
+            record = raw.where((F.size(lines) >= 3) & F.startswith(F.get(lines, 2), F.lit("+")))
+            parts.append(record.select("path", head, F.translate(F.get(lines, 1), "\r\t ", "").alias("seq")))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return _attach(spark, wanted, out).select("ub_id", "file", "id", "seq")
 
 
+def file_sizes(spark: SparkSession, bins: DataFrame) -> DataFrame:
+    """(ub_id, file, bytes): the size of the first file of each user bin."""
+    first = bins.select("ub_id", F.get("files", 0).alias("file"))
+    paths = sorted({r[0] for r in first.select("file").distinct().toLocalIterator()})
+    found = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"))
+    return _attach(spark, first, found).select("ub_id", "file", "bytes")
+
+
 def _attach(spark: SparkSession, wanted: DataFrame, rows: DataFrame) -> DataFrame:
     """Join rows read from ``path`` to the user bins that list the file."""
     tail = lambda c: F.regexp_replace(F.regexp_replace(c, "^[a-z0-9]+:/*", "/"), "^/+", "/")

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,3 +350,66 @@ def test_streaming(spark, tmp_path):
     sketches.maintain(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = sketches.current(spark.read.parquet(str(tmp_path / "out"))).collect()
     assert len(got) == 3 and all(abs(r.estimate - 1000) < 60 for r in got)
+
+
+# ------------------------------------------------------------------ files with marks inside, long sequences
+def test_marks_inside_records(spark, tmp_path):
+    (tmp_path / "a.fa").write_bytes(b">seq1 5'->3' strand > x\r\nACGT\r\nAC>GT\r\n>\r\nTT\r\n>seq3\nGG\nCC")
+    (tmp_path / "b.fq").write_bytes(b"@r1 a@b\nACGT\n+\n@III\n@r2\nTTTTA\n+r2\n@@@@@\n@r3\n\n+\n\n@r4\nGG\n+\n+@\n")
+    bins = spark.createDataFrame([(0, [str(tmp_path / "a.fa")]), (1, [str(tmp_path / "b.fq")])], "ub_id long, files array<string>")
+    got = sorted((r.ub_id, r.id, r.seq) for r in src.sequences(spark, bins).collect())
+    assert got == [(0, "", "TT"), (0, "seq1 5'->3' strand > x", "ACGTAC>GT"), (0, "seq3", "GGCC"), (1, "r1 a@b", "ACGT"), (1, "r2", "TTTTA"), (1, "r3", ""), (1, "r4", "GG")]
+    sizes = {r.ub_id: r.bytes for r in src.file_sizes(spark, bins).collect()}
+    assert sizes == {0: (tmp_path / "a.fa").stat().st_size, 1: (tmp_path / "b.fq").stat().st_size}
+    assert src.missing(spark, [str(tmp_path / "a.fa"), str(tmp_path / "c.fa"), str(tmp_path / "no" / "d.fa")]) == sorted([str(tmp_path / "c.fa"), str(tmp_path / "no" / "d.fa")])
+
+
+@pytest.mark.parametrize("k,w", [(15, 15), (15, 24), (32, 32)])
+def test_pieces_of_a_long_sequence(spark, monkeypatch, k, w):
+    rng = random.Random(w)
+    seq = "".join(rng.choice("ACGTN" if i % 40 == 0 else "ACGT") for i in range(3000))
+    monkeypatch.setattr(kmers, "PIECE", 128)
+    run = kmers._kernel(k, w, True, "key", "seq", True)
+    batch = pa.RecordBatch.from_pydict({"key": ["x", "x", None], "seq": [seq, seq[:700], None]})
+    got = [h for b in run([batch]) for h in b.column("h").to_pylist()]
+    assert set(got) == brute_kmers(seq, k, w)
+    monkeypatch.setattr(kmers, "PIECE", 1 << 30)
+    assert set(got) == {h for b in kmers._kernel(k, w, True, "key", "seq", False)([batch]) for h in b.column("h").to_pylist()}
+
+
+def test_fifty_million_bases(spark):
+    """One record of 50 Mb: a repeat of 1,000 bases has no more than 1,000 different k-mers."""
+    rng = random.Random(3)
+    unit = "".join(rng.choice("ACGT") for _ in range(1000))
+    seqs = spark.range(1).select(F.col("id").alias("ub_id"), F.repeat(F.lit(unit), 50_000).alias("seq"))
+    got = kmers.elements(seqs, 19)
+    assert {r.h for r in got.distinct().collect()} == brute_kmers(unit * 2, 19, 19)
+
+
+def test_unions_from_stored_sketches(spark, tmp_path):
+    """The same layout from stored sketches as from the files, with union estimates."""
+    rng = random.Random(2)
+    common = [rng.getrandbits(60) for _ in range(400)]
+    lines = []
+    for i in range(90):
+        own = [rng.getrandbits(60) for _ in range(20 + i)] + (common if i % 2 else [])
+        (tmp_path / f"{i}.minimiser").write_bytes(b"".join(x.to_bytes(8, "little") for x in own))
+        lines.append(str(tmp_path / f"{i}.minimiser"))
+    (tmp_path / "list").write_text("\n".join(lines) + "\n")
+    config = RunConfig(data_file=str(tmp_path / "list"), index=IndexConfig(tmax=64))
+    stored, timing = str(tmp_path / "s.sketches"), str(tmp_path / "timing")
+    text, _, _ = entries.make_layout(spark, config, set(), stored, timing)
+    again, _, warnings = entries.make_layout(spark, RunConfig(data_file=stored, index=IndexConfig(tmax=64)), set())
+    assert Layout.from_text(again) == Layout.from_text(text) and warnings == []
+    assert any(len(p) == 1 for _, p, *_ in Layout.from_text(text).user_bins)
+    spent = [float(x) for x in open(timing).read().splitlines()[1].split()]
+    assert len(spent) == 4 and spent[2] > 0 and spent[3] >= 0
+    bins = spark.createDataFrame([(0, [str(tmp_path / "x.fa.gz")])], "ub_id long, files array<string>")
+    entries.write_sketches(entries.sketch(spark.createDataFrame([(0, 1)], "ub_id long, h long"), 12), bins, RunConfig(), str(tmp_path / "bare.sketch"))
+    assert entries.read_registers(spark, str(tmp_path / "bare.sketch")) is None
+    assert entries.write_single_sketches(spark, entries.sketch(spark.createDataFrame([(0, 1)], "ub_id long, h long"), 12), bins, str(tmp_path)) == [f"{tmp_path}/x.hll"]
+
+
+def test_any_fault_is_one_line(spark, tmp_path, capsys):
+    assert cli.run(["stats", "general", "--input", str(tmp_path / "none"), "--output", str(tmp_path / "out")], spark) == -1
+    assert capsys.readouterr().err.startswith("[ERROR] ")
