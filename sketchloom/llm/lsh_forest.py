@@ -10,9 +10,8 @@
   do not rule it out, at 4.5 sigma); members of larger regions all stay.
 * In each round the orders are sorted anew and every class meets its neighbours by longest
   common prefix that are in another component (the depth that counts so adapts to the region);
-  each takes its ``BEST`` most alike ones to the full comparison. Links join components, and
-  rounds go on, among regions that still hold several components, until one links nothing
-  (``ROUNDS`` at most).
+  each takes its ``BEST`` most alike ones to the full comparison. Links join components;
+  ``ROUNDS`` rounds do, as groups mostly join in the first.
 * What the rounds leave open is settled exactly, without listing the pairs of a region: classes
   that still have a possible partner in another component are joined by the prefix filter. In
   ascending order of frequency, two sets that are similar enough share one of their first
@@ -42,9 +41,8 @@ from sketchloom.llm import common as c
 TREES, DEPTH, START = 24, 6, 4
 REGION = 32
 PERCENT, SHINGLE = 80, 5
-ROUNDS, BEST = 6, 2
+ROUNDS, BEST = 2, 3
 RATIO = 1.05  # of the size classes of the exact join
-PARTNERS = 64  # that one task row of a confirmation holds at most
 _draw = np.random.default_rng(77)
 FLIPS = _draw.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
 FACTORS = _draw.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -209,20 +207,17 @@ def _neighbours(percent: int):
 # ------------------------------------------------------------------ links on full sets
 def _confirm(percent: int):
     def run(batches):
-        own = np.zeros(0, np.int64)
         for batch in batches:
-            tokens = batch.column("tokens")
-            flat, at = tokens.values.to_numpy(zero_copy_only=False), tokens.offsets.to_numpy()
-            head = batch.column("b").is_null().to_numpy(zero_copy_only=False)
+            sides = []
+            for x in ("tokens_a", "tokens_b"):
+                column = batch.column(x)
+                sides.append((column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()))
+            (flat_a, at_a), (flat_b, at_b) = sides
             good = []
-            for i in range(len(head)):
-                one = flat[at[i] : at[i + 1]]
-                if head[i]:
-                    own = one.copy()
-                    continue
-                both = np.concatenate([own, one])
+            for i in range(batch.num_rows):
+                both = np.concatenate([flat_a[at_a[i] : at_a[i + 1]], flat_b[at_b[i] : at_b[i + 1]]])
                 both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
+                same = int(np.count_nonzero(both[1:] == both[:-1]))
                 if 100 * same >= percent * (len(both) - same):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).take(pa.array(good, pa.int64()))
@@ -231,32 +226,28 @@ def _confirm(percent: int):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar enough.
-
-    The set of ``a`` travels once for each ``PARTNERS`` pairs, that of ``b`` once a pair."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
-    heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    first = heads.join(sets.select(F.col("node").alias("a"), "tokens"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "tokens")
-    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
-    others = pairs.join(parts, "a").join(sets.select(F.col("node").alias("b"), "tokens"), "b").select("a", part, "b", "tokens")
-    rows = first.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
-    return c.table(rows.select("a", "b", "tokens").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    """The pairs (a, b) of nodes whose whole sets are similar enough; one set a pair travels."""
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a")), "a")
+    both = with_a.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+    return c.table(both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
 
 # ------------------------------------------------------------------ components
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of every node of an edge table (a, b): comp is the least node reachable."""
-    edges = c.table(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
+    """(node, comp) of every node of an edge table (a, b): comp is the least node reachable.
+
+    In each round a node takes the least label of its neighbours, and that label's own label of
+    the round before."""
+    edges = c.table(links.select("a", "b").union(links.select("b", "a")).where("a <> b"), "edges")
     labels = c.table(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "node"), "labels")
     while True:
-        heard = edges.join(labels, edges.a == labels.node).groupBy("b").agg(F.min("comp").alias("heard"))
-        both = labels.join(heard, labels.node == F.col("b"), "left")
-        told = c.table(both.select("node", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp")), "told")
-        jump = told.select(F.col("node").alias("to"), F.col("comp").alias("further"))
-        further = told.join(jump, F.col("comp") == F.col("to"), "left")
-        new = c.table(further.select("node", "old", F.least("comp", "further").alias("comp")), "labels")
+        old = labels.select("node", "comp")
+        heard = edges.join(old, edges.a == old.node).groupBy("b").agg(F.min("comp").alias("heard"))
+        told = old.join(heard, old.node == F.col("b")).select("node", F.col("comp").alias("old"), F.least("comp", "heard").alias("low"))
+        further = told.join(old.select(F.col("node").alias("to"), F.col("comp").alias("further")), F.col("low") == F.col("to"), "left")
+        new = c.table(further.select("node", "old", F.least("low", "further").alias("comp")), "labels")
         done = new.where("old <> comp").isEmpty()
-        c.drop(told, labels)
+        c.drop(labels)
         labels = new
         if done:
             c.drop(edges)
@@ -372,11 +363,11 @@ def _linked(docs: DataFrame, classes: DataFrame, percent: int, shingle: int, reg
 
     for _ in range(rounds):
         order = placed().repartitionByRange(n_parts, "key", "rest", "node").sortWithinPartitions("key", "rest", "node")
-        near = order.select("key", "node", "comp", "n", "sig").mapInArrow(_neighbours(percent), "node long, a long, b long, like int").distinct()
+        near = order.select("key", "node", "comp", "n", "sig").mapInArrow(_neighbours(percent), "node long, a long, b long, like int")
         if tested is not None:
             near = near.join(tested, ["a", "b"], "left_anti")
         # A class has two neighbours an order, so at most 48 here.
-        best = near.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("like")).alias("like"), "a", "b"))), 1, BEST).alias("best"))
+        best = near.groupBy("node").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("like")).alias("like"), "a", "b"))), 1, BEST).alias("best"))
         pairs = c.table(best.select(F.explode("best").alias("p")).select("p.a", "p.b").distinct(), "pairs")
         won = confirmed(pairs, sets, percent)
         seen = pairs if tested is None else c.table(tested.unionByName(pairs), "tested")
