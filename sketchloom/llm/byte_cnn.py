@@ -32,10 +32,16 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 DIM = 8
 SAMPLE = 6_000
-LETTER = re.compile(r"[^\W\d_]")
+NAMES = ("embed", "filters", "bias", "out", "out_bias")
+MAYBE_LETTER = re.compile(r"[^\W\d_]")  # also other numbers, such as fractions
 OUT = "doc_id long, lang_pred string, score double"
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode's category L."""
+    return any(m[0].isalpha() for m in MAYBE_LETTER.finditer(text))
+
+
 class ByteCnn:
     def __init__(self, classes: list[str], seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -63,40 +69,43 @@ class ByteCnn:
         top = (p.reshape(-1, p.shape[2]) @ self.filters).reshape(len(x), p.shape[1], -1).max(1)
         return np.maximum(top + self.bias, 0) @ self.out + self.out_bias
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Slopes of the mean cross-entropy; a filter learns at the place of its maximum."""
+        wide = max(WIDTHS)
+        p = self._patches(x)
+        conv = (p.reshape(-1, p.shape[2]) @ self.filters).reshape(len(x), p.shape[1], -1)
+        where = conv.argmax(1)
+        top = np.take_along_axis(conv, where[:, None, :], 1)[:, 0] + self.bias
+        hidden = np.maximum(top, 0)
+        z = hidden @ self.out + self.out_bias
+        z -= z.max(1, keepdims=True)
+        soft = np.exp(z)
+        soft /= soft.sum(1, keepdims=True)
+        soft[np.arange(len(y)), y] -= 1
+        soft /= len(y)
+        d_hidden = (soft @ self.out.T) * (top > 0)
+        chosen = p[np.arange(len(x))[:, None], where]  # (windows, filters, wide * DIM)
+        d_filters = np.einsum("bf,bfi->if", d_hidden, chosen) * self.mask
+        d_patch = (d_hidden[:, :, None] * self.filters.T[None]).reshape(len(x), -1, wide, DIM)
+        d_embed = np.zeros_like(self.embed)
+        places = where[:, :, None] + np.arange(wide)
+        np.add.at(d_embed, x[np.arange(len(x))[:, None, None], places].ravel(), d_patch.reshape(-1, DIM))
+        d_embed[0] = 0  # padding
+        return dict(embed=d_embed, filters=d_filters, bias=d_hidden.sum(0), out=hidden.T @ soft, out_bias=soft.sum(0))
+
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.004, least_steps: int = 400, seed: int = 9) -> None:
         epochs = max(epochs, -(-least_steps * batch // max(1, len(x))))
         rng = np.random.default_rng(seed)
-        names = ["embed", "filters", "bias", "out", "out_bias"]
-        first = {k: np.zeros_like(getattr(self, k)) for k in names}
-        second = {k: np.zeros_like(getattr(self, k)) for k in names}
-        step, wide = 0, max(WIDTHS)
+        first = {k: np.zeros_like(getattr(self, k)) for k in NAMES}
+        second = {k: np.zeros_like(getattr(self, k)) for k in NAMES}
+        step = 0
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
                 own = order[at : at + batch]
-                xb, yb = x[own], y[own]
-                p = self._patches(xb)
-                conv = (p.reshape(-1, p.shape[2]) @ self.filters).reshape(len(xb), p.shape[1], -1)
-                where = conv.argmax(1)
-                top = np.take_along_axis(conv, where[:, None, :], 1)[:, 0] + self.bias
-                hidden = np.maximum(top, 0)
-                z = hidden @ self.out + self.out_bias
-                z -= z.max(1, keepdims=True)
-                soft = np.exp(z)
-                soft /= soft.sum(1, keepdims=True)
-                soft[np.arange(len(yb)), yb] -= 1
-                soft /= len(yb)
-                d_hidden = (soft @ self.out.T) * (top > 0)
-                chosen = p[np.arange(len(xb))[:, None], where]  # (windows, filters, wide * DIM)
-                d_filters = np.einsum("bf,bfi->if", d_hidden, chosen) * self.mask
-                d_patch = (d_hidden[:, :, None] * self.filters.T[None]).reshape(len(xb), -1, wide, DIM)
-                d_embed = np.zeros_like(self.embed)
-                places = where[:, :, None] + np.arange(wide)
-                np.add.at(d_embed, xb[np.arange(len(xb))[:, None, None], places].ravel(), d_patch.reshape(-1, DIM))
-                d_embed[0] = 0  # padding
-                grads = dict(embed=d_embed, filters=d_filters, bias=d_hidden.sum(0), out=hidden.T @ soft, out_bias=soft.sum(0))
+                grads = self.gradients(x[own], y[own])
                 step += 1
-                for k in names:
+                for k in NAMES:
                     first[k] = 0.9 * first[k] + 0.1 * grads[k]
                     second[k] = 0.999 * second[k] + 0.001 * grads[k] ** 2
                     change = rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
@@ -122,7 +131,7 @@ class ByteCnn:
             np.add.at(sums, doc[i : i + 128], z * weight[i : i + 128, None])
         out = []
         for t, r, s in zip(texts, raw, sums):
-            if not t or not LETTER.search(t):
+            if not t or not has_letter(t):
                 out.append(("und", 1.0))
                 continue
             z = s / len(r)
