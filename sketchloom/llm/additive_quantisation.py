@@ -5,17 +5,19 @@ codebooks. Codebooks are learned by residual k-means on a bounded seeded sample
 (``sample`` rows, at most) and refined by least squares; every vector is encoded by beam
 search over the codebooks and stored with the squared norm of its reconstruction. A query
 scores all codes by lookup tables (``|x|^2 - 2 q.x`` with one table of dot products a
-codebook), blockwise; the best ``rerank`` of each block, and all that tie with the last of them,
-are measured exactly on the original vectors, and the exact distances alone decide the result.
+codebook), slice by slice; of each partition the best ``rerank`` so far, and all that tie with the
+last of them, are measured exactly on the original vectors, and the exact distances alone decide
+the result. What is measured grows with the logarithm of a partition's rows.
 
 The index holds each distinct vector once, with its ``k + 1`` smallest ids (one may be the query's
-own), so a group of equal vectors takes one place of a block's ``rerank``. Each partition measures
+own), so a group of equal vectors takes one of the ``rerank`` places. Each partition measures
 its candidates where the vectors lie; only ``k`` ids a query and partition are shuffled, and the
 final top ``k`` is an aggregate over these.
 
-Defined results: vectors that are null, zero, of another length than the first query's or hold
+Defined results: vectors that are null, zero, of another length than most of the sample's or hold
 null or non-finite components take no part; distance ties go to the smaller ``vec_id``;
-repeated rows of one id count once, at the least of their distances; with fewer candidates than ``k`` all are returned; an empty table gives an
+repeated rows of one id count once, at the least of their distances, and the least of a query
+id's vectors is the query; distances too large for a double are the largest double; with fewer candidates than ``k`` all are returned; an empty table gives an
 empty result. Queries are a stated set (``vec_id`` divisible by ``every``), held in blocks of
 ``block`` by the tasks.
 """
@@ -34,6 +36,27 @@ from sketchloom.llm import common as c
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
+LARGEST = np.finfo(np.float64).max
+
+
+def _single(x: np.ndarray) -> np.ndarray:
+    """As float32, kept where squares and sums stay finite; only the approximate scores see it."""
+    return np.clip(x, -1e15, 1e15).astype(np.float32)
+
+
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances along the last axis, also where squares overflow."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        diff = np.clip(x - q, -LARGEST, LARGEST)
+        out = np.sqrt((diff**2).sum(-1))
+        odd = ~np.isfinite(out)
+        if odd.any():
+            far = diff[odd]
+            top = np.abs(far).max(-1)
+            out[odd] = np.minimum(top * np.sqrt(((far / top[:, None]) ** 2).sum(-1)), LARGEST)
+    return out
+
+
 class AdditiveQuantiser:
     """Codebooks of shape (books, words, dim)."""
 
@@ -46,7 +69,7 @@ class AdditiveQuantiser:
     @classmethod
     def fit(cls, x: np.ndarray, books: int = 16, words: int = 128, rounds: int = 4, seed: int = 7) -> AdditiveQuantiser:
         rng = np.random.default_rng(seed)
-        x = x.astype(np.float32)
+        x = _single(x)
         words = max(1, min(words, len(x)))
         res, found = x.copy(), []
         for _ in range(books):
@@ -81,7 +104,7 @@ class AdditiveQuantiser:
         codes = np.zeros((len(x), books), np.uint8)
         norms = np.zeros(len(x), np.float32)
         for at in range(0, len(x), 256):
-            part = x[at : at + 256].astype(np.float32)
+            part = _single(x[at : at + 256])
             dots = np.einsum("nd,bkd->nbk", part, self.codebooks, optimize=True)
             own = np.einsum("bkbk->bk", self.cross)
             n = len(part)
@@ -107,7 +130,7 @@ class AdditiveQuantiser:
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """-2 q.c for each (query, codebook, word)."""
-        return -2 * np.einsum("qd,bkd->qbk", queries.astype(np.float32), self.codebooks, optimize=True)
+        return -2 * np.einsum("qd,bkd->qbk", _single(queries), self.codebooks, optimize=True)
 
 
 def valid(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -151,7 +174,7 @@ def _encode(model: AdditiveQuantiser, dim: int, beam: int):
 
 
 def _search(model: AdditiveQuantiser, q_ids: np.ndarray, q: np.ndarray, k: int, rerank: int):
-    dim = q.shape[1]
+    dim, lut = q.shape[1], model.tables(q)
 
     def least(ids, d):
         """The first ``k`` by (distance, id) of each row, every id once; the rest is infinite."""
@@ -162,29 +185,31 @@ def _search(model: AdditiveQuantiser, q_ids: np.ndarray, q: np.ndarray, k: int,
         more = ((0, 0), (0, k - order.shape[1]))
         return np.pad(np.take_along_axis(ids, order, 1), more), np.pad(np.take_along_axis(d, order, 1), more, constant_values=np.inf)
 
-    def best(ids, there, x, codes, norms, lut, qs, own):
-        books = codes.shape[1]
-        approx = np.repeat(norms[None, :], len(qs), 0)
-        for b in range(books):
-            approx += lut[:, b, :][:, codes[:, b]]
-        last = min(rerank, len(ids)) - 1
-        cut = np.partition(approx, last, 1)[:, last]
-        keep = int((approx <= cut[:, None]).sum(1).max())  # ties with the last count
-        step = max(1, len(qs) * (last + 1) // (keep * ids.shape[1]))
+    def best(ids, there, x, codes, norms, at, kept):
+        """Of one slice the nearest to the queries ``at``; ``kept`` are their least scores so far."""
+        approx = np.repeat(norms[None, :], len(q[at]), 0)
+        for b in range(codes.shape[1]):
+            approx += lut[at, b, :][:, codes[:, b]]
+        few = min(rerank, len(ids))
+        low = np.concatenate([kept[at], np.partition(approx, few - 1, 1)[:, :few]], 1)
+        kept[at] = np.partition(low, rerank - 1, 1)[:, :rerank]
+        wanted = approx <= kept[at].max(1)[:, None]  # ties with the last count
+        keep = max(1, int(wanted.sum(1).max()))
+        step = max(1, 64 * 320 // (keep * ids.shape[1]))
         out = []
-        for at in range(0, len(qs), step):
-            q = qs[at : at + step]
-            near = np.argpartition(approx[at : at + step], keep - 1, 1)[:, :keep]
-            exact = np.sqrt(((x[near] - q[:, None, :]) ** 2).sum(2))
-            d = np.where(there[near] & (ids[near] != own[at : at + step, None, None]), exact[:, :, None], np.inf)
-            out.append(least(ids[near].reshape(len(q), -1), d.reshape(len(q), -1)))
+        for i in range(0, len(approx), step):
+            own = q[at][i : i + step]
+            near = np.argpartition(approx[i : i + step], keep - 1, 1)[:, :keep]
+            exact = distances(x[near], own[:, None, :])
+            counts = np.take_along_axis(wanted[i : i + step], near, 1)[:, :, None] & there[near] & (ids[near] != q_ids[at][i : i + step, None, None])
+            out.append(least(ids[near].reshape(len(own), -1), np.where(counts, exact[:, :, None], np.inf).reshape(len(own), -1)))
         return tuple(np.concatenate(z) for z in zip(*out))
 
     def merged(old, new):
         return new if old is None else least(np.concatenate([old[0], new[0]], 1), np.concatenate([old[1], new[1]], 1))
 
     def run(batches):
-        lut, top = model.tables(q), None
+        top, kept = None, np.full((len(q), rerank), np.inf, np.float32)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
@@ -194,7 +219,7 @@ def _search(model: AdditiveQuantiser, q_ids: np.ndarray, q: np.ndarray, k: int,
                 ids[there] = part.column("ids").flatten().to_numpy()
                 codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
                 norms = part.column("norm").to_numpy().astype(np.float32)
-                found = [best(ids, there, x, codes, norms, lut[i : i + 64], q[i : i + 64], q_ids[i : i + 64]) for i in range(0, len(q), 64)]
+                found = [best(ids, there, x, codes, norms, slice(i, i + 64), kept) for i in range(0, len(q), 64)]
                 top = merged(top, tuple(np.concatenate(z) for z in zip(*found)))
         if top is not None:
             ids, d = top
@@ -218,7 +243,7 @@ def search(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", eve
     x = np.array([v for v in train["v"] if len(v) == dim], np.float64)
     model = AdditiveQuantiser.fit(x, books, words, seed=seed)
     index = c.table(distinct(rows, k).select("ids", "v").mapInArrow(_encode(model, dim, beam), "ids array<long>, v array<double>, code binary, norm float"), "aq-index")
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     found = None
     count, last = queries.count(), None
     while count > 0:  # blocks of the stated query set, in id order
