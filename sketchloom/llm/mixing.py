@@ -1,7 +1,7 @@
 """Mixing sources to target weights by min-cost flow (operator 5).
 
 Documents are aggregated by membership pattern (the set of sources they belong to); only
-those few totals reach the driver. A flow network routes words from patterns through sources
+one total for each pattern that occurs reaches the driver (100,000 take it about a second). A flow network routes words from patterns through sources
 to the sink: a pattern gives its size once for free, again at cost 1, a third time at cost 2
 (convex repetition costs), a source takes its target. The cheapest largest flow says how many
 words each pattern gives; every document of the pattern is taken the whole number of times
@@ -34,7 +34,6 @@ from pyspark.sql.window import Window
 from sketchloom.llm import common as c
 
 WEIGHTS = (5, 2, 1)
-MAX_PATTERNS = 100_000
 CELL_BITS = 12
 
 
@@ -57,48 +56,73 @@ def targets(sizes: list[int], weights: list[int], share: Fraction = Fraction(3,
 
 
 class Flow:
-    """Min-cost maximum flow by successive shortest paths, for small graphs."""
+    """Min-cost maximum flow where only arcs out of the source cost anything.
+
+    A path that adds to the flow never takes back what an arc out of the source carries, so the
+    cheapest largest flow is found level by level: as much as the free arcs can carry, then as
+    much more as those of cost 1 can, and so on. Within a level flow is blocked along shortest
+    paths (Dinic), whatever its amounts."""
 
     def __init__(self, n: int):
         self.arcs: list[list[int]] = [[] for _ in range(n)]
         self.to: list[int] = []
         self.room: list[int] = []
-        self.cost: list[int] = []
+        self.waiting: dict[int, list[tuple[int, int]]] = {}  # cost -> (arc, room) not open yet
 
-    def add(self, a: int, b: int, room: int, cost: int) -> int:
-        for x, y, r, w in ((a, b, room, cost), (b, a, 0, -cost)):
+    def add(self, a: int, b: int, room: int, cost: int = 0) -> int:
+        for x, y, r in ((a, b, 0 if cost else room), (b, a, 0)):
             self.arcs[x].append(len(self.to))
             self.to.append(y)
             self.room.append(r)
-            self.cost.append(w)
+        if cost:
+            self.waiting.setdefault(cost, []).append((len(self.to) - 2, room))
         return len(self.to) - 2
 
     def run(self, source: int, sink: int) -> None:
+        self._fill(source, sink)
+        for cost in sorted(self.waiting):
+            for e, room in self.waiting[cost]:
+                self.room[e] = room
+            self._fill(source, sink)
+
+    def _fill(self, source: int, sink: int) -> None:
         while True:
-            far: dict[int, int] = {source: 0}
-            by: dict[int, int] = {}
+            far = [-1] * len(self.arcs)
+            far[source] = 0
             queue = deque([source])
-            waiting = {source}
             while queue:
                 a = queue.popleft()
-                waiting.discard(a)
                 for e in self.arcs[a]:
-                    b = self.to[e]
-                    if self.room[e] > 0 and far[a] + self.cost[e] < far.get(b, 1 << 60):
-                        far[b], by[b] = far[a] + self.cost[e], e
-                        if b not in waiting:
-                            waiting.add(b)
-                            queue.append(b)
-            if sink not in by:
+                    if self.room[e] > 0 and far[self.to[e]] < 0:
+                        far[self.to[e]] = far[a] + 1
+                        queue.append(self.to[e])
+            if far[sink] < 0:
                 return
-            path, at = [], sink
-            while at != source:
-                path.append(by[at])
-                at = self.to[by[at] ^ 1]
-            most = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= most
-                self.room[e ^ 1] += most
+            turn = [0] * len(self.arcs)  # the arc of each node to look at next
+            path: list[int] = []
+            at = source
+            while True:
+                if at == sink:
+                    most = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= most
+                        self.room[e ^ 1] += most
+                    first = next(i for i, e in enumerate(path) if not self.room[e])
+                    at = self.to[path[first] ^ 1]
+                    del path[first:]
+                    continue
+                own = self.arcs[at]
+                while turn[at] < len(own) and not (self.room[own[turn[at]]] > 0 and far[self.to[own[turn[at]]]] == far[at] + 1):
+                    turn[at] += 1
+                if turn[at] < len(own):
+                    path.append(own[turn[at]])
+                    at = self.to[own[turn[at]]]
+                elif path:
+                    e = path.pop()
+                    at = self.to[e ^ 1]
+                    turn[at] += 1
+                else:
+                    break
 
 
 def route(patterns: list[tuple[frozenset[int], int]], wanted: list[int], repeats: int = 2) -> list[int]:
@@ -126,20 +150,20 @@ def _sizes(column: str):
     return run
 
 
-def mix(docs: DataFrame, keys: list[str], sources: str = "sources", weights: tuple[int, ...] = WEIGHTS, repeats: int = 2, seed: int = 11) -> DataFrame:
+def mix(docs: DataFrame, keys: list[str], sources: str = "sources", weights: tuple[int, ...] = WEIGHTS, repeats: int = 2, seed: int = 11, ordered: list[str] | None = None) -> DataFrame:
     """``docs`` with an array column of sources and a ``text``: how many words to take of each.
 
-    Returns ``keys``, size, source_size and target (of the first source), taken."""
+    Returns ``keys``, size, source_size and target (of the first source), taken. The seeded
+    order is by the keys ``ordered`` (all, unless given)."""
     spark = docs.sparkSession
     names = F.array_sort(F.array_distinct(F.transform(F.col(sources), lambda x: F.when(x.isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), x)))))
     first = F.get(F.col(sources), 0)
+    draw = [F.col(k) for k in ordered or keys]
     kept = docs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], names.alias("pattern"), F.when(first.isNull(), "n").otherwise(F.concat(F.lit("a"), first)).alias("own"),
-                       F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)).alias("h"), *([] if "text" in keys else ["text"]))
+                       F.xxhash64(*draw, F.lit(seed)).alias("h"), F.xxhash64(F.lit(seed), *draw).alias("h2"), *([] if "text" in keys else ["text"]))
     fields = [f for f in kept.schema.fields if f.name != "text"]
     sized = c.table(kept.mapInArrow(_sizes(f"k{keys.index('text')}" if "text" in keys else "text"), T.StructType([*fields, T.StructField("size", T.LongType())])), "sized")
-    totals = sized.groupBy("pattern").agg(F.sum("size").alias("size")).orderBy("pattern").limit(MAX_PATTERNS + 1).collect()
-    if len(totals) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    totals = sized.groupBy("pattern").agg(F.sum("size").alias("size")).orderBy("pattern").collect()
     # Code point order is the order of UTF-8 bytes; "n" (null) follows every "a...".
     order = sorted({s for t in totals for s in t["pattern"]}, key=lambda s: s.encode())
     at = {s: i for i, s in enumerate(order)}
@@ -156,11 +180,11 @@ def mix(docs: DataFrame, keys: list[str], sources: str = "sources", weights: tup
     before = F.sum("size").over(Window.partitionBy("pattern").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     runs = cells.withColumn("before", F.coalesce(before, F.lit(0).cast("long"))).join(F.broadcast(plan), "pattern")
     cut = c.table(runs.where("before < rest and before + size >= rest").select("pattern", F.col("cell").alias("cut"), (F.col("rest") - F.col("before")).alias("missing")), "cut")
-    # One row a pattern, and there are at most MAX_PATTERNS.
+    # One row a pattern; the driver holds them all.
     joined = sized.withColumn("cell", cell).join(F.broadcast(plan), "pattern").join(F.broadcast(cut), "pattern", "left").join(F.broadcast(aim), "own")
     at_cut = F.col("cell").eqNullSafe(F.col("cut"))
     clear = joined.where(~at_cut).withColumn("extra", F.when(F.col("cell") < F.col("cut"), 1).otherwise(0))
-    through = F.sum("size").over(Window.partitionBy("pattern").orderBy("h", *[f"k{i}" for i in range(len(keys))], "size").rowsBetween(Window.unboundedPreceding, 0))
+    through = F.sum("size").over(Window.partitionBy("pattern").orderBy("h", "h2", "size").rowsBetween(Window.unboundedPreceding, 0))
     ranked = joined.where(at_cut).withColumn("through", through)
     closer = 2 * (F.col("through") - F.col("missing")) < F.col("size")  # the document at the cut, if that is nearer
     ranked = ranked.withColumn("extra", F.when((F.col("through") <= F.col("missing")) | closer, 1).otherwise(0)).drop("through")
@@ -168,12 +192,16 @@ def mix(docs: DataFrame, keys: list[str], sources: str = "sources", weights: tup
 
 
 def repeat_mixed(docs: DataFrame, source: str = "source") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, each as often as the mix takes it."""
-    names = docs.columns
-    plan = mix(docs.select("*", F.array(source).alias("membership of the row")), names, "membership of the row")
-    times = F.when(F.col("size taken") > 0, F.expr("`words taken` div `size taken`")).otherwise(0).cast("int")
-    own = plan.toDF(*names, "size taken", "source size", "target words", "words taken")
-    return own.select(*names, F.explode(F.array_repeat(F.lit(1), times)).alias("once")).select(*names)
+    """The rows of ``docs``, all columns as they are, each as often as the mix takes it.
+
+    Columns of any names and types will do; maps go into the seeded order by their JSON form."""
+    row = F.struct(*[F.col(f"`{x}`") for x in docs.columns])
+    parts = [F.to_json(f"`{f.name}`") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    order = [f"part {i}" for i in range(len(parts))]
+    wide = docs.select(row.alias("row"), *[p.alias(n) for p, n in zip(parts, order)], F.col("text").alias("text"), F.array(F.col(source)).alias("sources"))
+    plan = mix(wide, ["row"], ordered=order)
+    times = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0).cast("int")
+    return plan.select("row", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
