@@ -16,7 +16,9 @@
 Labels are learned from rows whose crc32(doc_id) mod 4 is not 2, from at most about
 ``sample`` of them (chosen by hash; the bound of the broadcast). Remainder 3 fits the curve
 with weights learned without it, then all three remainders give the final weights. Counts are
-added up in Spark; the driver gets the features of at least ``min_count`` toxic documents.
+added up in Spark; the driver gets the features of at least ``MIN_COUNT`` toxic documents of the
+sample (more than ``most_features`` are an error, none is left out), one count for each
+weight, and the segment scores of the sample's texts.
 
 Defined results: a null or empty text has no passage and gets the curve's lowest score; with
 no labels of one class every score is the share of toxic labels (0 without labels); repeated
@@ -44,6 +46,7 @@ PRIOR = 200.0
 Z_LEAST = 3.0
 DRIFT = 0.25
 MOST_WEIGHT = 6.0
+MOST_FEATURES = 5_000_000
 CACHE = 500_000
 CONTEXTS = 62  # bits of a non-negative long
 THRESHOLD = 0.3
@@ -211,16 +214,21 @@ def remainder() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features: int = MOST_FEATURES) -> Model:
     one = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
-    known = c.table(one.select("doc_id", "toxic", remainder().cast("int").alias("fold")).where("fold <> 2"), "labelled")
+    known = c.table(one.select("doc_id", "toxic", remainder().cast("int").alias("fold")).where("fold <> 2"), "labelled")  # ids and labels
     total = known.count()
     share = min(1.0, sample / max(total, 1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     # About `sample` rows of three numbers, whatever the corpus.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold")
     sums = rows.mapInArrow(_count, "f string, c0 long, t0 long, c3 long, t3 long, m0 long, m3 long").groupBy("f").agg(*[F.sum(k).alias(k) for k in ("c0", "t0", "c3", "t3")], *[F.bit_or(k).alias(k) for k in ("m0", "m3")])
-    counts = {r["f"]: r for r in sums.where(f"t0 + t3 >= {MIN_COUNT} or f = ''").orderBy(F.desc(F.col("t0") + F.col("t3")), "f").limit(200_000).collect()}
+    sums = c.table(sums.where(f"t0 + t3 >= {MIN_COUNT} or f = ''"), "features")
+    found = sums.count()
+    if found > most_features:
+        raise ValueError(f"{found} features of toxic documents are more than {most_features}; take a smaller sample")
+    counts = {r["f"]: r for r in sums.collect()}
+    c.drop(sums)
     n = counts.pop("", None)
     if n is None or not n["c0"] + n["c3"] or not n["t0"] + n["t3"]:
         done = (n["c0"] + n["c3"] + n["t0"] + n["t3"]) if n else 0
@@ -237,22 +245,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     model = Model(weights((0,) if inner else (0, 3)), 0.0)
 
     def look(batches):
+        """A row for each text (size, segment scores, label), and rows (count, [weight], -1) of the
+        tokens of a batch's clean texts."""
         for batch in batches:
+            out, often = [], {}
             for part in c.slices(batch, "text"):
-                out = []
                 for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
                     size, found = model.scan(text)
-                    out.append((size, [s for s, *_ in found], toxic, [w for w in map(model.weights.__getitem__, LETTERS.findall((text or "").lower())) if w] if not toxic else []))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.float64())), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.list_(pa.float64()))], ["n", "segments", "toxic", "hits"])
+                    out.append((size, [s for s, *_ in found], toxic))
+                    for w in map(model.weights.__getitem__, LETTERS.findall((text or "").lower()) if not toxic else ()):
+                        if w:
+                            often[round(w, 3)] = often.get(round(w, 3), 0) + 1
+            out += [(k, [w], -1) for w, k in often.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.float64())), pa.array([x[2] for x in out], pa.int32())], ["n", "segments", "toxic"])
 
     fit = rows.where("fold = 3") if inner else rows
-    seen = fit.mapInArrow(look, "n long, segments array<double>, toxic int, hits array<double>").collect()  # part of the sample
+    looked = c.table(fit.mapInArrow(look, "n long, segments array<double>, toxic int"), "looked")
+    seen = looked.where("toxic >= 0").collect()  # part of the sample
     tokens = sum(r["n"] for r in seen if not r["toxic"]) or 1
-    share_of: dict[float, float] = {}
-    for r in seen:
-        for w in r["hits"]:
-            share_of[round(w, 3)] = share_of.get(round(w, 3), 0.0) + 1 / tokens
+    often = looked.where("toxic < 0").groupBy(F.get("segments", 0).alias("w")).agg(F.sum("n").alias("n")).collect()
+    share_of = {r["w"]: r["n"] / tokens for r in often}  # weights have three decimals
     model.calibrate(share_of, [(r["n"], [(s, 0, 0) for s in r["segments"]], r["toxic"]) for r in seen])
+    c.drop(looked)
     model.weights = weights((0, 3))
     return model
 
