@@ -8,8 +8,9 @@ Ids go to ranges of ``doc_id`` (one a partition, sorted; only the ids are shuffl
 narrowest unsigned type) and are cut into blocks of whole documents of about
 ``block_tokens`` ids. Each block is compressed by Re-Pair: in every round all adjacent pairs
 are counted by sorting, the most frequent pairs become nonterminals, and their occurrences
-are replaced from left to right; rounds go on until no pair is frequent or one saves too little. No rule spans a
-document's end. Rules and their expansion lengths are stored, and each document's place in
+are replaced from left to right; rounds go on until no pair occurs ``MIN_COUNT`` times or one
+saves less than ``LEAST_GAIN`` of the symbols (a rarer pair costs about as much as it saves:
+its rule takes three numbers). No rule spans a document's end. Rules and their expansion lengths are stored, and each document's place in
 the compressed sequence, so one document can be decoded alone (``Block.document``).
 
 A shard file is a Parquet file written by Spark (so by its commit protocol, to any store)
@@ -23,11 +24,12 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +43,28 @@ from sketchloom.llm import common as c
 MAGIC = b"RPG1"
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
-ROUNDS, RULES_A_ROUND, MIN_COUNT = 8, 4096, 12
+RULES_A_ROUND, MIN_COUNT = 4096, 12
 LEAST_GAIN = 0.002  # a round that saves a smaller share of the symbols is the last
-SLOT_BITS = 17
+COUNT_BITS = 20  # of the hash that counts pairs roughly first
 CACHE_CHUNKS = 1_200_000
+GROUP = 1024  # runs of letters that are encoded by one call
+LATIN_END = 0x250
+# What the splitter keeps whole: Latin letters; and chunks of these, digits, marks without a
+# meaning of their own, and single line feeds between others.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-\u024F]+")
+PIECES = re.compile("[A-Za-zÀ-ÖØ-öø-\u024F]+|[0-9]+|[!#$%&()*+,./:;=?@^~-]+|\n")
+MIXED = re.compile("(?:[A-Za-zÀ-ÖØ-öø-\u024F]+|[0-9]+|[!#$%&()*+,./:;=?@^~-]+)(?:\n?(?:[A-Za-zÀ-ÖØ-öø-\u024F]+|[0-9]+|[!#$%&()*+,./:;=?@^~-]+))*")
 UNSAFE = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
 
 
 # ------------------------------------------------------------------ encoding
 class ChunkEncoder:
-    """Ids of texts by the library, each distinct chunk encoded once while it is kept."""
+    """Ids of texts by the library, each distinct chunk encoded once while it is kept.
+
+    Where the vocabulary's splitter is the usual one of byte-level BPE (contractions, letters,
+    digits, other marks, white space), chunks are cut into the splitter's own pieces, and runs
+    of Latin letters go to the library in its byte alphabet, many at once, past the splitter."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,27 +73,94 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.vocabulary = self.library.get_vocab_size()
+        splitter = json.loads(self.library.to_str())["pre_tokenizer"] or {}
+        self.usual = splitter.get("type") == "ByteLevel" and splitter.get("use_regex") and not splitter.get("add_prefix_space")
+        if self.usual:
+            self.runs = Tokenizer.from_str(self.library.to_str())
+            self.runs.encode_special_tokens = True
+            self.runs.pre_tokenizer = None
+            split = self.library.pre_tokenizer.pre_tokenize_str
+            self.alphabet = {x: split(chr(x))[0][0] for x in range(0xC0, LATIN_END) if chr(x).isalpha()}
+            self.space = split(" a")[0][0][:-1]
+            self.begins = np.zeros(self.vocabulary, bool)
+            self.begins[[i for x, i in self.library.get_vocab().items() if x.startswith(self.space)]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, dict[str, int]] = {"": {}, " ": {}}
         self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _add(self, known: dict[str, int], chunks: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        known.update(zip(chunks, range(len(self.at) - 1, len(self.at) - 1 + len(chunks))))
+        self.flat = np.concatenate([self.flat, ids])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
+
     def _index(self, chunks: list[str], lead: str = "") -> np.ndarray:
         """Where the ids of ``lead`` + chunk stand; what is not known yet is encoded."""
         known = self.known[lead]
-        out = np.array([known.get(x, -1) for x in chunks], np.int64)
-        missing = np.flatnonzero(out < 0)
-        if len(missing):
-            fresh = list(dict.fromkeys(chunks[i] for i in missing))
-            found = [e.ids for e in self.library.encode_batch_fast([lead + x for x in fresh] if lead else fresh, add_special_tokens=False)]
+        out = np.fromiter(map(known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(out < 0).tolist()
+        if not missing:
+            return out
+        fresh = list(dict.fromkeys([chunks[i] for i in missing]))
+        letters, mixed, other = [], [], []
+        for x in fresh if self.usual else ():
+            if x.isalpha():
+                (letters if x.isascii() or LETTERS.fullmatch(x) else other).append(x)
+            else:
+                (mixed if MIXED.fullmatch(x) and not PIECES.fullmatch(x) else other).append(x)
+        other = other if self.usual else fresh
+        if letters:
+            mark = self.space if lead else ""
+            runs = [mark + (x if x.isascii() else x.translate(self.alphabet)) for x in letters]
+            # After a space the mark shows where a run begins, so one call can take many.
+            step = GROUP if lead else 1
+            found = self.runs.encode_batch_fast([runs[i : i + step] for i in range(0, len(runs), step)], is_pretokenized=True, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32)
+            if lead:
+                size = np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids)))
+            else:
+                size = np.array([len(e.ids) for e in found])
+            self._add(known, letters, ids, size)
+        if other:
+            found = [e.ids for e in self.library.encode_batch_fast([lead + x for x in other] if lead else other, add_special_tokens=False)]
             size = np.fromiter(map(len, found), np.int64, len(found))
-            known.update(zip(fresh, range(len(self.at) - 1, len(self.at) - 1 + len(fresh))))
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
-            out[missing] = [known[chunks[i]] for i in missing]
+            self._add(known, other, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size)
+        if mixed:
+            pieces = [PIECES.findall(x) for x in mixed]
+            first = np.cumsum([0, *map(len, pieces)])
+            flat = list(chain.from_iterable(pieces))
+            heads = first[:-1].tolist()
+            where = np.empty(len(flat), np.int64)
+            where[heads] = self._index([flat[i] for i in heads], lead) if lead else 0
+            rest = np.ones(len(flat), bool)
+            rest[heads] = not lead
+            rest = np.flatnonzero(rest)
+            where[rest] = self._plain([flat[i] for i in rest.tolist()])
+            ids, ends = self._gather(where)
+            self._add(known, mixed, ids, np.diff(ends[first]))
+        out[missing] = [known[chunks[i]] for i in missing]
         return out
 
+    def _plain(self, pieces: list[str]) -> np.ndarray:
+        """Pieces without a space before them; none is cut any further."""
+        known = self.known[""]
+        fresh = [x for x in dict.fromkeys(pieces) if x not in known]
+        letters = [x for x in fresh if LETTERS.fullmatch(x)]
+        self._index(letters)
+        other = [x for x in fresh if x not in known]
+        if other:
+            found = [e.ids for e in self.library.encode_batch_fast(other, add_special_tokens=False)]
+            self._add(known, other, np.array(list(chain.from_iterable(found)), np.uint32), np.array([len(x) for x in found]))
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+
+    def _gather(self, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks one after another, and where each chunk's begin and end."""
+        start = self.at[chunk]
+        n = self.at[chunk + 1] - start
+        stops = np.concatenate([[0], np.cumsum(n)])
+        return self.flat[np.repeat(start - stops[:-1], n) + np.arange(int(stops[-1]))], stops
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.at) > CACHE_CHUNKS:
             self._forget()
@@ -89,11 +169,9 @@ class ChunkEncoder:
         words = pa.compute.split_pattern(pa.array(plain, pa.large_string()), " ")
         ends = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
         flat = words.flatten().dictionary_encode()
-        chunk = self._index(flat.dictionary.to_pylist(), " ")[flat.indices.to_numpy(zero_copy_only=False)]
+        chunk = self._index(flat.dictionary.to_numpy(zero_copy_only=False).tolist(), " ")[flat.indices.to_numpy(zero_copy_only=False)]
         chunk[ends[:-1]] = self._index([t.split(" ", 1)[0] for t in plain])
-        n = self.at[chunk + 1] - self.at[chunk]
-        stops = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(self.at[chunk] - stops[:-1], n) + np.arange(int(stops[-1]))]
+        ids, stops = self._gather(chunk)
         cut = stops[ends]
         out = [ids[a:b] for a, b in zip(cut, cut[1:])]
         for i, (t, p) in enumerate(zip(rows, plain)):
@@ -112,44 +190,52 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 # ------------------------------------------------------------------ Re-Pair
-def repair(seq: np.ndarray, first_rule: int, end_id: int = END_ID, rounds: int = ROUNDS, per_round: int = RULES_A_ROUND, min_count: int = MIN_COUNT):
+def _frequent(key: np.ndarray, slot: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys that occur ``min_count`` times or more, and how often."""
+    may = np.bincount(slot, minlength=1 << COUNT_BITS) >= min_count  # not the slots of rarer keys alone
+    ordered = np.sort(key[may[slot]])
+    cut = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+    count = np.diff(np.append(cut, len(ordered)))
+    often = np.flatnonzero(count >= min_count)
+    return ordered[cut[often]], count[often]
+
+
+def repair(seq: np.ndarray, first_rule: int, end_id: int = END_ID, per_round: int = RULES_A_ROUND, min_count: int = MIN_COUNT, least_gain: float = LEAST_GAIN):
     """(compressed sequence, rule pairs, expansion lengths); rule i is symbol ``first_rule + i``."""
     seq = seq.astype(np.uint32)
     rules = [np.zeros((0, 2), np.uint32)]
     lengths = [np.zeros(0, np.int64)]
     known = 0
-    closed = np.zeros(first_rule + rounds * per_round, bool)  # symbols that end with the end id
+    closed = np.zeros(first_rule, bool)  # symbols that end with the end id
     closed[end_id] = True
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         key = (seq[:-1].astype(c.U64) << c.U64(32)) | seq[1:]
         inside = ~closed[seq[:-1]]
-        ordered = np.sort(key[inside])
-        cut = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
-        count = np.diff(np.append(cut, len(ordered)))
-        often = np.flatnonzero(count >= min_count)
-        if not len(often):
+        slot = ((key * c.GOLD) >> c.U64(64 - COUNT_BITS)).astype(np.int32)
+        ends = np.flatnonzero(~inside)
+        pairs, count = _frequent(np.delete(key, ends), np.delete(slot, ends), min_count)
+        if not len(pairs):
             break
-        often = often[np.argsort(count[often], kind="stable")][-per_round:]  # the most frequent last
-        pairs = ordered[cut[often]]
-        slot = ((pairs * c.GOLD) >> c.U64(64 - SLOT_BITS)).astype(np.int64)
-        table = np.full(1 << SLOT_BITS, -1, np.int32)
-        table[slot] = np.arange(len(pairs))  # of pairs with one slot the most frequent stays; the others wait
-        found = table[((key * c.GOLD) >> c.U64(64 - SLOT_BITS)).astype(np.int64)]
-        at = np.flatnonzero((found >= 0) & inside)
-        at = at[pairs[found[at]] == key[at]]
+        pairs = pairs[np.argsort(count, kind="stable")][-per_round:]  # the most frequent last
+        table = np.full(1 << COUNT_BITS, -1, np.int32)
+        # Of pairs with one slot the most frequent stays; the others wait.
+        table[((pairs * c.GOLD) >> c.U64(64 - COUNT_BITS)).astype(np.int32)] = np.arange(len(pairs))
+        found = table[slot]
+        at = np.flatnonzero(found >= 0)
+        at = at[(pairs[found[at]] == key[at]) & inside[at]]
         fresh = np.append(True, np.diff(at) != 1)
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         at = at[(np.arange(len(at)) - run) % 2 == 0]
-        used, which = np.unique(found[at], return_inverse=True)
+        taken = found[at]
+        held = np.bincount(taken, minlength=len(pairs)) > 0
+        used, which = np.flatnonzero(held), (np.cumsum(held) - 1)[taken]
         new = np.stack([(pairs[used] >> c.U64(32)).astype(np.uint32), (pairs[used] & c.U64(0xFFFFFFFF)).astype(np.uint32)], 1)
         size = np.concatenate(lengths)
         length = np.zeros(len(new), np.int64)
         for side in (0, 1):
             inner = new[:, side].astype(np.int64) - first_rule
             length += np.where(inner >= 0, size[np.maximum(inner, 0)] if len(size) else 1, 1)
-        closed[first_rule + known : first_rule + known + len(new)] = closed[new[:, 1]]
+        closed = np.concatenate([closed, closed[new[:, 1]]])
         seq[at] = first_rule + known + which
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
@@ -157,7 +243,7 @@ def repair(seq: np.ndarray, first_rule: int, end_id: int = END_ID, rounds: int =
         rules.append(new)
         lengths.append(length)
         known += len(new)
-        if len(at) < LEAST_GAIN * len(keep):
+        if len(at) < least_gain * len(keep):
             break
     return seq, np.concatenate(rules), np.concatenate(lengths)
 
@@ -168,7 +254,6 @@ class Block:
     def __init__(self, first_rule: int, rules: np.ndarray, lengths: np.ndarray, n_tokens: np.ndarray, n_symbols: np.ndarray, seq: np.ndarray):
         self.first_rule, self.rules, self.lengths = first_rule, rules, lengths.astype(np.int64)
         self.n_tokens, self.n_symbols, self.seq = n_tokens.astype(np.int64), n_symbols.astype(np.int64), seq
-        self._words: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def build(cls, docs: list[np.ndarray], first_rule: int, end_id: int) -> Block:
@@ -195,38 +280,66 @@ class Block:
         return cls(first, flat[:a].reshape(-1, 2), flat[a:b], flat[b : b + n_docs], flat[b + n_docs : b + 2 * n_docs], flat[b + 2 * n_docs : b + 2 * n_docs + n_seq])
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        if self._words is None:  # every rule's expansion, once
-            ends = np.cumsum(self.lengths)
-            at = ends - self.lengths
-            flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
-            for i, (x, y) in enumerate(self.rules.tolist()):
-                p = at[i]
-                for s in (x, y):
-                    k = s - self.first_rule
-                    if k < 0:
-                        flat[p] = s
-                        p += 1
-                    else:
-                        flat[p : p + self.lengths[k]] = flat[at[k] : at[k] + self.lengths[k]]
-                        p += self.lengths[k]
-            self._words = flat, at
-        flat, at = self._words
-        inner = symbols.astype(np.int64) - self.first_rule
-        rule = inner >= 0
-        size = np.ones(len(symbols), np.int64)
-        size[rule] = self.lengths[inner[rule]]
-        table = np.concatenate([flat, symbols.astype(np.uint32)])
-        start = np.where(rule, at[np.maximum(inner, 0)] if len(at) else 0, len(flat) + np.arange(len(symbols)))
-        stops = np.concatenate([[0], np.cumsum(size)])
-        return table[np.repeat(start - stops[:-1], size) + np.arange(int(stops[-1]))]
+        """The ids of symbols: every pass replaces all rules by their pairs."""
+        out = symbols.astype(np.int64)
+        while True:
+            inner = out - self.first_rule
+            rule = inner >= 0
+            if not rule.any():
+                return out.astype(np.uint32)
+            start = np.cumsum(1 + rule) - 1 - rule
+            more = np.empty(int(start[-1]) + 1 + int(rule[-1]), np.int64)
+            more[start] = np.where(rule, self.rules[np.maximum(inner, 0), 0], out)
+            more[start[rule] + 1] = self.rules[inner[rule], 1]
+            out = more
 
     def document(self, i: int) -> np.ndarray:
-        """Document ``i`` alone: only its symbols are read."""
+        """Document ``i`` alone: only its symbols, and the rules that they need, are read."""
         stop = int(self.n_symbols[: i + 1].sum())
         return self._expand(self.seq[stop - int(self.n_symbols[i]) : stop])
 
+    def part(self, i: int, first: int, stop: int) -> np.ndarray:
+        """Ids ``first`` to ``stop`` of document ``i``: expansion lengths show which symbols to read."""
+        end = int(self.n_symbols[: i + 1].sum())
+        own = self.seq[end - int(self.n_symbols[i]) : end]
+        ends = np.cumsum(self._size(own.astype(np.int64) - self.first_rule))
+        a = int(np.searchsorted(ends, first, side="right"))
+        b = int(np.searchsorted(ends, stop)) + 1
+        before = int(ends[a - 1]) if a else 0
+        return self._expand(own[a:b])[first - before : stop - before]
+
     def documents(self) -> list[np.ndarray]:
-        return np.split(self._expand(self.seq), np.cumsum(self.n_tokens)[:-1])
+        """All documents: every rule is written out once, then the sequence is gathered."""
+        ends = np.cumsum(self.lengths)
+        at = ends - self.lengths
+        flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
+        depth = np.zeros(len(self.rules), np.int64)
+        inner = self.rules.astype(np.int64) - self.first_rule
+        todo = np.arange(len(self.rules))
+        while len(todo):  # rules of the same depth at once
+            ready = ((inner[todo] < 0) | (depth[np.maximum(inner[todo], 0)] > 0)).all(1)
+            now = todo[ready]
+            for side in (0, 1):
+                place = at[now] + (self.lengths[now] - self._size(inner[now, 1]) if side else 0)
+                own = inner[now, side]
+                flat[place[own < 0]] = self.rules[now[own < 0], side]
+                place, own = place[own >= 0], own[own >= 0]
+                n = self.lengths[own]
+                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                flat[np.repeat(place, n) + step] = flat[np.repeat(at[own], n) + step]
+            depth[now] = 1
+            todo = todo[~ready]
+        symbol = self.seq.astype(np.int64) - self.first_rule
+        n = self._size(symbol)
+        table = np.concatenate([flat, self.seq.astype(np.uint32)])
+        start = np.where(symbol >= 0, at[np.maximum(symbol, 0)] if len(at) else 0, len(flat) + np.arange(len(symbol)))
+        stops = np.concatenate([[0], np.cumsum(n)])
+        ids = table[np.repeat(start - stops[:-1], n) + np.arange(int(stops[-1]))]
+        return np.split(ids, np.cumsum(self.n_tokens)[:-1])
+
+    def _size(self, inner: np.ndarray) -> np.ndarray:
+        """Expansion lengths of symbols, given as rule numbers (below 0: an id)."""
+        return np.where(inner >= 0, self.lengths[np.maximum(inner, 0)], 1) if len(self.lengths) else np.ones(len(inner), np.int64)
 
 
 # ------------------------------------------------------------------ Spark

@@ -58,12 +58,12 @@ def repeats(texts, width):
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
-def shingle_set(t, n=2):
+def shingle_set(t, n=5):
     w = words((t or "").translate(LOWER))
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def near_components(rows, percent=80, n=2):
+def near_components(rows, percent=80, n=5):
     """doc_id -> least doc_id reachable, by comparing all pairs."""
     sets = [(i, shingle_set(t, n)) for i, t in rows if i is not None]
     up = {i: i for i, _ in sets}

@@ -7,6 +7,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,7 +47,11 @@ def test_grammar_round_trip():
     back = grammar_tokens.Block.load(block.dump())
     assert len(block.seq) < sum(map(len, docs)) / 2 and len(block.rules)
     assert all((a == b).all() for a, b in zip(docs, back.documents()))
-    assert all((docs[i] == back.document(i)).all() for i in (0, 7, 60, 66))
+    assert all((docs[i] == back.document(i)).all() for i in range(len(docs)))
+    for i in (0, 7, 60):
+        a = len(docs[i]) // 3
+        assert (docs[i][a : a + 50] == back.part(i, a, min(a + 50, len(docs[i])))).all() and (docs[i] == back.part(i, 0, len(docs[i]))).all()
+    assert back.lengths.max() >= 256  # a long run is one rule of rules
     for i, (x, y) in enumerate(back.rules.tolist()):
         n = sum(int(back.lengths[s - 50]) if s >= 50 else 1 for s in (x, y))
         assert n == back.lengths[i]
@@ -72,6 +77,19 @@ def test_token_files(spark):
     assert sorted(map(tuple, out), key=lambda r: r[1]) == want
 
 
+@pytest.mark.parametrize("ids", [[None] * 30, [7] * 30])
+def test_equal_ids_of_token_files_and_fingerprints(spark, ids):
+    rng = random.Random(9)
+    rows = [(i, h.sentence(rng, rng.randrange(12))) for i in ids]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sorted(grammar_tokens.read_tokens(grammar_tokens.write_tokens(frame, block_tokens=60)).collect(), key=lambda r: r.start)
+    lib = grammar_tokens.encoder(grammar_tokens.default_tokenizer()).library
+    want = sorted(np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u2").tobytes() for _, t in rows)
+    assert [r.ids_crc32 for r in out] == [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in want]
+    assert [r.start for r in out] == [0, *itertools.accumulate(r.n_tokens for r in out)][:-1]
+    assert sorted(r.n_chars for r in fingerprints.fingerprints(frame).collect()) == sorted(len(t) for _, t in rows)
+
+
 # ------------------------------------------------------------------ 2
 def test_segments_are_maximal():
     rng = random.Random(4)
@@ -96,6 +114,27 @@ def test_segments_are_maximal():
         assert abs(sum(x[0] for x in got) - sum(x[0] for x in split(0, 20))) < 1e-9
 
 
+def test_segments_one_by_one():
+    """Weights without ties: every segment, its score and its ends."""
+    rng = random.Random(14)
+    for _ in range(400):
+        n = rng.randrange(1, 16)
+        places = sorted(rng.sample(range(24), n))
+        weights = [rng.uniform(0.05, 1.5) for _ in places]
+        line = [-0.25] * 24
+        for p, w in zip(places, weights):
+            line[p] = w
+        sums = [0.0, *itertools.accumulate(line)]
+
+        def split(a, b):
+            best = max(((sums[j] - sums[i], i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+            if best[0] <= 0:
+                return []
+            return [*split(a, best[1]), (round(best[0], 9), best[1], best[2] - 1), *split(best[2], b)]
+
+        assert [(round(s, 9), a, b) for s, a, b in toxic_passages.segments(places, weights, 0.25)] == split(0, 24)
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(6)
     rows, labels = [], []
@@ -115,6 +154,8 @@ def test_toxicity_learns(spark):
     assert toxic_passages.score(odd, model).count() == odd.count() and all(0 <= r.score <= 1 for r in toxic_passages.score(odd, model).collect())
     kept = toxic_passages.drop_toxic(odd, model)
     assert kept.columns == odd.columns and kept.count() == odd.count()
+    with pytest.raises(ValueError, match="smaller sample"):
+        toxic_passages.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), most_features=3)
     none = toxic_passages.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert none.score("x") == (0.0, 0)
     one = toxic_passages.train(docs, spark.createDataFrame([(0, 0), (1, 0), (3, 0)], "doc_id long, toxic int"))
@@ -168,6 +209,50 @@ def test_linked_documents_come_together(spark):
     assert sum(len(s) > 1 for s in shards.values()) <= 0.2 * len(shards)
 
 
+def cut_links(rows, got, shards=24):
+    """For each text: how many of its documents are outside the shard that most of them are in."""
+    at = {r.doc_id: r.shard for r in got}
+    by = {}
+    for i, t in rows:
+        by.setdefault(t, {}).setdefault(at[i], 0)
+        by[t][at[i]] += 1
+    return {t: sum(v.values()) - max(v.values()) for t, v in by.items()}, {t: len(v) for t, v in by.items()}
+
+
+def test_groups_are_cut_only_if_they_must_be(spark):
+    rng = random.Random(3)
+    sizes = {"a": 60, "b": 55, "c": 40, "d": 230, "e": 100, "f": 7, "g": 3}  # a shard holds 100 rows
+    rows = [(t, k) for t, m in sizes.items() for k in range(m)] + [(f"pair {i}", k) for i in range(300) for k in range(2)]
+    rows += [(f"alone {i}", 0) for i in range(2400 - len(rows))]
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (t, _) in enumerate(rows)]
+    got = label_propagation.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    n = [sum(r.shard == s for r in got) for s in range(24)]
+    assert n == [100] * 24
+    for s in range(24):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(100))
+    lost, pieces = cut_links(rows, got)
+    assert pieces["d"] == 3 and lost["d"] == 130  # the least possible for 230 rows
+    assert {t for t, k in pieces.items() if k > 1} == {"d"}
+
+
+def test_nothing_but_linked_documents(spark):
+    rows = [(i, f"text {i % 340}") for i in range(1020)] + [(2000 + i, f"big {i % 7}") for i in range(210)]
+    got = label_propagation.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    n = [sum(r.shard == s for r in got) for s in range(24)]
+    assert max(n) - min(n) <= 1 and sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(24) for k in range(n[s])]
+    _, pieces = cut_links(rows, got)
+    assert sum(k > 1 for k in pieces.values()) <= 23
+
+
+def test_large_groups_are_placed_first():
+    room = label_propagation.capacities(1000, 7)
+    assert sum(room) == 1000 and max(room) - min(room) <= 1
+    got = label_propagation.place_large([(1, 300), (2, 140), (3, 60)], room)
+    assert [x for x, _ in got[1]] == [143, 143, 14] and len(got[2]) == len(got[3]) == 1
+    assert label_propagation.place_large([], room) == {}
+
+
 # ------------------------------------------------------------------ 5
 def test_targets():
     t = mixing.targets([100, 100, 100, 0], [5, 2, 1, 5])
@@ -214,6 +299,60 @@ def test_mixing(spark):
     assert out.columns == docs.columns and sum(len(h.words(r.text)) for r in out.collect()) == sum(r.taken for r in mixing.mix(docs.select("*", F.array("source").alias("m")), docs.columns, "m").toDF(*docs.columns, "a", "b", "c", "taken").collect())
 
 
+def test_flow_of_many_patterns():
+    import time
+
+    rng = random.Random(2)
+    pats = [(frozenset(rng.sample(range(12), rng.randrange(1, 5))), rng.randrange(1, 500)) for _ in range(20_000)]
+    want = [int(sum(n for m, n in pats if s in m) * rng.choice([0.1, 0.4, 1.5])) for s in range(12)]
+    began = time.time()
+    got = mixing.route(pats, want)
+    assert time.time() - began < 60 and all(0 <= g <= 2 * n for g, (_, n) in zip(got, pats)) and sum(got) <= sum(want)
+
+
+def test_overlapping_sources_get_what_the_flow_says(spark):
+    """Three sources with shared documents; the targets can't be met from single members alone."""
+    rng = random.Random(21)
+    kinds = [["x"], ["x", "y"], ["y", "z"], ["z"], ["x", "y", "z"], [None, "z"]]
+    rows = []
+    for i in range(900):
+        members = kinds[i % 6] if i % 3 else kinds[1]
+        rows.append((i, "w " * rng.randrange(1, 30), members))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
+    got = {r.doc_id: r for r in mixing.mix(frame, ["doc_id"]).collect()}
+    order = ["x", "y", "z", None]
+    sizes = {}
+    for i, t, m in rows:
+        key = frozenset(order.index(s) for s in m)
+        sizes[key] = sizes.get(key, 0) + len(t.split())
+    per = [sum(n for k, n in sizes.items() if s in k) for s in range(4)]
+    aims = [round(a) for a in mixing.targets(per, [5, 2, 1, 5])]
+    pats = sorted(sizes.items(), key=lambda x: sorted(x[0]))
+
+    def possible(give):  # by Hall's condition
+        return all(sum(g for g, (m, _) in zip(give, pats) if m <= set(s)) <= sum(aims[x] for x in s) for k in range(5) for s in itertools.combinations(range(4), k))
+
+    taken = {}
+    for i, t, m in rows:
+        assert got[i].taken in (0, len(t.split()), 2 * len(t.split()))
+        key = frozenset(order.index(s) for s in m)
+        taken[key] = taken.get(key, 0) + got[i].taken
+    flow = mixing.route(pats, aims)
+    assert possible(flow) and all(abs(taken[m] - g) <= 30 for (m, _), g in zip(pats, flow))
+    # No pattern is repeated while another that could take its place has words left over.
+    free = [n - g for (_, n), g in zip(pats, flow)]
+    for i, (m, n) in enumerate(pats):
+        for j, (o, _) in enumerate(pats):
+            if flow[i] > n and free[j] > 0 and m <= o:
+                raise AssertionError((m, o))
+
+
+def test_odd_columns_are_kept(spark):
+    docs = spark.createDataFrame([(i, "a b c", "s", {"k": i}, i) for i in range(40)], "doc_id long, text string, source string, `a.map` map<string,int>, once long")
+    out = mixing.repeat_mixed(docs)
+    assert out.columns == docs.columns and sum(1 for _ in out.collect()) == 60
+
+
 def test_overlapping_sources(spark):
     rows = [(i, "w " * 10, ["x", "y"] if i % 2 else ["x"]) for i in range(200)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, sources array<string>"), ["doc_id"]).collect()
@@ -231,6 +370,40 @@ def test_language(spark):
     assert byte_cnn.train(docs.where("false")) is None and {r.lang_pred for r in byte_cnn.identify(docs.limit(3), None).collect()} == {"und"}
 
 
+def test_letters_are_of_category_l():
+    import unicodedata
+
+    odd = [chr(i) for i in range(0x3000) if not 0xD800 <= i < 0xE000]
+    assert all(byte_cnn.has_letter(x) == unicodedata.category(x).startswith("L") for x in odd)
+    assert not byte_cnn.has_letter("½ ² ① 12 _!") and byte_cnn.has_letter("½ ² a")
+    assert byte_cnn.ByteCnn(["a", "b"]).predict(["½ ² ①", None, "漢"])[:2] == [("und", 1.0)] * 2
+
+
+def test_gradients_are_slopes():
+    """Back-propagation against differences of the loss."""
+    m = byte_cnn.ByteCnn(["a", "b", "c"])
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(97, 123, (6, byte_cnn.WINDOW)).astype(np.uint8), np.array([0, 1, 2, 0, 1, 2])
+    for k in byte_cnn.NAMES:
+        setattr(m, k, getattr(m, k).astype(np.float64))
+
+    def loss():
+        z = m.logits(x)
+        return float((np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) + z.max(1) - z[np.arange(6), y]).mean())
+
+    grads = m.gradients(x, y)
+    for k in byte_cnn.NAMES:
+        w, g = getattr(m, k), grads[k]
+        for at in [np.unravel_index(i, w.shape) for i in np.argsort(-np.abs(g).ravel())[:4]]:
+            old, eps = w[at], 1e-5
+            w[at] = old + eps
+            up = loss()
+            w[at] = old - eps
+            down = loss()
+            w[at] = old
+            assert abs((up - down) / (2 * eps) - g[at]) < 1e-4 * max(1, abs(g[at])) + 1e-6
+
+
 def test_gradients():
     m = byte_cnn.ByteCnn(["a", "b"])
     rng = np.random.default_rng(0)
@@ -254,16 +427,16 @@ def test_near_duplicates(spark, region):
         base = base[:]
         base[(k * 3) % 80] = f"z{k}"
         rows.append((1000 - k, " ".join(base)))
-    got = lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), region=region).collect()
-    want = h.near_components(rows)
+    got = lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2, region=region).collect()
+    want = h.near_components(rows, n=2)
     assert len(got) == len(rows)
     for r in got:
         assert r.component_id == want.get(r.doc_id) and r.kept == (r.doc_id is None or r.doc_id == r.component_id)
-    sizes = {i: len(h.shingle_set(t)) for i, t in rows if i is not None}
+    sizes = {i: len(h.shingle_set(t, 2)) for i, t in rows if i is not None}
     assert all(r.n_shingles == sizes[r.doc_id] for r in got if r.doc_id is not None)
     if region == 256:
         frame = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, node string")
-        kept = lsh_forest.drop_near_duplicates(frame)
+        kept = lsh_forest.drop_near_duplicates(frame, shingle=2)
         ids = [r.doc_id for r in kept.collect()]
         assert kept.columns == frame.columns and sorted(i for i in ids if i is not None) == sorted(set(want.values())) and ids.count(None) == 2
 
@@ -276,10 +449,56 @@ def test_links_inside_large_regions(spark):
     node, n = lsh_forest.set_keys(flat, at).view(np.int64).tolist(), np.diff(at).tolist()
     sig = bytes(4 * len(lsh_forest.FLIPS))  # no label tells them apart: one region in every tree
     classes = spark.createDataFrame([(*r, sig) for r in zip(node, n, range(72))], "node long, n long, doc_id long, sig binary")
-    got = lsh_forest.links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), classes, region=2).collect()
+    got = lsh_forest.links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), classes, shingle=2, region=2).collect()
     assert {frozenset((r.a, r.b)) for r in got} == {frozenset((node[i], node[60 + i])) for i in range(12)}
 
 
+def template_family(rng, members, planted):
+    """Texts of one template, each too far from the others (0.77), and for some one partner (0.82)."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    base = [word() for _ in range(400)]
+    rows = []
+    for _ in range(members):
+        rows.append(base[:340] + [word() for _ in range(50)] + base[390:])
+    for p in range(planted):
+        w = rows[p]
+        rows.append(w[:100] + [word() for _ in range(38)] + w[138:])
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_partners_inside_a_large_family(spark):
+    rows = template_family(random.Random(5), 400, 40)
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()}
+    assert got == {i: i - 400 if i >= 400 else i for i, _ in rows}
+
+
+def test_five_words_by_default(spark):
+    rng = random.Random(12)
+    rows = [(r[0], r[1]) for r in h.odd_rows(7)]
+    base = h.sentence(rng, 100).split()
+    for k in (1, 2, 5, 9):  # five scattered words apart: near by two words, not by five
+        w = base[:]
+        for j in range(5):
+            w[j * 19 + k] = f"q{k}{j}"
+        rows.append((2000 + k, " ".join(w)))
+    rows.append((1999, " ".join(base)))
+    want = h.near_components(rows)
+    got = lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == want.get(r.doc_id) for r in got) and want[2005] == 2005
+    assert h.near_components(rows, n=2)[2005] == 1999
+
+
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(13)
+    base = h.sentence(rng, 120)
+    rows = [(1, base), (2, base + " end"), (2, h.sentence(rng, 90)), (3, None), (3, ""), (4, base), (4, base), (2, base + " end"), (5, h.sentence(rng, 3)), (5, None)]
+    frame = spark.createDataFrame([(i, t, {"a": k % 2}) for k, (i, t) in enumerate(rows)], "doc_id long, text string, `dotted.name` map<string,int>")
+    kept = lsh_forest.drop_near_duplicates(frame)
+    want = [(1, base), (2, rows[2][1]), (3, None), (5, rows[8][1]), (5, None)]
+    assert kept.columns == frame.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7), (200, 201)]
     rng = random.Random(1)
@@ -308,6 +527,24 @@ def test_fingerprints(spark):
     assert prints[""] == ""
 
 
+def test_likeness_is_the_jaccard_of_phrase_names():
+    rng = random.Random(31)
+    letters = "abcdefghij klmnop"
+    errors = []
+    for k in range(40):
+        a = "".join(rng.choice(letters) for _ in range(1500))
+        cut = rng.randrange(1500)
+        b = a[:cut] + "".join(rng.choice(letters) for _ in range(rng.randrange(1, 1500 - cut + 2)))
+        levels = fingerprints.parse([a, b], max(fingerprints.LEVELS))
+        names = [set().union(*[set(levels[v][0][levels[v][1][i] : levels[v][1][i + 1]].tolist()) for v in fingerprints.LEVELS]) for i in (0, 1)]
+        true = len(names[0] & names[1]) / len(names[0] | names[1])
+        one, two = fingerprints.sketches([a, b])
+        for own, sketch in zip(names, (one, two)):  # the least of all hashed names
+            assert sketch.tolist() == sorted({int(fingerprints.c.mix(np.array([x], np.uint64) * fingerprints.CODE)[0] >> np.uint64(32)) for x in own})[: fingerprints.SKETCH]
+        errors.append(abs(fingerprints.likeness(one, two) - true))
+    assert max(errors) < 0.25 and sum(errors) / len(errors) < 0.06
+
+
 def test_parsing_is_local():
     """Equal substrings have equal interior names, wherever they stand."""
     rng = random.Random(8)
@@ -337,6 +574,28 @@ def test_codec_equals_library():
     assert own.decode(ids) == [(t or "").replace("▁", " ") for t in texts]
 
 
+def test_very_long_words():
+    import sentencepiece
+
+    path = sentencepiece_codec.default_model()
+    own, lib = sentencepiece_codec.codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(4)
+    old, sentencepiece_codec.PROBES = sentencepiece_codec.PROBES, 1000
+    texts = ["".join(rng.choice(abc) for _ in range(n)) for abc, n in (("abcdeinrst", 9000), ("漢字かな", 5000), ("a", 3000), ("étheinßu!🙂.", 4000), ("xyz", sentencepiece_codec.LONG - 1), ("xyz", sentencepiece_codec.LONG))]
+    got = own.encode(texts)
+    sentencepiece_codec.PROBES = old
+    assert [x.tolist() for x in got] == lib.encode(texts) and own.decode(got) == texts
+
+
+def test_cuts_cross_no_piece():
+    own = sentencepiece_codec.codec(sentencepiece_codec.default_model())
+    words = ["▁there,", "▁a.\nb", "▁漢字", "▁word"]
+    parts, first = own.cuts(words)
+    assert ["".join(parts[a:b]) for a, b in zip(first, first[1:])] == words and len(parts) > len(words)
+    inside = {x + y for p in own.by_text for x, y in zip(p, p[1:])}
+    assert all(parts[k - 1][-1] + parts[k][0] not in inside for k in range(1, len(parts)) if k not in first)
+
+
 def test_unigram_viterbi(tmp_path):
     from sentencepiece import sentencepiece_model_pb2
 
@@ -361,8 +620,8 @@ def test_unigram_viterbi(tmp_path):
         best = [0.0] + [-1e18] * len(full)
         for j in range(1, len(full) + 1):
             best[j] = max((best[i] + score[full[i:j]] for i in range(j) if full[i:j] in score), default=-1e18)
-        ids = own.encode([word])[0]
-        assert abs(sum(own.scores[i] for i in ids) - best[-1]) < 1e-4 and own.decode([ids]) == [word]
+        for ids in (own.encode([word])[0], own._long(full)):
+            assert abs(sum(own.scores[i] for i in ids) - best[-1]) < 1e-4 and own.decode([ids]) == [word]
 
 
 def test_encode_documents(spark):
@@ -412,6 +671,34 @@ def test_many_equal_vectors_and_repeated_rows(spark):
         assert sorted(got[q]) == [(k + 1, i) for k, (_, i) in enumerate(want)]
 
 
+def test_recall_where_the_codes_decide():
+    """100,000 clustered vectors in one partition: about one in a hundred is measured exactly."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(400, 32))
+    x = (centres[rng.integers(0, 400, 100_000)] + 0.4 * rng.normal(size=(100_000, 32))).round(4)
+    model = aq.AdditiveQuantiser.fit(x[:20_000], 8, 64)
+    codes, norms = model.encode(x)
+    q_ids = np.arange(0, 100_000, 2_500)
+    measured = []
+    old, aq.distances = aq.distances, lambda a, b: (measured.append(a.shape[0] * a.shape[1]), old(a, b))[1]
+    ids = pa.array([[i] for i in range(len(x))], pa.list_(pa.int64()))
+    table = pa.table({"ids": ids, "v": pa.array(list(x), pa.list_(pa.float64())), "code": pa.array([r.tobytes() for r in codes], pa.binary()), "norm": pa.array(norms)})
+    out = pa.Table.from_batches(list(aq._search(model, q_ids, x[q_ids], 10, 320)(table.combine_chunks().to_batches(max_chunksize=10_000)))).to_pandas()
+    aq.distances = old
+    hit = 0
+    for i in q_ids:
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit += len(set(np.argsort(d)[:10].tolist()) & set(out.vec_id[out.query_id == i].tolist()))
+    assert hit >= 0.9 * 10 * len(q_ids) and sum(measured) <= 0.04 * len(x) * len(q_ids)
+
+
+def test_huge_and_ambiguous_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (1, [1e200, 0.0]), (2, [-1e308, 1e308]), (3, [0.5, 0.25]), (3, [9.0, 9.0])]
+    got = sorted((r["rank"], r.vec_id, r.score) for r in aq.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert [(k, v) for k, v, _ in got] == [(1, 3), (2, 1), (3, 2)] and got[0][2] == 0.25 and got[1][2] == 1e200 and abs(got[2][2] / 2**0.5 / 1e308 - 1) < 1e-9
+
+
 def test_few_vectors(spark):
     got = aq.search(spark.createDataFrame([(0, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [0.0, 1.0])], "vec_id long, embedding array<double>")).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(0, 1, 5), (0, 2, 7)]
