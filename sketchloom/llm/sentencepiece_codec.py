@@ -1,9 +1,12 @@
 """SentencePiece encoding and decoding: batched numpy Viterbi (operator 9).
 
 A text is cut at spaces into words (``▁`` and what follows; no piece has ``▁`` after another
-character, so words are independent). Distinct words of equal length advance together, one
-position at a time: hashes of all substrings ending there probe the sorted piece keys, and a
-vectorised maximum over the candidate pieces stores one backpointer a word and position.
+character, so words are independent), and words between any two characters that no piece has
+side by side, so no piece can cross the cut. Distinct parts of equal length advance together,
+one position at a time: hashes of all substrings ending there probe the sorted piece keys, and
+a vectorised maximum over the candidate pieces stores one backpointer a part and position.
+Parts of more than ``LONG`` characters advance alone: all their substrings are probed at once,
+and only the few pieces found are walked.
 
 The lattice's transition scores depend on the model's kind:
 
@@ -28,6 +31,7 @@ model), never the corpus.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -41,7 +45,10 @@ from sketchloom.llm import common as c
 SPACE = "▁"
 BASE = c.BASES[1]
 INF = np.int64(1 << 40)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+LONG = 256  # characters
+MEMO = 1_000_000
+PROBES = 1 << 16  # positions of a long part that are probed at once
 OUT = "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, decoded string"
 
 
@@ -91,6 +98,13 @@ class Codec:
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a key")
         self.by_text = {self.pieces[i]: int(i) for i in normal}
+        # Pairs of code points that stand side by side in some piece, as one sorted number each.
+        pairs = {(ord(x) << 32) | ord(y) for p in self.by_text for x, y in zip(p, p[1:])}
+        self.pairs = np.array(sorted(pairs), c.U64)
+        self.ascii_pairs = np.zeros((128, 128), bool)
+        for x in pairs:
+            if x >> 32 < 128 and x & 0xFFFFFFFF < 128:
+                self.ascii_pairs[x >> 32, x & 0xFFFFFFFF] = True
         self.seen = np.zeros(1 << 20, bool)  # leading bits of the keys: most probes end here
         self.seen[(self.keys >> c.U64(44)).astype(np.int64)] = True
         self._forget()
@@ -144,8 +158,11 @@ class Codec:
         return out
 
     def _forget(self) -> None:
-        self.cache: dict[str, int] = {}
+        self.cache: dict[str, int] = {}  # words
         self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.parts: dict[str, int] = {}
+        self.part_flat, self.part_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.border: dict[tuple[int, int], bool] = {}
 
     def _stands(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the border between pieces a and b outlives merging; -1 never merges."""
@@ -226,29 +243,146 @@ class Codec:
             out += ids
         return np.array(out, np.int32), size
 
-    def encode_words(self, words: list[str]) -> np.ndarray:
-        """Where the ids of ``▁`` + word stand in ``flat``, for distinct words.
-
-        Coded words are kept until there are ``CACHE_WORDS``; then all are forgotten."""
-        if len(self.cache) > CACHE_WORDS:
-            self._forget()
+    def _long(self, word: str) -> np.ndarray:
+        """Ids of one long part: all substrings are probed at once, then one walk over the
+        pieces found."""
+        points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n, raw = len(points), _raw(points)
+        best, back, piece = [-np.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        unknown = float(self.scores.min()) - 10
+        for first in range(0, n, PROBES):
+            ends = np.arange(first, min(n, first + PROBES))
+            h = np.zeros(len(ends), c.U64)
+            starts, ids, at = [], [], []
+            for k in range(self.longest):  # substrings of k + 1 characters, by their last one
+                inside = ends - k >= 0
+                h = np.where(inside, h * c.U64(BASE) + raw[np.maximum(ends - k, 0)], h)
+                found = np.where(inside, self._probe(h), -1)
+                hit = np.flatnonzero(found >= 0)
+                at.append(hit)
+                starts.append(ends[hit] - k)
+                ids.append(found[hit])
+            order = np.argsort(np.concatenate(at), kind="stable")
+            at, starts, ids = (np.concatenate(x)[order] for x in (at, starts, ids))
+            stops = np.searchsorted(at, np.arange(len(ends) + 1)).tolist()
+            starts, ids = starts.tolist(), ids.tolist()
+            for e in range(len(ends)):
+                j = first + e + 1
+                known = False
+                for k in range(stops[e], stops[e + 1]):
+                    i, p = starts[k], ids[k]
+                    known |= i == j - 1
+                    if best[i] == -np.inf:
+                        continue
+                    if not self.bpe:
+                        score = best[i] + self.scores[p]
+                    elif self.forms[p] and (i == 0 or self._border(piece[i], p)):
+                        score = 0.0
+                    else:
+                        continue
+                    if score > best[j]:
+                        best[j], back[j], piece[j] = score, i, p
+                if not known:  # a character outside the vocabulary
+                    score = 0.0 if self.bpe else best[j - 1] + unknown
+                    if score > best[j]:
+                        best[j], back[j], piece[j] = score, j - 1, -1
+        out: list[int] = []
+        j = n
+        while j:
+            i = back[j]
+            out += [piece[j]] if piece[j] >= 0 else [int(self.byte_id[x]) for x in reversed(word[i].encode("utf-8", "surrogatepass"))]
+            j = i
+        return np.array(out[::-1], np.int32)
+
+    def _border(self, a: int, b: int) -> bool:
+        """``_stands`` of one pair, kept."""
+        got = self.border.get((a, b))
+        if got is None:
+            rank, last, pieces = self.walk
+            x, y, limit, got = a, b, int(INF), True
+            while x >= 0 and y >= 0:
+                pair = self.by_text.get(pieces[x] + pieces[y])
+                if pair is not None and last[pair] < limit:
+                    got = False
+                    break
+                if rank[x] < 0 and rank[y] < 0:
+                    break
+                if rank[x] > rank[y]:
+                    x, limit = int(self.right[x]), rank[x]
+                else:
+                    y, limit = int(self.left[y]), rank[y] + 1
+            if len(self.border) > MEMO:
+                self.border.clear()
+            self.border[a, b] = got
+        return got
+
+    @functools.cached_property
+    def walk(self) -> tuple[list[int], list[int], list[str]]:
+        return self.rank.tolist(), self.rank_or_last.tolist(), self.pieces
+
+    def cuts(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """Parts of the words that no piece crosses, and where each word's parts start."""
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lens)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        left, right = points[:-1], points[1:]
+        beside = np.zeros(len(left), bool)
+        plain = (left < 128) & (right < 128)
+        beside[plain] = self.ascii_pairs[left[plain], right[plain]]
+        other = np.flatnonzero(~plain)
+        key = (left[other].astype(c.U64) << c.U64(32)) | right[other]
+        if len(self.pairs):
+            beside[other] = self.pairs[np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)] == key
+        edge = ~beside
+        edge[ends[:-1] - 1] = True
+        cut = np.concatenate([[0], np.flatnonzero(edge) + 1, [len(points)]])
+        text = "".join(words)
+        parts = [text[i:j] for i, j in zip(cut.tolist(), cut[1:].tolist())]
+        return parts, np.searchsorted(cut, np.concatenate([[0], ends]))
+
+    def _encode_parts(self, parts: list[str]) -> np.ndarray:
+        """Where the ids of each part stand in ``part_flat``."""
         fresh: dict[int, list[str]] = {}
-        for w in words:
-            if w not in self.cache:
-                fresh.setdefault(len(w) + 1, []).append(w)
-        flats, sizes = [self.flat], []
+        for w in dict.fromkeys(parts):
+            if w not in self.parts:
+                fresh.setdefault(len(w), []).append(w)
+        flats, sizes = [self.part_flat], []
         for n, group in fresh.items():
-            step = max(1, (1 << 17) // n)
+            step = max(1, (1 << 17) // n) if n <= LONG else 1
             for at in range(0, len(group), step):
-                part = group[at : at + step]
-                ids, size = self._viterbi([SPACE + w for w in part], n)
-                self.cache.update(zip(part, range(len(self.cache), len(self.cache) + len(part))))
+                some = group[at : at + step]
+                if n <= LONG:
+                    ids, size = self._viterbi(some, n)
+                else:
+                    ids = self._long(some[0])
+                    size = np.array([len(ids)])
+                self.parts.update(zip(some, range(len(self.parts), len(self.parts) + len(some))))
                 flats.append(ids)
                 sizes.append(size)
         if sizes:
-            self.flat = np.concatenate(flats)
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
-        return np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
+            self.part_flat = np.concatenate(flats)
+            self.part_at = np.concatenate([self.part_at, self.part_at[-1] + np.cumsum(np.concatenate(sizes))])
+        return np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
+
+    def encode_words(self, words: list[str]) -> np.ndarray:
+        """Where the ids of ``▁`` + word stand in ``flat``, for distinct words.
+
+        Coded words are kept until there are ``CACHE_WORDS``; then all are forgotten."""
+        if len(self.cache) > CACHE_WORDS:
+            self._forget()
+        cache = self.cache
+        fresh = [w for w in words if w not in cache]
+        if fresh:
+            parts, first = self.cuts([SPACE + w for w in fresh])
+            at = self._encode_parts(parts)
+            n = self.part_at[at + 1] - self.part_at[at]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ids = self.part_flat[np.repeat(self.part_at[at] - ends[:-1], n) + np.arange(int(ends[-1]))]
+            cache.update(zip(fresh, range(len(cache), len(cache) + len(fresh))))
+            self.flat = np.concatenate([self.flat, ids])
+            self.at = np.concatenate([self.at, self.at[-1] + ends[first[1:]]])
+        return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
 
     def _run(self, m: int) -> list[int]:
         """Ids of ``m`` spaces: the leftmost symbol takes in its neighbour while it can."""
