@@ -68,10 +68,13 @@ def _lookup(table: dict[int, object], key: F.Column, none: F.Column) -> F.Column
     return F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k).cast("long"), entry(v))]), key)
 
 
-def propagate(nodes: DataFrame, n: int, shards: int = SHARDS, rounds: int = ROUNDS, seed: int = 3) -> DataFrame:
+def propagate(nodes: DataFrame, n: int, shards: int = SHARDS, rounds: int = ROUNDS, seed: int = 3, free: list[int] | None = None) -> DataFrame:
     """``nodes`` (hub long, key long, fixed int, ...) with a balanced ``label`` that few hubs cross;
-    where ``fixed`` is not null it is the label."""
-    first = F.coalesce("fixed", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(shards)).cast("int"))
+    where ``fixed`` is not null it is the label. ``free`` is what the fixed ones leave of each
+    shard: the others start in proportion to it."""
+    ends = [sum(free[: s + 1]) for s in range(shards)] if free and sum(free) else list(range(1, shards + 1))
+    draw = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(ends[-1]).cast("long"))
+    first = F.coalesce("fixed", F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= draw)).cast("int"))
     start = c.table(nodes.withColumn("label", first), "labels")
     room = int(n / shards * (1 + SLACK)) + 1
     for turn in range(rounds):
@@ -89,6 +92,9 @@ def propagate(nodes: DataFrame, n: int, shards: int = SHARDS, rounds: int = ROUN
             asked = sum(m for a, b, m in moves if b == s)
             leaving = sum(m for a, b, m in moves if a == s)
             granted.append(min(1.0, max(0.0, (room - sizes.get(s, 0) + leaving) / asked)) if asked else 1.0)
+        if not any(granted[b] > 0 for _, b, _ in moves):
+            c.drop(wish)
+            break
         share = F.get(F.array(*[F.lit(g) for g in granted]), F.col("wish"))
         lot = F.pmod(F.xxhash64("hub", F.lit(seed + turn)), F.lit(1 << 20)) / float(1 << 20)
         moved = start.join(wish, "hub", "left").withColumn("label", F.when(F.col("wish").isNotNull() & (lot < share), F.col("wish")).otherwise(F.col("label"))).drop("wish")
@@ -115,9 +121,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     keyed = rows.withColumn("key", F.xxhash64("doc_id", "text_crc32")).join(groups, "hub", "left")
     part = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(PARTS)).cast("int")
     split = F.coalesce(_lookup({h: True for h in cut}, F.col("hub"), F.lit(None).cast("boolean")), F.lit(False))
+    free = [r - sum(m for p in large.values() for m, to in p if to == s) for s, r in enumerate(room)]
     nodes = keyed.select("doc_id", "size", "text_crc32", "key", "hub", F.col("m").isNull().alias("single"), F.coalesce(F.col("m") > min(room) // 4, F.lit(False)).alias("large"), part.alias("part"), split.alias("split"),
                          _lookup(whole, F.col("hub"), long_none).cast("int").alias("fixed"))
     if cut:
+        nodes = c.table(nodes, "nodes")
         before = F.sum("m").over(Window.partitionBy("hub").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
         parts = nodes.where("split").groupBy("hub", "part").agg(F.count("*").alias("m")).select("hub", "part", before.alias("before"))
         rank = F.row_number().over(Window.partitionBy("hub", "part").orderBy("key", "doc_id")) - 1 + F.col("before")
@@ -126,7 +134,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         piece = F.size(F.filter(_lookup(ends, F.col("hub"), list_none), lambda e: e <= F.col("rank")))
         placed_cut = nodes.where("split").join(parts, ["hub", "part"]).withColumn("rank", rank).withColumn("fixed", F.get(_lookup(to, F.col("hub"), list_none), piece).cast("int"))
         nodes = nodes.where("not split").unionByName(placed_cut.withColumn("hub", F.xxhash64("hub", "fixed")).drop("before", "rank"))
-    placed = propagate(nodes.drop("split"), n, shards, rounds)
+    placed = propagate(nodes.drop("split"), n, shards, rounds, free=free)
     # Whole hubs: what the quotas left apart follows its majority.
     counts = placed.where("not single and fixed is null").groupBy("hub", "label").agg(F.count("*").alias("m"))
     best = counts.groupBy("hub").agg(F.max(F.struct("m", F.xxhash64("hub", "label").alias("draw"), "label")).alias("b"), F.sum("m").alias("all"))
