@@ -45,7 +45,7 @@ END_ID = 2
 BLOCK_TOKENS = 1 << 20
 RULES_A_ROUND, MIN_COUNT = 4096, 12
 LEAST_GAIN = 0.002  # a round that saves a smaller share of the symbols is the last
-COUNT_BITS = 20  # of the hash that counts pairs roughly first
+SLOT_BITS = 17
 CACHE_CHUNKS = 1_200_000
 GROUP = 1024  # runs of letters that are encoded by one call
 LATIN_END = 0x250
@@ -190,14 +190,14 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 # ------------------------------------------------------------------ Re-Pair
-def _frequent(key: np.ndarray, slot: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(key: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys that occur ``min_count`` times or more, and how often."""
-    may = np.bincount(slot, minlength=1 << COUNT_BITS) >= min_count  # not the slots of rarer keys alone
-    ordered = np.sort(key[may[slot]])
-    cut = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
-    count = np.diff(np.append(cut, len(ordered)))
+    key.sort()
+    cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+    cut = np.concatenate([[0], cut]) if len(key) else cut
+    count = np.diff(np.append(cut, len(key)))
     often = np.flatnonzero(count >= min_count)
-    return ordered[cut[often]], count[often]
+    return key[cut[often]], count[often]
 
 
 def repair(seq: np.ndarray, first_rule: int, end_id: int = END_ID, per_round: int = RULES_A_ROUND, min_count: int = MIN_COUNT, least_gain: float = LEAST_GAIN):
@@ -211,16 +211,14 @@ def repair(seq: np.ndarray, first_rule: int, end_id: int = END_ID, per_round: in
     while len(seq) > 1:
         key = (seq[:-1].astype(c.U64) << c.U64(32)) | seq[1:]
         inside = ~closed[seq[:-1]]
-        slot = ((key * c.GOLD) >> c.U64(64 - COUNT_BITS)).astype(np.int32)
-        ends = np.flatnonzero(~inside)
-        pairs, count = _frequent(np.delete(key, ends), np.delete(slot, ends), min_count)
+        pairs, count = _frequent(np.delete(key, np.flatnonzero(~inside)), min_count)
         if not len(pairs):
             break
         pairs = pairs[np.argsort(count, kind="stable")][-per_round:]  # the most frequent last
-        table = np.full(1 << COUNT_BITS, -1, np.int32)
+        table = np.full(1 << SLOT_BITS, -1, np.int32)
         # Of pairs with one slot the most frequent stays; the others wait.
-        table[((pairs * c.GOLD) >> c.U64(64 - COUNT_BITS)).astype(np.int32)] = np.arange(len(pairs))
-        found = table[slot]
+        table[(pairs * c.GOLD) >> c.U64(64 - SLOT_BITS)] = np.arange(len(pairs))
+        found = table[(key * c.GOLD) >> c.U64(64 - SLOT_BITS)]
         at = np.flatnonzero(found >= 0)
         at = at[(pairs[found[at]] == key[at]) & inside[at]]
         fresh = np.append(True, np.diff(at) != 1)
