@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# ------------------------------------------------------------------ memory of Python workers
+_kept: dict[str, Callable[[], None]] = {}
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """From now on this process holds caches of ``owner``, which ``forget`` empties."""
+    if owner not in _kept:
+        release(owner)
+        _kept[owner] = forget
+
+
+def release(but: str | None = None) -> None:
+    """Spark uses a Python worker again for the next stages: caches that kernels of other owners
+    left in it go, and freed memory goes back to the system."""
+    for owner in [x for x in _kept if x != but]:
+        _kept.pop(owner)()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 # ------------------------------------------------------------------ global order
 def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
     """At most ``n - 1`` ascending cut points of a long column, from one narrow scan.

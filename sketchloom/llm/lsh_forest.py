@@ -94,6 +94,7 @@ def signatures(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _describe(shingle: int):
     def run(batches):
+        c.release()
         for batch in batches:
             for part in c.slices(batch, "text", 2 << 20):
                 flat, at = shingle_sets(part.column("text").to_pylist(), shingle)
@@ -315,19 +316,25 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 # ------------------------------------------------------------------ all together
-def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, tokens) of the classes ``wanted`` (node, doc_id), each once."""
+def _exact(shingle: int):
+    """Tokens of the texts; of several rows with one id only those with the class's set."""
 
-    def exact(batches):  # of several rows with one id only those with the class's set
+    def run(batches):
+        c.release()
         for batch in batches:
-            for part in c.slices(batch, "text"):
+            for part in c.slices(batch, "text", 2 << 20):
                 flat, at = shingle_sets(part.column("text").to_pylist(), shingle)
                 tokens = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
                 same = set_keys(flat, at).view(np.int64) == part.column("node").to_numpy()
                 yield pa.RecordBatch.from_arrays([part.column("node"), tokens], ["node", "tokens"]).filter(pa.array(same, pa.bool_()))
 
+    return run
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, tokens) of the classes ``wanted`` (node, doc_id), each once."""
     rows = docs.where("doc_id is not null").select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    found = rows.mapInArrow(exact, "node long, tokens array<long>")
+    found = rows.mapInArrow(_exact(shingle), "node long, tokens array<long>")
     return c.table(found.groupBy("node").agg(F.first("tokens").alias("tokens")), "class-sets")
 
 

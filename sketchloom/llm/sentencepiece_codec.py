@@ -467,6 +467,11 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def _forget() -> None:
+    for own in _codecs.values():
+        own._forget()
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -476,10 +481,13 @@ def default_model() -> str:
 def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, ids, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), decoded."""
     c.check_columns(docs, "doc_id", "text")
-    model = model or default_model()
+    return docs.select("doc_id", "text").mapInArrow(_encode(model or default_model()), OUT)
+
 
+def _encode(model: str):
     def run(batches):
         own = codec(model)
+        c.keeps("sentencepiece", _forget)
         for batch in batches:
             for part in c.slices(batch, "text", 2 << 20):
                 ids = own.encode(part.column("text").to_pylist())
@@ -492,7 +500,7 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
                     pa.array(own.decode(ids), pa.string()),
                 ], ["doc_id", "ids", "n_pieces", "ids_crc32", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, OUT)
+    return run
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

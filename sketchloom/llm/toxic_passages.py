@@ -192,6 +192,7 @@ class Model:
 
 
 def _count(batches):
+    c.release()
     for batch in batches:
         for part in c.slices(batch, "text"):
             found: dict[str, list[int]] = {}

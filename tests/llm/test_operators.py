@@ -714,3 +714,20 @@ def test_empty_tables(spark):
         lsh_forest.near_duplicates(docs), lsh_forest.drop_near_duplicates(docs), fingerprints.fingerprints(docs), sentencepiece_codec.encode_documents(docs), aq.search(spark.createDataFrame([], "vec_id long, embedding array<float>")),
     ):
         assert out.count() == 0
+
+
+def test_worker_memory(monkeypatch):
+    """A reused worker forgets the encoder's words before near-dedup reads texts, in small parts."""
+    texts = ["".join(random.Random(i).choices("ab ", k=300_000)) for i in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    path = sentencepiece_codec.default_model()
+    own = sentencepiece_codec.codec(path)
+    read = []
+    plain = lsh_forest.shingle_sets
+    monkeypatch.setattr(lsh_forest, "shingle_sets", lambda t, n: read.append(sum(map(len, t))) or plain(t, n))
+    for kernel in (lsh_forest._describe(5), lsh_forest._exact(5)):
+        assert sum(x.num_rows for x in sentencepiece_codec._encode(path)(iter([batch.slice(0, 1)]))) == 1 and own.cache and own.parts
+        nodes = lsh_forest.set_keys(*plain(texts, 5)).view(np.int64)
+        got = list(kernel(iter([batch.append_column("node", pa.array(nodes))])))
+        assert not own.cache and not own.parts and len(own.flat) == len(own.part_flat) == 0
+        assert sum(x.num_rows for x in got) == 20 and max(read) <= 2_400_000
