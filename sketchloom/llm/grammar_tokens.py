@@ -54,11 +54,22 @@ LATIN_END = 0x250
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-\u024F]+")
 PIECES = re.compile("[A-Za-zÀ-ÖØ-öø-\u024F]+|[0-9]+|[!#$%&()*+,./:;=?@^~-]+|\n")
 MIXED = re.compile("(?:[A-Za-zÀ-ÖØ-öø-\u024F]+|[0-9]+|[!#$%&()*+,./:;=?@^~-]+)(?:\n?(?:[A-Za-zÀ-ÖØ-öø-\u024F]+|[0-9]+|[!#$%&()*+,./:;=?@^~-]+))*")
+MARKS = frozenset("!#$%&()*+,./:;=?@^~-")
 UNSAFE = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
 
 
 # ------------------------------------------------------------------ encoding
+def _longer(held: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """``held`` and ``more`` in one array; room behind ``held`` is used before it is copied."""
+    room, n = held if held.base is None else held.base, len(held) + len(more)
+    if n > len(room):
+        room = np.empty(2 * n, held.dtype)
+        room[: len(held)] = held
+    room[len(held) : n] = more
+    return room[:n]
+
+
 class ChunkEncoder:
     """Ids of texts by the library, each distinct chunk encoded once while it is kept.
 
@@ -79,6 +90,8 @@ class ChunkEncoder:
             self.runs = Tokenizer.from_str(self.library.to_str())
             self.runs.encode_special_tokens = True
             self.runs.pre_tokenizer = None
+            if hasattr(self.runs.model, "_resize_cache"):
+                self.runs.model._resize_cache(0)  # no run comes twice while its ids are kept here
             split = self.library.pre_tokenizer.pre_tokenize_str
             self.alphabet = {x: split(chr(x))[0][0] for x in range(0xC0, LATIN_END) if chr(x).isalpha()}
             self.space = split(" a")[0][0][:-1]
@@ -92,8 +105,8 @@ class ChunkEncoder:
 
     def _add(self, known: dict[str, int], chunks: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         known.update(zip(chunks, range(len(self.at) - 1, len(self.at) - 1 + len(chunks))))
-        self.flat = np.concatenate([self.flat, ids])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
+        self.flat = _longer(self.flat, ids)
+        self.at = _longer(self.at, self.at[-1] + np.cumsum(size))
 
     def _index(self, chunks: list[str], lead: str = "") -> np.ndarray:
         """Where the ids of ``lead`` + chunk stand; what is not known yet is encoded."""
@@ -103,10 +116,12 @@ class ChunkEncoder:
         if not missing:
             return out
         fresh = list(dict.fromkeys([chunks[i] for i in missing]))
-        letters, mixed, other = [], [], []
+        letters, ended, mixed, other = [], [], [], []
         for x in fresh if self.usual else ():
             if x.isalpha():
                 (letters if x.isascii() or LETTERS.fullmatch(x) else other).append(x)
+            elif x[-1:] in MARKS and (head := x[:-1]).isalpha() and (x.isascii() or LETTERS.fullmatch(head)):
+                ended.append(x)
             else:
                 (mixed if MIXED.fullmatch(x) and not PIECES.fullmatch(x) else other).append(x)
         other = other if self.usual else fresh
@@ -126,6 +141,13 @@ class ChunkEncoder:
             found = [e.ids for e in self.library.encode_batch_fast([lead + x for x in other] if lead else other, add_special_tokens=False)]
             size = np.fromiter(map(len, found), np.int64, len(found))
             self._add(known, other, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size)
+        if ended:  # letters and one mark
+            heads = [x[:-1] for x in ended]
+            where = np.empty(2 * len(ended), np.int64)
+            where[::2] = self._index(heads, lead) if lead else self._plain(heads)
+            where[1::2] = self._plain([x[-1] for x in ended])
+            ids, ends = self._gather(where)
+            self._add(known, ended, ids, np.diff(ends[::2]))
         if mixed:
             pieces = [PIECES.findall(x) for x in mixed]
             first = np.cumsum([0, *map(len, pieces)])
@@ -191,13 +213,16 @@ def encoder(path: str) -> ChunkEncoder:
 
 # ------------------------------------------------------------------ Re-Pair
 def _frequent(key: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys that occur ``min_count`` times or more, and how often."""
+    """The distinct keys that occur ``min_count`` times or more, and how often.
+
+    Sorted, a key that equals the one ``min_count - 1`` places on is one of these; between two
+    of them lie as many places that don't."""
     key.sort()
-    cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-    cut = np.concatenate([[0], cut]) if len(key) else cut
-    count = np.diff(np.append(cut, len(key)))
-    often = np.flatnonzero(count >= min_count)
-    return key[cut[often]], count[often]
+    if min_count < 2:
+        return np.unique(key, return_counts=True)
+    step = min_count - 1
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], key[step:] == key[:-step], [False]])))
+    return key[edge[::2]], edge[1::2] - edge[::2] + step
 
 
 def repair(seq: np.ndarray, first_rule: int, end_id: int = END_ID, per_round: int = RULES_A_ROUND, min_count: int = MIN_COUNT, least_gain: float = LEAST_GAIN):
@@ -206,19 +231,22 @@ def repair(seq: np.ndarray, first_rule: int, end_id: int = END_ID, per_round: in
     rules = [np.zeros((0, 2), np.uint32)]
     lengths = [np.zeros(0, np.int64)]
     known = 0
-    closed = np.zeros(first_rule, bool)  # symbols that end with the end id
-    closed[end_id] = True
+    inner = seq != end_id  # symbols that do not end with the end id
     while len(seq) > 1:
-        key = (seq[:-1].astype(c.U64) << c.U64(32)) | seq[1:]
-        inside = ~closed[seq[:-1]]
-        pairs, count = _frequent(np.delete(key, np.flatnonzero(~inside)), min_count)
+        key = seq[:-1].astype(c.U64)
+        key <<= c.U64(32)
+        key |= seq[1:]
+        inside = inner[:-1]
+        pairs, count = _frequent(key[inside], min_count)
         if not len(pairs):
             break
         pairs = pairs[np.argsort(count, kind="stable")][-per_round:]  # the most frequent last
         table = np.full(1 << SLOT_BITS, -1, np.int32)
         # Of pairs with one slot the most frequent stays; the others wait.
         table[(pairs * c.GOLD) >> c.U64(64 - SLOT_BITS)] = np.arange(len(pairs))
-        found = table[(key * c.GOLD) >> c.U64(64 - SLOT_BITS)]
+        slot = key * c.GOLD
+        slot >>= c.U64(64 - SLOT_BITS)
+        found = table[slot.view(np.int64)]
         at = np.flatnonzero(found >= 0)
         at = at[(pairs[found[at]] == key[at]) & inside[at]]
         fresh = np.append(True, np.diff(at) != 1)
@@ -231,13 +259,13 @@ def repair(seq: np.ndarray, first_rule: int, end_id: int = END_ID, per_round: in
         size = np.concatenate(lengths)
         length = np.zeros(len(new), np.int64)
         for side in (0, 1):
-            inner = new[:, side].astype(np.int64) - first_rule
-            length += np.where(inner >= 0, size[np.maximum(inner, 0)] if len(size) else 1, 1)
-        closed = np.concatenate([closed, closed[new[:, 1]]])
+            rule = new[:, side].astype(np.int64) - first_rule
+            length += np.where(rule >= 0, size[np.maximum(rule, 0)] if len(size) else 1, 1)
+        inner[at] = inner[at + 1]
         seq[at] = first_rule + known + which
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq = seq[keep]
+        seq, inner = seq[keep], inner[keep]
         rules.append(new)
         lengths.append(length)
         known += len(new)

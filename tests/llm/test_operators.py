@@ -64,6 +64,30 @@ def test_chunk_encoder():
     assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_chunk_encoder_work(monkeypatch):
+    """Words with one mark take no regular expressions, and new words don't copy all that are kept."""
+    own = grammar_tokens.ChunkEncoder(grammar_tokens.default_tokenizer())
+    rng, searched, copied = random.Random(4), [], 0
+    word = lambda: "".join(rng.choices("abcdeé", k=7))
+    monkeypatch.setattr(grammar_tokens, "MIXED", type("Watched", (), {"fullmatch": lambda self, x: searched.append(x)})())
+    for _ in range(40):
+        text = " ".join(word() + rng.choice(["", ".", ",", "?"]) for _ in range(200))
+        room = own.flat.base
+        assert own.encode([text])[0].tolist() == own.library.encode(text, add_special_tokens=False).ids
+        copied += own.flat.base is not room
+    assert not searched and copied < 15
+
+
+def test_frequent_pairs():
+    rng = np.random.default_rng(5)
+    for least in (1, 2, 3, 12):
+        for size in (0, 1, 11, 12, 500):
+            key = rng.integers(0, 30, size, dtype=np.uint64)
+            want = {k: n for k, n in zip(*(x.tolist() for x in np.unique(key, return_counts=True))) if n >= least}
+            got, count = grammar_tokens._frequent(key.copy(), least)
+            assert dict(zip(got.tolist(), count.tolist())) == want
+
+
 def test_token_files(spark):
     rows = h.odd_rows()
     out = grammar_tokens.read_tokens(grammar_tokens.write_tokens(h.frame(spark, rows), block_tokens=500)).collect()
