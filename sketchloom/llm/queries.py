@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sketchloom.llm import additive_quantisation, byte_bpe, byte_cnn, fingerprints, grammar_tokens, label_propagation, lsh_forest, mixing, periodic_runs, sentencepiece_codec, substring_dedup, toxic_passages
+from sketchloom.llm import additive_quantisation, byte_bpe, byte_cnn, conversation_repair, fingerprints, grammar_tokens, label_propagation, lsh_forest, mixing, periodic_runs, sentencepiece_codec, substring_dedup, toxic_passages
 
 QUERIES = {
     "op1_grammar_tokens": grammar_tokens.op1_grammar_tokens,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_additive_quantisation": additive_quantisation.op10_additive_quantisation,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 
