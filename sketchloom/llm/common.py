@@ -200,6 +200,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
         yield batch.slice(a, b - a)
 
 
+def whole_row(df: DataFrame) -> F.Column:
+    """All columns as one struct ``row``, whatever their names."""
+    return F.struct(*[F.col("`" + n.replace("`", "``") + "`") for n in df.columns]).alias("row")
+
+
 def check_columns(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

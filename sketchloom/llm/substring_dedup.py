@@ -42,7 +42,7 @@ def _levels(width: int) -> tuple[int, int]:
     return short, min(2 * short, width)
 
 
-def _anchors(words: np.ndarray, at: np.ndarray, width: int, short: int):
+def _anchors(words: np.ndarray, at: np.ndarray, spans: c.Spans, width: int, short: int):
     """(anchor, first window, last window, document) of each run of windows with one anchor."""
     n_windows = np.maximum(np.diff(at) - width + 1, 0)
     total = int(n_windows.sum())
@@ -50,7 +50,6 @@ def _anchors(words: np.ndarray, at: np.ndarray, width: int, short: int):
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     doc = np.repeat(np.arange(len(n_windows)), n_windows)
     first = np.arange(total) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows) + at[:-1][doc]
-    spans = c.Spans(words, c.BASES[0])
     place = np.arange(len(words) - short + 1)
     key = (spans.get(place, place + short) & c.U64(0xFFFFFFFF00000000)) | place.astype(c.U64)
     reach, have = width - short + 1, 1  # minima over `reach` positions, by doubling
@@ -69,11 +68,14 @@ def _anchor_rows(width: int):
     short, _ = _levels(width)
 
     def run(batches):
+        c.release()
         for batch in batches:
-            for part in c.slices(batch, "text"):
-                words, at, *_ = c.hash_words(part.column("text").to_pylist())
-                p, lo, hi, doc = _anchors(words, at, width, short)
-                one, two = c.Spans(words, c.BASES[0]), c.Spans(words, c.BASES[1])
+            for part in c.slices(batch, "text", c.SLICE_BYTES):
+                words, at = c.hash_words(part.column("text").to_pylist())[:2]
+                one = c.Spans(words, c.BASES[0])
+                p, lo, hi, doc = _anchors(words, at, one, width, short)
+                short_hash, hull_hash = one.get(p, p + short), one.get(lo, hi + width)
+                two = one = c.Spans(words, c.BASES[1])  # one set of sums at a time
                 shape = ((p - lo) * 4096 + (hi - lo)).astype(c.U64) * c.GOLD
                 yield pa.RecordBatch.from_arrays([
                     part.column("rid").take(pa.array(doc)),
@@ -81,8 +83,8 @@ def _anchor_rows(width: int):
                     pa.array((p - at[:-1][doc]).astype(np.int64)),
                     pa.array((p - lo).astype(np.int32)),
                     pa.array((hi - lo + 1).astype(np.int32)),
-                    pa.array(one.get(p, p + short).view(np.int64)),
-                    pa.array(c.mix(one.get(lo, hi + width) + shape).view(np.int64)),
+                    pa.array(short_hash.view(np.int64)),
+                    pa.array(c.mix(hull_hash + shape).view(np.int64)),
                     pa.array(c.mix(two.get(lo, hi + width) + shape).view(np.int64)),
                 ], ["rid", "doc_id", "p", "back", "n", "h", "hull", "hull2"])
 
@@ -94,9 +96,10 @@ def _window_rows(width: int):
     short, double = _levels(width)
 
     def run(batches):
+        c.release()
         for batch in batches:
-            for part in c.slices(batch, "text"):
-                words, at, *_ = c.hash_words(part.column("text").to_pylist())
+            for part in c.slices(batch, "text", c.SLICE_BYTES):
+                words, at = c.hash_words(part.column("text").to_pylist())[:2]
                 cuts = part.column("cuts")
                 per = np.array(pa.compute.list_value_length(cuts), np.int64)
                 flat = cuts.flatten()
@@ -108,12 +111,14 @@ def _window_rows(width: int):
                 start = (p - get["back"])[row] + offset
                 right = p[row] + double <= start + width
                 mid = np.where(right, p[row], np.maximum(start, p[row] + short - double))
-                one, two = c.Spans(words, c.BASES[0]), c.Spans(words, c.BASES[1])
+                one = c.Spans(words, c.BASES[0])
+                double_hash, whole_hash = one.get(mid, mid + double), one.get(start, start + width)
+                two = one = c.Spans(words, c.BASES[1])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(get["hull"][row]), pa.array(get["hull2"][row]), pa.array(get["times"][row]),
                     pa.array(offset.astype(np.int32)),
-                    pa.array(one.get(mid, mid + double).view(np.int64)),
-                    pa.array(one.get(start, start + width).view(np.int64)),
+                    pa.array(double_hash.view(np.int64)),
+                    pa.array(whole_hash.view(np.int64)),
                     pa.array(two.get(start, start + width).view(np.int64)),
                 ], ["hull", "hull2", "times", "offset", "d", "w", "w2"])
 
@@ -122,8 +127,9 @@ def _window_rows(width: int):
 
 def _removal(width: int):
     def run(batches):
+        c.release()
         for batch in batches:
-            for part in c.slices(batch, "text"):
+            for part in c.slices(batch, "text", c.SLICE_BYTES):
                 texts = part.column("text").to_pylist()
                 buf, at_b = c.text_buffer(texts)
                 starts, ends = c.word_bounds(buf)
@@ -198,15 +204,17 @@ def strip_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     c.check_columns(docs, "doc_id", "text")
     names = docs.columns
     spans = repeated_windows(docs, width).groupBy("rid").agg(F.collect_set(F.struct("first", "mask")).alias("spans"))
-    whole = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text", F.struct(*names).alias("row"))
+    whole = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text", c.whole_row(docs))
     own = whole.join(spans, "rid", "left")
 
     def run(batches):
         for batch in batches:
-            texts = pa.Table.from_batches([b.select(["kept_text"]) for b in removal(iter([batch]))]).combine_chunks().column(0)
-            row = batch.column("row")
-            out = [texts.combine_chunks() if n == "text" else pa.compute.utf8_length(texts.combine_chunks()).cast(pa.int64()) if n == "n_chars" else row.field(i) for i, n in enumerate(names)]
-            yield pa.RecordBatch.from_arrays(out, names)
+            for part in c.slices(batch, "text", c.SLICE_BYTES):
+                texts = pa.concat_arrays([b.column("kept_text") for b in removal(iter([part]))])
+                row = part.column("row")
+                new = {"text": texts, "n_chars": pa.compute.utf8_length(texts)}
+                out = [new[n].cast(row.type.field(i).type) if n in new else row.field(i) for i, n in enumerate(names)]
+                yield pa.RecordBatch.from_arrays(out, names)
 
     removal = _removal(width)
     return own.mapInArrow(run, docs.schema)

@@ -287,12 +287,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that score below ``threshold``."""
 
+    names = docs.columns
+
     def run(batches):
         for batch in batches:
             for part in c.slices(batch, "text"):
-                yield part.filter(pa.array([model.score(t)[0] < threshold for t in part.column("text").to_pylist()], pa.bool_()))
+                low = pa.array([model.score(t)[0] < threshold for t in part.column("text").to_pylist()], pa.bool_())
+                row = part.column("row").filter(low)
+                yield pa.RecordBatch.from_arrays([row.field(i) for i in range(len(names))], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    whole = docs.select("text", c.whole_row(docs))
+    return whole.mapInArrow(run, docs.schema)
 
 
 def op2_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

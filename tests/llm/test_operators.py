@@ -728,6 +728,19 @@ def test_few_vectors(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(0, 1, 5), (0, 2, 7)]
 
 
+# ------------------------------------------------------------------ odd columns
+def test_filters_keep_any_columns(spark):
+    """Dotted names, and lengths that are ints."""
+    rows = h.odd_rows()
+    docs = h.frame(spark, rows).withColumnRenamed("key", "a.b").withColumn("n_chars", F.col("n_chars").cast("int")).withColumn("`x y`", F.lit("z"))
+    model = toxic_passages.train(docs, spark.createDataFrame([(r[0], i % 2) for i, r in enumerate(rows) if r[0] is not None], "doc_id long, toxic int"))
+    kept = substring_dedup.strip_repeats(docs)
+    assert kept.schema == docs.schema
+    assert all(r["n_chars"] == len(r["text"]) and r["a.b"] == "k" for r in kept.collect())
+    low = toxic_passages.drop_toxic(docs, model, 2.0)
+    assert low.schema == docs.schema and sorted(map(str, low.collect())) == sorted(map(str, docs.collect()))
+
+
 # ------------------------------------------------------------------ empty tables
 def test_empty_tables(spark):
     docs = h.frame(spark, [])
