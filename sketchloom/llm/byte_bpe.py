@@ -3,7 +3,8 @@
 A rank file (base64 of a token's bytes, its rank) is turned into a ``tokenizers`` model: each
 byte is written as one printable character (``ALPHABET``), and each token's merge is found by
 merging its own bytes by lower ranks. Texts are split by the pattern, each piece is merged
-alone, and a piece that is a token as a whole is that token. Ids are ranks.
+alone, and a piece that is a token as a whole is that token. Ids are ranks. With the usual
+pattern, distinct words go to the library once while up to ``MOST_CHUNKS`` are kept.
 
 Long texts go to the library in parts, cut between a letter or digit and a single space,
 where no match of a pattern that takes white space only at its front can cross (``CUT``); so
@@ -34,8 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.llm import common as c
+from sketchloom.llm.grammar_tokens import ChunkEncoder
 
 PART_CHARS = 1 << 18
+MOST_CHUNKS = 300_000
+#: The splitter that the library has built in, and keeps distinct words apart for.
+USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CUT = re.compile("[A-Za-z0-9](?= [^ ])")
 OFFSETS = ", char_starts array<int>, char_ends array<int>"
 
@@ -83,8 +88,13 @@ class ByteBPE:
         merges = [("".join(ALPHABET[x] for x in a), "".join(ALPHABET[x] for x in b)) for a, b in merges_of(ranks)]
         vocabulary = {"".join(ALPHABET[x] for x in token): rank for token, rank in ranks.items()}
         self.library = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True))
-        self.library.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.chunks = None
+        if pattern == USUAL:
+            self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+            self.chunks = ChunkEncoder(self.library, MOST_CHUNKS)
+        else:
+            self.library.pre_tokenizer = pre_tokenizers.Sequence([
+                pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._table(self.library.get_vocab())
 
     def _table(self, vocabulary: dict[str, int]) -> None:
@@ -118,12 +128,19 @@ class ByteBPE:
             while last < len(parts) and (room > 0 or last == first):
                 room -= len(parts[last][1])
                 last += 1
-            for (i, _), e in zip(parts[first:last], self.library.encode_batch_fast([p for _, p in parts[first:last]], add_special_tokens=False)):
-                x = np.array(e.ids, np.int32)
+            some = [p for _, p in parts[first:last]]
+            for (i, _), x in zip(parts[first:last], self.chunks.encode(some) if self.chunks else self._library_ids(some)):
                 n[i] += len(x)
                 ids.append(x)
             first = last
-        return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), n
+        return (np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)), n
+
+    def _library_ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def forget(self) -> None:
+        if self.chunks:
+            self.chunks._forget()
 
     # -------------------------------------------------------------- decoding
     def token_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,10 +212,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     path, pattern = path or default_files()[0], pattern or default_files()[1]
 
     def run(batches):
-        c.release()
+        own = codec(path, pattern)
+        c.keeps("byte_bpe", own.forget)
         for batch in batches:
             for part in c.slices(batch, "text", c.SLICE_BYTES):
-                own = codec(path, pattern)
                 ids, n = own.encode([t or "" for t in part.column("text").to_pylist()])
                 data, at = own.token_bytes(ids)
                 token_at = np.concatenate([[0], np.cumsum(n)])

@@ -2,7 +2,8 @@
 
 Texts are encoded by the ``tokenizers`` library. A text may be cut before any single space
 that follows a non-space without changing its ids (the vocabulary's splitter always cuts
-there), so each distinct chunk is encoded once and ids are gathered from those.
+there), so each distinct chunk is encoded once and ids are gathered from those. The string of
+a special token in a text is that token, as in the library as it is loaded.
 
 Ids go to ranges of ``doc_id`` (one a partition, sorted; only the ids are shuffled, in the
 narrowest unsigned type) and are cut into blocks of whole documents of about
@@ -77,18 +78,17 @@ class ChunkEncoder:
     digits, other marks, white space), chunks are cut into the splitter's own pieces, and runs
     of Latin letters go to the library in its byte alphabet, many at once, past the splitter."""
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, library, most_chunks: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library, self.most_chunks = library, most_chunks
         self.vocabulary = self.library.get_vocab_size()
+        #: Texts that hold one of these as a string go to the library whole: it finds them first.
+        self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
         splitter = json.loads(self.library.to_str())["pre_tokenizer"] or {}
         self.usual = splitter.get("type") == "ByteLevel" and splitter.get("use_regex") and not splitter.get("add_prefix_space")
         if self.usual:
             self.runs = Tokenizer.from_str(self.library.to_str())
-            self.runs.encode_special_tokens = True
             self.runs.pre_tokenizer = None
             if hasattr(self.runs.model, "_resize_cache"):
                 self.runs.model._resize_cache(0)  # no run comes twice while its ids are kept here
@@ -184,10 +184,11 @@ class ChunkEncoder:
         return self.flat[np.repeat(start - stops[:-1], n) + np.arange(int(stops[-1]))], stops
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.at) > CACHE_CHUNKS:
+        if len(self.at) > self.most_chunks:
             self._forget()
         rows = [t or "" for t in texts]
-        plain = ["" if UNSAFE.search(t) else t for t in rows]
+        whole = {i for i, t in enumerate(rows) if any(x in t for x in self.added)}
+        plain = ["" if i in whole or UNSAFE.search(t) else t for i, t in enumerate(rows)]
         words = pa.compute.split_pattern(pa.array(plain, pa.large_string()), " ")
         ends = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
         flat = words.flatten().dictionary_encode()
@@ -197,7 +198,9 @@ class ChunkEncoder:
         cut = stops[ends]
         out = [ids[a:b] for a, b in zip(cut, cut[1:])]
         for i, (t, p) in enumerate(zip(rows, plain)):
-            if t and not p:
+            if i in whole:
+                out[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)
+            elif t and not p:
                 out[i] = np.concatenate([self.flat[self.at[k] : self.at[k + 1]] for k in self._index(CUT.split(t))])
         return out
 
@@ -207,7 +210,10 @@ _encoders: dict[str, ChunkEncoder] = {}
 
 def encoder(path: str) -> ChunkEncoder:
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        _encoders[path] = ChunkEncoder(Tokenizer.from_file(path))
     return _encoders[path]
 
 

@@ -27,8 +27,12 @@ def texts():
     return [*out, "", " ", "it's <|endoftext|> x", "a" * 5000, "ab" * 3000, " " * 3000, "\n" * 500 + "x", "� é"]
 
 
-def test_ids_equal_the_library(library):
-    own = byte_bpe.codec(PATH, PATTERN)
+@pytest.mark.parametrize("pattern", [PATTERN, PATTERN + "|x", r"\s+|\S"])
+def test_ids_equal_the_library(pattern):
+    """The usual pattern, and others by the splitter's general form."""
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(PATH), special_tokens={})
+    own = byte_bpe.codec(PATH, pattern)
+    assert (own.chunks is not None) == (pattern == PATTERN)
     all_ = texts()
     ids, n = own.encode(all_)
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode_ordinary(t) for t in all_]
