@@ -1,11 +1,24 @@
 """The layout optimiser: which user bins are split over technical bins, which are merged.
 
-One filter is a small dynamic programme over user bins in descending size, so it runs as a
-numpy kernel in ``applyInPandas``; the tree is built level by level, all filters of a level
-(and all candidates of a search) in one Spark job."""
+One filter is a dynamic programme over user bins in descending size. ``best[j, i]`` is the
+cheapest way to place the first j user bins in i technical bins: the weight of the fullest bin
+times i, plus ``alpha`` times what merged bins add on lower levels. Either the last user bin is
+split over s bins, or a run of the last ones shares one.
+
+A greedy layout bounds the cost from above, and the user bins that cannot be alone bound what
+is added below. So no bin may be heavier than a cap, and only runs below it are looked at: the
+table is a band, and work grows with the number of user bins times the length of such runs,
+not with its square.
+
+The tree is built level by level, all filters of a level (and all candidates of a search) in
+one job. Small filters are one task each. In a large one with union estimates, tasks of
+``INTERVAL`` user bins put similar ones next to each other, tasks of ``BLOCK`` positions
+estimate the unions of the band, and one task fills the table from those numbers; registers of
+a whole filter are never in one place."""
 
 from __future__ import annotations
 
+import heapq
 import time
 
 import numpy as np
@@ -16,8 +29,13 @@ from pyspark.sql import functions as F
 from sketchloom.config import IndexConfig, next_multiple_of_64
 from sketchloom.functions import bloom
 from sketchloom.sources.layouts import Layout
+from sketchloom.sources.tables import table
 
 ROWS = "run long, ibf_path array<long>, ub_id long, kmer_count long, tb long, span long, merged boolean, max_tb long, bins long, pos long"
+INTERVAL = 256  # user bins that are clustered together at most
+BLOCK = 256  # positions whose unions one task estimates
+WHOLE = 512  # user bins of a filter whose registers go to one task (2 MB)
+CHUNK = 64
 
 
 def _corrections(t: int, cfg: IndexConfig) -> np.ndarray:
@@ -25,13 +43,17 @@ def _corrections(t: int, cfg: IndexConfig) -> np.ndarray:
     return np.array([np.inf, *(bloom.split_factor(s, cfg.maximum_fpr, cfg.number_of_hash_functions) / s for s in range(1, t + 1))])
 
 
+def _relaxed(cfg: IndexConfig) -> float:
+    return bloom.merged_factor(cfg.maximum_fpr, cfg.relaxed_fpr, cfg.number_of_hash_functions)
+
+
 def spread(counts: np.ndarray, t: int, cfg: IndexConfig) -> list[tuple[int, int, int, int]]:
     """Split every user bin; least possible fullest bin. Rows (first, last, first bin, span).
 
-    Giving the next technical bin to the user bin that is fullest now is optimal, because
-    every load only falls with more bins."""
-    import heapq
-
+    Giving the next technical bin to the user bin that is fullest now finds that least weight,
+    because every load only falls with more bins. Each user bin then takes as few bins as weigh no
+    more, in whole elements, and the largest all that are left. ``counts`` descend; the largest
+    comes first."""
     load = _corrections(t, cfg)
     span = [1] * len(counts)
     heap = [(-float(c) * load[1], i) for i, c in enumerate(counts)]
@@ -40,53 +62,129 @@ def spread(counts: np.ndarray, t: int, cfg: IndexConfig) -> list[tuple[int, int,
         _, i = heap[0]
         span[i] += 1
         heapq.heapreplace(heap, (-float(counts[i]) * load[span[i]], i))
+    least = np.floor(-heap[0][0])
+    for i, c in enumerate(counts):
+        while span[i] > 1 and np.floor(float(c) * load[span[i] - 1]) <= least:
+            span[i] -= 1
+    span[0] += t - sum(span)
     out, tb = [], 0
-    for i in reversed(range(len(counts))):  # the smallest first
+    for i in range(len(counts)):
         out.append((i, i, tb, span[i]))
         tb += span[i]
     return out
 
 
-def optimise(counts: np.ndarray, t: int, cfg: IndexConfig, union=None) -> list[tuple[int, int, int, int]]:
-    """Rows (first, last, first bin, span) over ``counts`` in descending order.
+def levels_below(n: np.ndarray, t: int) -> np.ndarray:
+    """Levels that a merged bin of ``n`` user bins needs below it, with t bins a filter."""
+    out, room = np.ones(len(n), np.int64), t
+    while (n > room).any():
+        out += n > room
+        room *= max(t, 2)
+    return out
 
-    ``best[j, i]`` is the cheapest way to place the first j user bins in i technical bins:
-    the weight of the fullest bin times i, plus ``alpha`` times what merged bins add below.
-    Either the last user bin is split over s bins, or the last run of them shares one."""
-    n = len(counts)
-    cfg_t = t - int(t * cfg.empty_bin_fraction)
-    if n <= cfg_t:
-        return spread(counts, cfg_t, cfg)
+
+def slack(counts: np.ndarray, t: int, cfg: IndexConfig) -> float:
+    """How much more than what must lie below the least cost can be: some layout's cost (by sums,
+    which are never less than unions) minus the least sum that cannot be alone.
+
+    For a cap on weights, runs from the end are filled to it, and as many user bins as then
+    fit are split as far as the cap asks."""
+    n, load, relaxed = len(counts), _corrections(t, cfg), _relaxed(cfg)
+    if n <= t:
+        return t * max(counts[a] * load[s] for a, _, _, s in spread(np.sort(counts)[::-1], t, cfg))
+    counts = np.asarray(counts, float)
+    sums = np.concatenate([[0.0], np.cumsum(counts)])
+    must = float(np.sort(counts)[: n - t + 1].sum())
+    best = np.inf
+    low = max(relaxed * sums[-1] / t, 1.0)
+    for cap in low * np.geomspace(1, 64, 40):
+        spans = 1 + np.searchsorted(-load[1:], -cap / np.maximum(counts, 1e-9))
+        ahead = np.concatenate([[0], np.cumsum(spans)])
+        if spans.max() > t:
+            ahead[int(np.argmax(spans > t)) + 1 :] = t + 1
+        at, runs = n, 0
+        while at > 1:
+            a = max(int(np.searchsorted(sums, sums[at] - cap / relaxed)), at - t)
+            first = int(np.searchsorted(ahead, t - runs - 1, side="right")) - 1  # user bins before it may be alone
+            if ahead[at] + runs <= t:
+                break
+            if at - a < 2:
+                runs = t + 1
+                break
+            at, runs = max(a, min(first, at - 2)), runs + 1
+        if runs <= t and ahead[at] + runs <= t:
+            cost = t * cap + cfg.alpha * (sums[-1] - sums[at])
+            best = min(best, cost)
+    return best - cfg.alpha * must
+
+
+def reach(counts: np.ndarray, t: int, cfg: IndexConfig, room: float) -> np.ndarray:
+    """For each j the first user bin that a run of the last ones of j may begin with, by what more
+    than one level below would add."""
     sums = np.concatenate([[0.0], np.cumsum(counts, dtype=float)])
-    relaxed = bloom.merged_factor(cfg.maximum_fpr, cfg.relaxed_fpr, cfg.number_of_hash_functions)
-    load = _corrections(cfg_t, cfg)
-    full = np.full((n + 1, cfg_t + 1), np.inf)
-    low = np.full((n + 1, cfg_t + 1), np.inf)
-    full[0, 0] = low[0, 0] = 0
-    from_j = np.zeros((n + 1, cfg_t + 1), np.int64)
-    from_i = np.zeros((n + 1, cfg_t + 1), np.int64)
-    score = lambda m, ell, i: i * m + cfg.alpha * ell
+    j = np.arange(len(counts) + 1)
+    if not np.isfinite(room):
+        return np.zeros(len(counts) + 1, np.int64)
+    by_weight = np.searchsorted(sums, sums - room / max(cfg.alpha, 1e-12) - 1e-9)
+    return np.minimum(np.maximum(j - t, 0), by_weight)
+
+
+def optimise(counts: np.ndarray, t: int, cfg: IndexConfig, unions=None, room: float | None = None) -> list[tuple[int, int, int, int]]:
+    """Rows (first, last, first bin, span) over ``counts``.
+
+    ``unions(j, first, most)`` gives the sizes of the unions of a .. j-1 for a = j-2, j-3, ... as
+    far as ``first``, or a size above ``most``. Of equal costs, splits come before runs, more
+    bins before fewer, short runs before long ones. ``room`` is the ``slack`` (infinite: look at
+    everything)."""
+    n = len(counts)
+    counts = np.asarray(counts, float)
+    if not n:
+        return []
+    room = slack(counts, t, cfg) * (1 + 1e-9) if room is None else room
+    cap = room / t
+    first = reach(counts, t, cfg, room)
+    sums = np.concatenate([[0.0], np.cumsum(counts)])
+    relaxed, load = _relaxed(cfg), _corrections(t, cfg)
+    full = np.full((n + 1, t + 1), np.inf)
+    low = np.zeros((n + 1, t + 1))
+    full[0, 0] = 0
+    from_j = np.zeros((n + 1, t + 1), np.int32)
+    from_i = np.zeros((n + 1, t + 1), np.int32)
+    bins = np.arange(1, t + 1)
+    over = bins[:, None] - np.arange(t)[None, :]  # bins that a user bin is split over
+    split = load[np.maximum(over, 0)]  # infinite where there are none
     for j in range(1, n + 1):
-        # Merge user bins a .. j-1 (at least two) into one technical bin; a descends from j - 2.
-        if j >= 2:
-            a = np.arange(j - 1)
-            size = union(j) if union else sums[j] - sums[a]
-            below = sums[j] - sums[a]
-            m = np.maximum(full[a, :-1], (size * relaxed)[:, None])
-            ell = low[a, :-1] + below[:, None]
-            s = score(m, ell, np.arange(1, cfg_t + 1))
-            pick = s.argmin(0)
-            cols = np.arange(cfg_t)
-            full[j, 1:], low[j, 1:] = m[pick, cols], ell[pick, cols]
-            from_j[j, 1:], from_i[j, 1:] = pick, cols
-        for i in range(1, cfg_t + 1):  # split user bin j-1 over s bins
-            prev = np.arange(i)
-            m = np.maximum(full[j - 1, prev], counts[j - 1] * load[i - prev])
-            s = score(m, low[j - 1, prev], i)
-            k = int(s.argmin())
-            if s[k] <= score(full[j, i], low[j, i], i):
-                full[j, i], low[j, i], from_j[j, i], from_i[j, i] = m[k], low[j - 1, k], j - 1, k
-    out, tb, j, i = [], 0, n, cfg_t
+        m = np.maximum(full[j - 1, None, :t], counts[j - 1] * split)
+        score = m * bins[:, None] + cfg.alpha * low[j - 1, None, :t]
+        k = score.argmin(1)
+        best, weight, below = score[bins - 1, k], m[bins - 1, k], low[j - 1, k]
+        place_j, place_i = np.full(t, j - 1), k
+        if j >= 2 and first[j] <= j - 2:
+            if unions is None:
+                a = np.arange(max(first[j], int(np.searchsorted(sums, sums[j] - cap / relaxed - 1e-9))), j - 1)[::-1]
+                size = sums[j] - sums[a]
+            else:
+                size = unions(j, int(first[j]), cap / relaxed)
+                a = np.arange(j - 2, j - 2 - len(size), -1)
+                size = np.minimum(size, sums[j] - sums[a])
+            inner = (sums[j] - sums[a]) * levels_below(j - a, t)
+            if len(a):
+                m = np.maximum(full[a, :t], (size * relaxed)[:, None])
+                ell = low[a, :t] + inner[:, None]
+                score = m * bins + cfg.alpha * ell
+                pick = score.argmin(0)
+                one = bins - 1
+                better = score[pick, one] < best
+                weight = np.where(better, m[pick, one], weight)
+                below = np.where(better, ell[pick, one], below)
+                place_j, place_i = np.where(better, a[pick], place_j), np.where(better, one, place_i)
+        ok = weight <= cap
+        full[j, 1:] = np.where(ok, weight, np.inf)
+        low[j, 1:] = np.where(ok, below, 0)
+        from_j[j, 1:], from_i[j, 1:] = place_j, place_i
+    if not np.isfinite(full[n, t]):  # estimates that contradict each other
+        return optimise(counts, t, cfg, unions, np.inf)
+    out, tb, j, i = [], 0, n, t
     while j:
         a, k = int(from_j[j, i]), int(from_i[j, i])
         out.append((a, j - 1, tb, i - k))
@@ -95,33 +193,103 @@ def optimise(counts: np.ndarray, t: int, cfg: IndexConfig, union=None) -> list[t
     return out
 
 
-def order_by_similarity(counts: np.ndarray, regs: np.ndarray, ratio: float) -> np.ndarray:
-    """Within runs of similar size, a chain of nearest neighbours by estimated Jaccard distance."""
-    order, at = [], 0
-    while at < len(counts):
-        end = at + 1
-        while end < len(counts) and counts[end] >= counts[at] * ratio:
-            end += 1
-        rest = list(range(at, end))
-        chain = [rest.pop(0)]
-        while rest:
-            here = regs[chain[-1]]
-            union = cardinalities(np.maximum(regs[rest], here))
-            dist = 2 - (counts[rest] + counts[chain[-1]]) / np.maximum(union, 1)
-            chain.append(rest.pop(int(np.argmin(dist))))
-        order += chain
-        at = end
-    return np.array(order, np.int64)
+# ------------------------------------------------------------------ registers
+_SHARE = np.exp2(-np.arange(256.0)).astype(np.float32)
 
 
 def cardinalities(regs: np.ndarray) -> np.ndarray:
     """HyperLogLog estimates of rows of registers."""
     m = regs.shape[-1]
-    raw = 0.7213 / (1 + 1.079 / m) * m * m / np.exp2(-regs.astype(float)).sum(-1)
+    raw = 0.7213 / (1 + 1.079 / m) * m * m / _SHARE[regs].sum(-1, dtype=np.float64)
     zero = (regs == 0).sum(-1)
     return np.where((raw <= 2.5 * m) & (zero > 0), m * np.log(m / np.maximum(zero, 1)), raw)
 
 
+def unions_of(regs: np.ndarray, base: int = 0):
+    """``unions`` of ``optimise`` from the registers of positions ``base``, ``base`` + 1, ..."""
+
+    def sizes(j: int, first: int, most: float) -> np.ndarray:
+        at, held, out = j - 1 - base, regs[j - 1 - base], []
+        while at > first - base:
+            part = regs[max(at - CHUNK, first - base) : at][::-1]
+            part = np.maximum.accumulate(np.maximum(part, held), 0)
+            out.append(cardinalities(part))
+            held, at = part[-1], at - len(part)
+            if out[-1][-1] > most:
+                break
+        return np.concatenate(out) if out else np.zeros(0)
+
+    return sizes
+
+
+def distances(regs: np.ndarray, counts: np.ndarray, one: np.ndarray, count: float) -> np.ndarray:
+    """Estimated Jaccard distances of rows of registers to one more."""
+    union = cardinalities(np.maximum(regs, one))
+    return np.clip(2 - (counts + count) / np.maximum(union, 1), 0, 1)
+
+
+def cluster(regs: np.ndarray) -> list[int]:
+    """An order in which alike sets are neighbours: the closest two clusters, by the distance of
+    their unions, become one until one is left; each time the closer ends meet."""
+    n = len(regs)
+    own = cardinalities(regs)
+    between = np.stack([distances(regs, own, regs[i], own[i]) for i in range(n)])
+    held, size = np.zeros((2 * n, regs.shape[1]), np.uint8), np.zeros(2 * n)
+    held[:n], size[:n] = regs, own
+    order = {i: [i] for i in range(n)}
+    heap = [(float(between[i, k]), i, k) for i in range(n) for k in range(i + 1, n)]
+    heapq.heapify(heap)
+    new = n
+    while len(order) > 1:
+        _, i, k = heapq.heappop(heap)
+        if i not in order or k not in order:
+            continue
+        a, b = order.pop(i), order.pop(k)
+        ways = [(between[x[-1], y[0]], w) for w, (x, y) in enumerate(((a, b), (a, b[::-1]), (a[::-1], b), (a[::-1], b[::-1])))]
+        way = min(ways)[1]
+        held[new] = np.maximum(held[i], held[k])
+        size[new] = cardinalities(held[new])
+        if order:
+            others = np.fromiter(order, np.int64)
+            for x, d in zip(others.tolist(), distances(held[others], size[others], held[new], size[new]).tolist()):
+                heapq.heappush(heap, (d, x, new))
+        order[new] = (a[::-1] if way > 1 else a) + (b[::-1] if way % 2 else b)
+        new += 1
+    return next(iter(order.values()))
+
+
+def intervals(counts: np.ndarray, ratio: float) -> np.ndarray:
+    """Numbers of the stretches of descending counts that are rearranged together."""
+    out, start = np.zeros(len(counts), np.int64), 0
+    for i in range(1, len(counts)):
+        if counts[i] < counts[start] * ratio or i - start == INTERVAL:
+            start = i
+            out[i:] += 1
+    return out
+
+
+def flips(ends: list[tuple[np.ndarray, np.ndarray]]) -> list[bool]:
+    """Which stretches to turn round, so that each begins with what is closer to the one before."""
+    out, last = [], None
+    for head, tail in ends:
+        turn = False
+        if last is not None:
+            both = np.stack([head, tail])
+            turn = bool(np.diff(distances(both, cardinalities(both), last, float(cardinalities(last))))[0] < 0)
+        out.append(turn)
+        last = head if turn else tail
+    return out
+
+
+def order_by_similarity(counts: np.ndarray, regs: np.ndarray, ratio: float) -> np.ndarray:
+    """The whole rearrangement of one filter's user bins (in descending size)."""
+    number = intervals(counts, ratio)
+    parts = [np.flatnonzero(number == k) for k in range(int(number[-1]) + 1)]
+    parts = [p[cluster(regs[p])] for p in parts]
+    turn = flips([(regs[p[0]], regs[p[-1]]) for p in parts])
+    return np.concatenate([p[::-1] if x else p for p, x in zip(parts, turn)])
+
+
 _spent: dict[str, object] = {}  # accumulators of the driver, by what they measure
 
 
@@ -141,59 +309,169 @@ def seconds(spark: SparkSession) -> tuple[float, float]:
     return out[0], out[1]
 
 
-def _kernel(cfg: IndexConfig, has_regs: bool, unions, moves):
+def _bins(n: int, tmax: int, root: bool) -> int:
+    return tmax if n > tmax or root else min(tmax, next_multiple_of_64(n))
+
+
+def _placed(pdf: pd.DataFrame, t: int, usable: int, rows, cfg: IndexConfig, unions) -> pd.DataFrame:
+    """The layout rows of one filter, whose user bins are in the order of ``rows``."""
+    counts = pdf["kmer_count"].to_numpy(np.float64)
+    relaxed, load = _relaxed(cfg), _corrections(t, cfg)
+    ids, sizes = pdf["ub_id"].tolist(), pdf["kmer_count"].tolist()
+    run, path = int(pdf["run"].iloc[0]), [int(x) for x in pdf["ibf_path"].iloc[0]]
+    out, fullest, top = [], -1.0, 0
+    for a, b, tb, span in rows:
+        if a == b:
+            weight = counts[a] * load[span]
+        else:
+            total = counts[a : b + 1].sum()
+            weight = relaxed * (min(total, unions(b + 1, a, np.inf)[b - a - 1]) if unions else total)
+        if weight > fullest:
+            fullest, top = weight, tb
+        out += [(run, path, ids[k], sizes[k], tb, span, a != b) for k in range(a, b + 1)]
+    got = pd.DataFrame(out, columns=["run", "ibf_path", "ub_id", "kmer_count", "tb", "span", "merged"])
+    return got.assign(max_tb=top, bins=usable, pos=np.arange(len(got)))
+
+
+def _descending(pdf: pd.DataFrame) -> tuple[pd.DataFrame, int, int]:
+    """The filter's rows by size, its bins, and those that are not to stay empty."""
+    pdf = pdf.sort_values(["kmer_count", "ub_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    return pdf, int(pdf["tmax"].iloc[0]), len(pdf["ibf_path"].iloc[0])
+
+
+def _rows_of(counts: np.ndarray, tmax: int, depth: int, cfg: IndexConfig, unions=None, room: float | None = None):
+    t = _bins(len(counts), tmax, not depth)
+    usable = max(t - int(t * cfg.empty_bin_fraction), 1)
+    if depth and len(counts) <= usable:
+        return spread(counts, usable, cfg), t, usable
+    return optimise(counts, usable, cfg, unions, room), t, usable
+
+
+def _kernel(cfg: IndexConfig, has_regs: bool, spent, moves):
+    """One filter in one task: counts, and registers of small filters."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["kmer_count", "ub_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        path = [int(x) for x in pdf["ibf_path"][0]]
-        tmax = int(pdf["tmax"][0])
-        t = tmax if len(pdf) > tmax or not path else min(tmax, next_multiple_of_64(len(pdf)))
-        counts = pdf["kmer_count"].to_numpy(np.float64)
-        union = None
-        if has_regs and not cfg.disable_estimate_union and len(pdf) > t:
+        pdf, tmax, depth = _descending(pdf)
+        unions = None
+        if has_regs and len(pdf) > _bins(len(pdf), tmax, not depth):
             regs = np.stack([np.frombuffer(r, np.uint8) for r in pdf["regs"]])
+            began = time.perf_counter()
             if not cfg.disable_rearrangement:
-                began = time.perf_counter()
-                order = order_by_similarity(counts, regs, cfg.max_rearrangement_ratio)
-                pdf, counts, regs = pdf.iloc[order].reset_index(drop=True), counts[order], regs[order]
-                moves.add(time.perf_counter() - began)
+                order = order_by_similarity(pdf["kmer_count"].to_numpy(np.float64), regs, cfg.max_rearrangement_ratio)
+                pdf, regs = pdf.iloc[order].reset_index(drop=True), regs[order]
+            moves.add(time.perf_counter() - began)
+            plain = unions_of(regs)
 
-            def union(j):  # sizes of the unions of a .. j-1, for a = 0 .. j-2
+            def unions(j, first, most):
                 began = time.perf_counter()
-                merged = np.maximum.accumulate(regs[j - 1 :: -1], 0)[1:][::-1]
-                out = cardinalities(merged)
-                unions.add(time.perf_counter() - began)
+                out = plain(j, first, most)
+                spent.add(time.perf_counter() - began)
                 return out
 
-        rows = optimise(counts, t, cfg, union)
-        relaxed = bloom.merged_factor(cfg.maximum_fpr, cfg.relaxed_fpr, cfg.number_of_hash_functions)
-        load = _corrections(t, cfg)
-        out, fullest, top = [], -1.0, 0
-        for a, b, tb, span in rows:
-            weight = counts[a] * load[span] if a == b else (union(b + 1)[a] if union else counts[a : b + 1].sum()) * relaxed
-            if weight > fullest:
-                fullest, top = weight, tb
-            for k in range(a, b + 1):
-                out.append((int(pdf["run"][0]), path, int(pdf["ub_id"][k]), int(pdf["kmer_count"][k]), tb, span, a != b))
-        got = pd.DataFrame(out, columns=["run", "ibf_path", "ub_id", "kmer_count", "tb", "span", "merged"])
-        return got.assign(max_tb=top, bins=t, pos=np.arange(len(got)))
+        rows, t, usable = _rows_of(pdf["kmer_count"].to_numpy(np.float64), tmax, depth, cfg, unions)
+        return _placed(pdf, t, usable, rows, cfg, unions)
 
     return run
 
 
+FILTER = ["run", "ibf_path"]
+_ROW = "run long, ibf_path array<long>, ub_id long, kmer_count long, tmax long"
+
+
+def _large(work: DataFrame, regs: DataFrame, cfg: IndexConfig, spent, moves) -> DataFrame:
+    """Layout rows of filters with many user bins and union estimates: registers only meet within
+    an interval, and within a block of positions and the runs that reach into it."""
+
+    def number(pdf):
+        pdf = _descending(pdf)[0]
+        counts = pdf["kmer_count"].to_numpy(np.float64)
+        return pdf.assign(part=np.zeros(len(pdf), np.int64) if cfg.disable_rearrangement else intervals(counts, cfg.max_rearrangement_ratio), pos=np.arange(len(pdf)))
+
+    def order(pdf):
+        began = time.perf_counter()
+        pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
+        all_ = np.stack([np.frombuffer(r, np.uint8) for r in pdf["regs"]])
+        pdf = pdf.iloc[cluster(all_)].reset_index(drop=True)
+        ends = pdf["regs"].where((pdf.index == 0) | (pdf.index == len(pdf) - 1), None)
+        moves.add(time.perf_counter() - began)
+        return pdf.assign(inner=np.arange(len(pdf)), regs=ends)
+
+    def place(pdf):
+        if not cfg.disable_rearrangement:
+            began = time.perf_counter()
+            parts = [p.sort_values("inner") for _, p in pdf.groupby("part", sort=True)]
+            bytes_of = lambda r: np.frombuffer(r, np.uint8)
+            turn = flips([(bytes_of(p["regs"].iloc[0]), bytes_of(p["regs"].iloc[-1])) for p in parts])
+            pdf = pd.concat([p.iloc[::-1] if x else p for p, x in zip(parts, turn)], ignore_index=True)
+            moves.add(time.perf_counter() - began)
+        else:
+            pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
+        counts = pdf["kmer_count"].to_numpy(np.float64)
+        t = int(pdf["tmax"].iloc[0])
+        usable = max(t - int(t * cfg.empty_bin_fraction), 1)
+        room = slack(counts, usable, cfg) * (1 + 1e-9)
+        first = reach(counts, usable, cfg, room)[1:]  # of the runs that end with a position
+        n = len(pdf)
+        low = np.minimum.reduceat(first, np.arange(0, n, BLOCK))
+        low = np.minimum.accumulate(low[::-1])[::-1]  # of a block and all behind it
+        last = np.searchsorted(low, np.arange(n), side="right") - 1
+        return pdf[["run", "ibf_path", "ub_id", "kmer_count", "tmax"]].assign(pos=np.arange(n), first=first, most=room / usable / _relaxed(cfg), room=room, blocks=[list(range(p // BLOCK, max(b, p // BLOCK) + 1)) for p, b in enumerate(last.tolist())])
+
+    def bands(pdf):
+        began = time.perf_counter()
+        pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
+        base = int(pdf["pos"].iloc[0])
+        sizes = unions_of(np.stack([np.frombuffer(r, np.uint8) for r in pdf["regs"]]), base)
+        own = pdf[pdf["pos"] // BLOCK == pdf["block"]]
+        got = [sizes(int(p) + 1, int(f), m).astype(np.float32) for p, f, m in zip(own["pos"], own["first"], own["most"])]
+        spent.add(time.perf_counter() - began)
+        return own[["run", "ibf_path", "pos"]].assign(sizes=got)
+
+    def solve(pdf):
+        pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
+        band = pdf["sizes"].tolist()
+
+        def unions(j, first, most):
+            return np.asarray(band[j - 1][: j - 1 - first], np.float64)
+
+        rows, t, usable = _rows_of(pdf["kmer_count"].to_numpy(np.float64), int(pdf["tmax"].iloc[0]), len(pdf["ibf_path"].iloc[0]), cfg, unions, float(pdf["room"].iloc[0]))
+        return _placed(pdf, t, usable, rows, cfg, unions)
+
+    numbered = work.groupBy(*FILTER).applyInPandas(number, _ROW + ", part long, pos long")
+    if not cfg.disable_rearrangement:
+        with_regs = numbered.join(regs, "ub_id").select(*numbered.columns, "regs")
+        numbered = with_regs.groupBy(*FILTER, "part").applyInPandas(order, _ROW + ", part long, pos long, regs binary, inner long")
+    placed = table(numbered.groupBy(*FILTER).applyInPandas(place, _ROW + ", pos long, first long, most double, room double, blocks array<long>"), "placed")
+    spread_ = placed.join(regs, "ub_id").select("run", "ibf_path", "pos", "first", "most", "regs", F.explode("blocks").alias("block"))
+    band = spread_.groupBy(*FILTER, "block").applyInPandas(bands, "run long, ibf_path array<long>, pos long, sizes array<float>")
+    return placed.drop("blocks").join(band, [*FILTER, "pos"]).groupBy(*FILTER).applyInPandas(solve, ROWS)
+
+
 def layouts(counts: DataFrame, candidates: list[int], cfg: IndexConfig, regs: DataFrame | None = None) -> DataFrame:
     """Rows of ``ROWS`` for each candidate number of technical bins (column ``run``).
 
     ``counts`` is (ub_id, kmer_count), ``regs`` optionally (ub_id, regs binary). The loop ends
-    when no filter of a level has merged bins; a layout has few levels."""
+    when no filter of a level has merged bins; a layout has few levels, each a written table."""
     spark = counts.sparkSession
-    tries = spark.createDataFrame([(t, t) for t in candidates], "run long, tmax long")
-    front = counts.select("ub_id", F.col("kmer_count").cast("long").alias("kmer_count")).crossJoin(F.broadcast(tries)).withColumn("ibf_path", F.array().cast("array<long>"))
+    use = regs is not None and not cfg.disable_estimate_union
+    spent, moves = _clock(spark, "unions"), _clock(spark, "rearrangement")
+    tries = spark.createDataFrame([(t, t) for t in candidates], "run long, tmax long")  # a few rows
+    front = counts.select("ub_id", F.col("kmer_count").cast("long").alias("kmer_count")).crossJoin(F.broadcast(tries)).select("run", F.array().cast("array<long>").alias("ibf_path"), "ub_id", "kmer_count", "tmax")
     done: list[DataFrame] = []
     while True:
-        work = front.join(regs, "ub_id") if regs is not None else front
-        level = work.groupBy("run", "ibf_path").applyInPandas(_kernel(cfg, regs is not None, _clock(spark, "unions"), _clock(spark, "rearrangement")), ROWS).persist()
+        if use:
+            size = front.groupBy(*FILTER, "tmax").count()
+            large = size.where(f"count > {WHOLE} AND count > tmax").drop("count", "tmax")
+            many = large.count()
+            small = front.join(large, FILTER, "left_anti") if many else front
+            level = small.join(regs, "ub_id").groupBy(*FILTER).applyInPandas(_kernel(cfg, True, spent, moves), ROWS)
+            if many:
+                level = level.unionByName(_large(front.join(large, FILTER, "left_semi"), regs, cfg, spent, moves))
+        else:
+            level = front.groupBy(*FILTER).applyInPandas(_kernel(cfg, False, spent, moves), ROWS)
+        level = table(level, "layout-level")
         done.append(level)
-        front = level.where("merged").select("ub_id", "kmer_count", "run", F.col("run").alias("tmax"), F.concat("ibf_path", F.array("tb")).alias("ibf_path"))
+        front = level.where("merged").select("run", F.concat("ibf_path", F.array("tb")).alias("ibf_path"), "ub_id", "kmer_count", F.col("run").alias("tmax"))
         if front.isEmpty():
             break
     out = done[0]
