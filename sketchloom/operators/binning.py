@@ -194,27 +194,42 @@ def optimise(counts: np.ndarray, t: int, cfg: IndexConfig, unions=None, room: fl
 
 
 # ------------------------------------------------------------------ registers
-_SHARE = np.exp2(-np.arange(256.0)).astype(np.float32)
+_SHARE = np.exp2(-np.arange(256.0))
 
 
 def cardinalities(regs: np.ndarray) -> np.ndarray:
     """HyperLogLog estimates of rows of registers."""
     m = regs.shape[-1]
-    raw = 0.7213 / (1 + 1.079 / m) * m * m / _SHARE[regs].sum(-1, dtype=np.float64)
-    zero = (regs == 0).sum(-1)
+    return _estimate(m, _SHARE[regs].sum(-1), (regs == 0).sum(-1))
+
+
+def _estimate(m: int, share: np.ndarray, zero: np.ndarray) -> np.ndarray:
+    raw = 0.7213 / (1 + 1.079 / m) * m * m / share
     return np.where((raw <= 2.5 * m) & (zero > 0), m * np.log(m / np.maximum(zero, 1)), raw)
 
 
 def unions_of(regs: np.ndarray, base: int = 0):
-    """``unions`` of ``optimise`` from the registers of positions ``base``, ``base`` + 1, ..."""
+    """``unions`` of ``optimise`` from the registers of positions ``base``, ``base`` + 1, ...
+
+    A longer run raises few registers, so sums are kept up to date from those alone."""
+    m = regs.shape[1]
 
     def sizes(j: int, first: int, most: float) -> np.ndarray:
-        at, held, out = j - 1 - base, regs[j - 1 - base], []
+        at, out = j - 1 - base, []
+        held = regs[at : at + 1]
+        share, zero = float(_SHARE[held].sum()), int((held == 0).sum())
         while at > first - base:
-            part = regs[max(at - CHUNK, first - base) : at][::-1]
-            part = np.maximum.accumulate(np.maximum(part, held), 0)
-            out.append(cardinalities(part))
-            held, at = part[-1], at - len(part)
+            part = np.concatenate([held, regs[max(at - CHUNK, first - base) : at][::-1]])
+            n = len(part) - 1
+            for i in range(n):  # numpy's own accumulation along rows is far slower
+                np.maximum(part[i], part[i + 1], out=part[i + 1])
+            flat = part.reshape(-1)
+            place = np.flatnonzero(flat[m:] != flat[:-m])
+            row, old, new = place // m, flat[place], flat[place + m]
+            shares = share + np.cumsum(np.bincount(row, _SHARE[new] - _SHARE[old], n))
+            zeros = zero - np.cumsum(np.bincount(row[old == 0], minlength=n))
+            out.append(_estimate(m, shares, zeros))
+            held, at, share, zero = part[-1:], at - n, float(shares[-1]), int(zeros[-1])
             if out[-1][-1] > most:
                 break
         return np.concatenate(out) if out else np.zeros(0)
