@@ -22,7 +22,6 @@ LAYOUT = Layout(
     {(): 0, (0,): 0, (1,): 4, (1, 4): 0},
 )
 K, W = 15, 19
-GRID = [(b, f) for b in (1, 64, 100, 128, 192, 1000, 4096, 50000, 65536) for f in (0.0001, 0.001, 0.05, 0.3125, 0.9)]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -169,23 +168,41 @@ def _values(rows) -> str:
 
 
 COST_ROWS = f"(VALUES {_values((f, 1 << (6 + i), c) for f, row in bloom.COST.items() for i, c in enumerate(row))}) t(fpr, bins, cost)"
-GRID_ROWS = f"(VALUES {_values(GRID)}) g(bins, fpr)"
 
 
-@query(f"SELECT CAST(fpr AS DOUBLE) AS fpr, CAST(bins AS BIGINT) AS bins, CAST(cost AS DOUBLE) AS cost FROM {COST_ROWS}")
+COSTS = f"SELECT CAST(fpr AS DOUBLE) AS fpr, CAST(bins AS BIGINT) AS bins, CAST(cost AS DOUBLE) AS cost FROM {COST_ROWS}"
+
+
+@query(f"""WITH t AS ({COSTS}), g AS (SELECT CAST(64 * 2 ** (l_partkey % 11) AS BIGINT) AS bins, l_discount AS fpr, count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT g.bins, g.fpr, g.n, t.cost FROM g JOIN t ON t.bins = g.bins AND t.fpr = (SELECT min(x.fpr) FROM t x WHERE x.fpr >= g.fpr)""")
 def query_cost_exact(spark, sf_dir):
-    t = bloom.cost_table(spark)
-    return t.select("fpr", "bins", bloom.query_cost(F.col("bins"), F.col("fpr")).alias("cost"))
+    """Cost at powers of two, at the tabulated rate next above a discount."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    g = li.groupBy((F.lit(64) * F.pow(F.lit(2), F.col("l_partkey") % 11)).cast("long").alias("bins"), F.col("l_discount").alias("fpr")).agg(F.count("*").alias("n"))
+    return g.select("bins", "fpr", "n", bloom.query_cost(F.col("bins"), F.col("fpr")).alias("cost"))
 
 
-@query(f"""WITH t AS (SELECT CAST(fpr AS DOUBLE) AS fpr, CAST(bins AS BIGINT) AS bins, CAST(cost AS DOUBLE) AS cost FROM {COST_ROWS}),
-g AS (SELECT CAST(bins AS BIGINT) AS bins, CAST(fpr AS DOUBLE) AS fpr, coalesce((SELECT min(t.fpr) FROM t WHERE t.fpr >= CAST(g.fpr AS DOUBLE)), 0.3125) AS f FROM {GRID_ROWS})
-SELECT g.bins, g.fpr, round(CASE WHEN g.bins <= 64 THEN lo.cost ELSE lo.cost + (hi.cost - lo.cost) * (g.bins - lo.bins) / lo.bins END, 6) AS cost
+#: Every line item as a filter: up to 65536 bins, and a rate within the table or above it.
+GRID = "SELECT l_orderkey, l_linenumber, 1 + (l_orderkey * 7919 + l_partkey * 31) % 65536 AS bins, l_discount * 4 AS fpr FROM lineitem"
+INTERPOLATED = f"""WITH t AS ({COSTS}), g AS (SELECT *, coalesce((SELECT min(t.fpr) FROM t WHERE t.fpr >= x.fpr), 0.3125) AS f FROM ({GRID}) x)
+SELECT l_orderkey, l_linenumber, g.bins, CAST(floor((CASE WHEN g.bins <= 64 THEN lo.cost ELSE lo.cost + (hi.cost - lo.cost) * (g.bins - lo.bins) / lo.bins END) * 1000000 + 0.3) AS BIGINT) AS cost_micro
 FROM g JOIN t lo ON lo.fpr = g.f JOIN t hi ON hi.fpr = g.f
-WHERE (g.bins <= 64 AND lo.bins = 64 AND hi.bins = 64) OR (g.bins > 64 AND lo.bins < g.bins AND g.bins <= hi.bins AND hi.bins = 2 * lo.bins)""")
+WHERE (g.bins <= 64 AND lo.bins = 64 AND hi.bins = 64) OR (g.bins > 64 AND lo.bins < g.bins AND g.bins <= hi.bins AND hi.bins = 2 * lo.bins)"""
+
+
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return li.select("l_orderkey", "l_linenumber", (1 + (F.col("l_orderkey") * 7919 + F.col("l_partkey") * 31) % 65536).alias("bins"), (F.col("l_discount") * 4).alias("fpr"))
+
+
+@query(INTERPOLATED)
 def query_cost_interpolated(spark, sf_dir):
-    g = spark.createDataFrame(GRID, "bins long, fpr double")
-    return g.select("bins", "fpr", F.round(bloom.query_cost(F.col("bins"), F.col("fpr")), 6).alias("cost"))
+    return grid(spark, sf_dir).select("l_orderkey", "l_linenumber", "bins", micro(bloom.query_cost(F.col("bins"), F.col("fpr"))))
+
+
+def micro(cost: F.Column) -> F.Column:
+    """Millionths; costs are fractions of powers of two, so none lies where the floor changes."""
+    return F.floor(cost * 1000000 + 0.3).cast("long").alias("cost_micro")
 
 
 def fill(p) -> str:
@@ -202,9 +219,11 @@ def bloom_bits(spark, sf_dir):
     return exact_counts(suppliers(spark, sf_dir)).select("ub_id", F.col("kmer_count").alias("n"), bloom.bits(F.col("kmer_count"), 0.05, 2).alias("bits"))
 
 
-@query(f"SELECT s, round({CORR.format(s='s')}, 9) AS factor, round({RELAXED}, 9) AS merged FROM (SELECT unnest(range(1, 129)) AS s)")
+@query(f"SELECT s, count(*) AS n, round({CORR.format(s='s')}, 9) AS factor, round({RELAXED}, 9) AS merged FROM (SELECT l_partkey % 128 + 1 AS s FROM lineitem) GROUP BY s")
 def fpr_correction(spark, sf_dir):
-    return spark.range(1, 129).select(F.col("id").alias("s"), F.round(bloom.split_correction(F.col("id"), 0.05, 2), 9).alias("factor"), F.lit(round(bloom.merged_factor(0.05, 0.3, 2), 9)).alias("merged"))
+    """Growth of the bins that line items of a part are split over."""
+    s = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy((F.col("l_partkey") % 128 + 1).alias("s")).agg(F.count("*").alias("n"))
+    return s.select("s", "n", F.round(bloom.split_correction(F.col("s"), 0.05, 2), 9).alias("factor"), F.lit(round(bloom.merged_factor(0.05, 0.3, 2), 9)).alias("merged"))
 
 
 @query("SELECT o_orderkey, ((o_orderkey + 63) // 64) * 64 AS up, (o_orderkey + 6) // 7 AS sevenths FROM orders")

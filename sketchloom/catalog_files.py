@@ -5,31 +5,26 @@ machines share (``spark.checkpoint.dir``, else the warehouse), and reads it back
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import asdict, replace
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom import cli
-from sketchloom.catalog import BIN, CFG, DNA, LAYOUT, MAX, REPORT, ROWS, SUP, TREE, dna, exact_counts, path_text, query, suppliers
+from sketchloom.catalog import BIN, CFG, DNA, LAYOUT, REPORT, SUP, TREE, dna, exact_counts, path_text, query, suppliers
 from sketchloom.config import IndexConfig, RunConfig
 from sketchloom.functions import hll
 from sketchloom.operators import binning
 from sketchloom.plans import entries
+from sketchloom.sources import datasource
 from sketchloom.sources import files as src
-from sketchloom.sources.layouts import layout_text, read_layout
+from sketchloom.sources.layouts import Layout, layout_text, read_layout
+from sketchloom.sources.tables import new_path as work
 
 FILES = [[f"bins/{i}_a.fa", f"bins/{i}_b.fa"] if i % 3 == 0 else [f"bins/{i}.fa"] for i in range(12)]
 CONFIG = RunConfig(data_file="bins.tsv", k=15, window_size=21, output_filename="x.layout", determine_best_tmax=True, index=replace(CFG, number_of_user_bins=12, alpha=1.5))
 
 
-def work(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work-tables"
-    return f"{base.rstrip('/')}/sketchloom/{uuid.uuid4().hex}-{name}"
-
-
 def text_files(lines: DataFrame, folder: str, ending: str) -> DataFrame:
     """Write lines as text files; returns them as one user bin a file."""
     spark = lines.sparkSession
@@ -46,14 +41,15 @@ def text_files(lines: DataFrame, folder: str, ending: str) -> DataFrame:
     return spark.createDataFrame([(i, [n]) for i, n in enumerate(moved)], "ub_id long, files array<string>")
 
 
+def written_sets(sets: DataFrame, folder: str) -> DataFrame:
+    """The distinct elements of each user bin as a file of 8-byte values; (ub_id, files)."""
+    name = F.concat(F.col("ub_id").cast("string"), F.lit(".minimiser"))
+    datasource.write_files(sets.select(name.alias("file"), "h").distinct(), folder)
+    return sets.select("ub_id").distinct().select("ub_id", F.array(F.concat(F.lit(folder + "/"), name)).alias("files"))
+
+
 def hash_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twelve user bins' elements as files of 8-byte values; (ub_id, files)."""
-    folder, rows = work(spark, "hashes"), []
-    sets = suppliers(spark, sf_dir, 12).groupBy("ub_id").agg(F.array_sort(F.collect_set("h")).alias("hs"))
-    for r in sets.toLocalIterator():
-        rows.append((r["ub_id"], [f"{folder}/{r['ub_id']}.minimiser"]))
-        src.write_bytes(spark, rows[-1][1][0], np.array(r["hs"], "<i8").tobytes())
-    return spark.createDataFrame(rows, "ub_id long, files array<string>")
+    return written_sets(suppliers(spark, sf_dir, 12), work(spark, "hashes"))
 
 
 # ------------------------------------------------------------------ sources
@@ -99,6 +95,14 @@ def source_precomputed(spark, sf_dir):
     return src.precomputed(spark, bins).groupBy("ub_id").agg(F.count("*").alias("n"), F.sum("h").alias("total"))
 
 
+@query(f"SELECT ub_id, count(*) AS n, CAST(sum(h) AS BIGINT) AS total FROM ({BIN}) GROUP BY ub_id")
+def source_hash_ranges(spark, sf_dir):
+    """The same files in ranges of 4,000 bytes: each file is read by many tasks."""
+    bins = hash_files(spark, sf_dir).select("ub_id", F.col("files")[0].alias("path"))
+    paths = [r["path"] for r in bins.collect()]
+    return datasource.read_hashes(spark, paths, 4000).join(bins, "path").groupBy("ub_id").agg(F.count("*").alias("n"), F.sum("h").alias("total"))
+
+
 @query(f"SELECT ub_id, count(*) AS n, CAST(sum(h) AS BIGINT) AS total FROM ({BIN}) GROUP BY ub_id")
 def source_by_file_kind(spark, sf_dir):
     """As the reports read: the kind of every single file tells how."""
@@ -132,12 +136,18 @@ def sketch_file(spark, sf_dir):
     return _near(sketches.select("ub_id", F.col("kmer_count").alias("estimate")).join(exact_counts(el).withColumnRenamed("kmer_count", "n"), "ub_id"))
 
 
-@query("SELECT CASE WHEN i % 3 = 0 THEN i || '_a.hll' ELSE i || '.hll' END AS file FROM (SELECT DISTINCT l_partkey % 12 AS i FROM lineitem)")
+@query(f"""SELECT CASE WHEN ub_id % 3 = 0 THEN ub_id || '_a.hll' ELSE ub_id || '.hll' END AS file, count(*) AS n, true AS near, true AS same FROM ({BIN}) GROUP BY ub_id""")
 def single_sketch_files(spark, sf_dir):
+    """A file for each sketch: what is in it estimates the set, and is the sketch that was written."""
+    el = suppliers(spark, sf_dir, 12)
     bins = spark.createDataFrame(list(enumerate(FILES)), "ub_id long, files array<string>")
-    names = entries.write_single_sketches(spark, entries.sketch(suppliers(spark, sf_dir, 12), 12), bins, work(spark, "hll"))
-    found = spark.read.format("binaryFile").load(names).where("length > 0")
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    sketched, folder = entries.sketch(el, 12), work(spark, "hll")
+    entries.write_single_sketches(sketched, bins, folder)
+    found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.hll_sketch_estimate("content").alias("estimate"), "content")
+    own = sketched.join(exact_counts(el).withColumnRenamed("kmer_count", "n"), "ub_id")
+    name = F.concat(F.col("ub_id").cast("string"), F.when(F.col("ub_id") % 3 == 0, "_a.hll").otherwise(".hll"))
+    both = found.join(own.withColumn("file", name), "file")
+    return _near(both, "file").join(both.select("file", (F.col("content") == F.col("sketch")).alias("same")), "file")
 
 
 @query(f"SELECT f || chr(9) || n || chr(9) || f AS line FROM (SELECT CASE WHEN ub_id % 3 = 0 THEN 'bins/' || ub_id || '_a.fa;bins/' || ub_id || '_b.fa' ELSE 'bins/' || ub_id || '.fa' END AS f, count(*) AS n FROM ({BIN}) GROUP BY ub_id)")
@@ -175,39 +185,46 @@ def pair_union_bounds(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ layout files
-def _layout_file(spark: SparkSession) -> str:
+def _layout_file(spark: SparkSession, sf_dir: str) -> str:
+    """A layout of the suppliers: a merged bin for each remainder by four, one bin each below."""
+    keys = [r[0] for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").orderBy("s_suppkey").collect()]  # a layout file is one text
+    files = [[f"bins/{k}_a.fa", f"bins/{k}_b.fa"] if k % 3 == 0 else [f"bins/{k}.fa"] for k in keys]
+    lay = Layout([(i, (i % 4,), i // 4, 1 + i % 2) for i in range(len(keys))], {(): 0, **{(t,): 0 for t in range(min(4, len(keys)))}})
     path = work(spark, "x") + ".layout"
-    src.write_text(spark, path, layout_text(FILES, CONFIG, LAYOUT, "tool"))
+    src.write_text(spark, path, layout_text(files, replace(CONFIG, index=replace(CONFIG.index, number_of_user_bins=len(keys))), lay, "tool"))
     return path
 
 
-@query("SELECT i AS ub_id, CASE WHEN i % 3 = 0 THEN 'bins/' || i || '_a.fa|bins/' || i || '_b.fa' ELSE 'bins/' || i || '.fa' END AS files FROM (SELECT CAST(unnest(range(0, 12)) AS BIGINT) AS i)")
+NUMBERED = "SELECT s_suppkey AS k, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier"
+
+
+@query(f"SELECT i AS ub_id, CASE WHEN k % 3 = 0 THEN 'bins/' || k || '_a.fa|bins/' || k || '_b.fa' ELSE 'bins/' || k || '.fa' END AS files FROM ({NUMBERED})")
 def layout_file_user_bins(spark, sf_dir):
-    files, _, _ = read_layout(spark, _layout_file(spark))
+    files, _, _ = read_layout(spark, _layout_file(spark, sf_dir))
     return spark.createDataFrame([(i, "|".join(f)) for i, f in enumerate(files)], "ub_id long, files string")
 
 
 SETTINGS = {"data_file": "bins.tsv", "debug": "False", "sketch_directory": "", "k": "15", "window_size": "21", "disable_sketch_output": "True", "precomputed_files": "False", "output_filename": "x.layout", "determine_best_tmax": "True",
-            "force_all_binnings": "False", "output_verbose_statistics": "False", "number_of_user_bins": "12", "number_of_hash_functions": "2", "maximum_fpr": "0.05", "relaxed_fpr": "0.3", "threads": "1", "sketch_bits": "12", "tmax": "64",
+            "force_all_binnings": "False", "output_verbose_statistics": "False", "number_of_hash_functions": "2", "maximum_fpr": "0.05", "relaxed_fpr": "0.3", "threads": "1", "sketch_bits": "12", "tmax": "64",
             "empty_bin_fraction": "0.0", "track_occupancy": "False", "alpha": "1.5", "max_rearrangement_ratio": "0.5", "disable_estimate_union": "True", "disable_rearrangement": "False"}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in SETTINGS.items()) + ") t(name, value)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in SETTINGS.items()) + ") t(name, value) UNION ALL SELECT 'number_of_user_bins', CAST(count(*) AS VARCHAR) FROM supplier")
 def layout_file_settings(spark, sf_dir):
-    _, config, _ = read_layout(spark, _layout_file(spark))
+    _, config, _ = read_layout(spark, _layout_file(spark, sf_dir))
     values = {k: v for k, v in asdict(config).items() if k != "index"} | asdict(config.index)
     return spark.createDataFrame([(k, str(v)) for k, v in values.items()], "name string, value string")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), CAST({u} AS BIGINT), '{p}', CAST({t} AS BIGINT), CAST({n} AS BIGINT))" for i, u, p, t, n in ROWS) + ") t(ord, ub_id, path, tb, span)")
+@query(f"SELECT i AS ord, i AS ub_id, (i % 4) || ';' AS path, i // 4 AS tb, 1 + i % 2 AS span FROM ({NUMBERED})")
 def layout_file_bins(spark, sf_dir):
-    _, _, lay = read_layout(spark, _layout_file(spark))
+    _, _, lay = read_layout(spark, _layout_file(spark, sf_dir))
     return lay.frames(spark)[0].select("ord", "ub_id", path_text("prev_tbs"), F.col("storage_tb").alias("tb"), F.col("num_tbs").alias("span"))
 
 
-@query(f"SELECT path, CAST(max_tb AS BIGINT) AS max_tb FROM {MAX}")
+@query(f"SELECT '' AS path, CAST(0 AS BIGINT) AS max_tb UNION ALL SELECT DISTINCT (i % 4) || ';', CAST(0 AS BIGINT) FROM ({NUMBERED})")
 def layout_file_fullest_bins(spark, sf_dir):
-    _, _, lay = read_layout(spark, _layout_file(spark))
+    _, _, lay = read_layout(spark, _layout_file(spark, sf_dir))
     return lay.frames(spark)[1].select(path_text("ibf_path"), "max_tb")
 
 
@@ -293,12 +310,8 @@ def layout_dp_unions_kept(spark, sf_dir):
 def cli_layout(spark, sf_dir):
     """The command line's layout of the suppliers, from files of hashes: each user bin in it once,
     with its exact count."""
-    sets = suppliers(spark, sf_dir).groupBy("ub_id").agg(F.array_sort(F.collect_set("h")).alias("hs")).orderBy("ub_id")
-    folder, names, keys = work(spark, "bins"), [], []
-    for r in sets.toLocalIterator():
-        keys.append(r["ub_id"])
-        names.append(f"{folder}/{r['ub_id']}.minimiser")
-        src.write_bytes(spark, names[-1], np.array(r["hs"], "<i8").tobytes())
+    written = written_sets(suppliers(spark, sf_dir), work(spark, "bins")).orderBy("ub_id").collect()  # names only
+    keys, names = [r["ub_id"] for r in written], [r["files"][0] for r in written]
     listed, out = work(spark, "list") + ".tsv", work(spark, "out") + ".layout"
     src.write_text(spark, listed, "\n".join(names) + "\n")
     if cli.run(["layout", "--input", listed, "--output", out, "--tmax", "64", "--kmer", "15"], spark):

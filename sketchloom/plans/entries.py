@@ -6,15 +6,13 @@ import json
 import time
 from dataclasses import asdict, replace
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sketchloom.config import IndexConfig, RunConfig, reconcile
-from sketchloom.functions import hll, kmers
+from sketchloom.functions import hll, kmers, minhash
 from sketchloom.operators import binning, report, statistics
+from sketchloom.sources import datasource
 from sketchloom.sources import files as src
 from sketchloom.sources.layouts import Layout, layout_text, read_layout
 
@@ -40,27 +38,18 @@ def per_file_elements(spark: SparkSession, bins: DataFrame, config: RunConfig) -
 
 
 def sketch(elements: DataFrame, bits: int) -> DataFrame:
-    """(ub_id, sketch, kmer_count)"""
-    return hll.native(elements, bits).withColumn("kmer_count", hll.estimate("sketch"))
-
-
-REGISTERS = 4096
+    """(ub_id, sketch, kmer_count). Above 21 index bits counts come from the sparse registers, and
+    the stored sketch has Spark's most bits."""
+    own = hll.native(elements, min(bits, hll.MOST_BITS))
+    if bits <= hll.MOST_BITS:
+        return own.withColumn("kmer_count", hll.estimate("sketch"))
+    counts = hll.estimates(hll.sparse(elements, bits), bits=bits)
+    return own.join(counts.select("ub_id", F.round("estimate").cast("long").alias("kmer_count")), "ub_id")
 
 
 def packed_registers(elements: DataFrame) -> DataFrame:
     """(ub_id, regs): 4096 one-byte registers, for union estimates inside the optimiser."""
-    pairs = hll.registers(elements).groupBy("ub_id").agg(F.collect_list(F.struct("reg", "rank")).alias("pairs"))
-
-    def pack(batches):
-        for batch in batches:
-            out = []
-            for pairs in batch.column("pairs"):
-                row = np.zeros(REGISTERS, np.uint8)
-                row[pairs.values.field("reg").to_numpy()] = pairs.values.field("rank").to_numpy()
-                out.append(row.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("ub_id"), pa.array(out, pa.binary())], ["ub_id", "regs"])
-
-    return pairs.mapInArrow(pack, T.StructType([pairs.schema["ub_id"], T.StructField("regs", T.BinaryType())]))
+    return hll.pack(hll.registers(elements), "ub_id")
 
 
 def search(spark: SparkSession, counts: DataFrame, cfg: IndexConfig, verbose: bool = False, force_all: bool = False, regs: DataFrame | None = None, sketches: DataFrame | None = None) -> tuple[Layout, int, str]:
@@ -83,13 +72,14 @@ def search(spark: SparkSession, counts: DataFrame, cfg: IndexConfig, verbose: bo
     return best[2], best[1], text + f"# Best t_max (regarding expected query runtime): {best[1]}\n"
 
 
-def write_sketches(sketched: DataFrame, bins: DataFrame, config: RunConfig, path: str, regs: DataFrame | None = None) -> None:
-    """Sketches with files, the registers for union estimates, and the whole configuration, as
-    Parquet."""
+def write_sketches(sketched: DataFrame, bins: DataFrame, config: RunConfig, path: str, regs: DataFrame | None = None, minhashes: DataFrame | None = None) -> None:
+    """Sketches with files, the registers for union estimates, bottom-k sketches (ub_id, minhashes)
+    and the whole configuration, as Parquet."""
     if not path.endswith((".sketch", ".sketches")):
         raise ValueError('The sketch output file must have the extension ".sketch" or ".sketches".')
     rows = sketched.join(bins, "ub_id")
     rows = rows.join(regs, "ub_id", "left") if regs is not None else rows.withColumn("regs", F.lit(None).cast("binary"))
+    rows = rows.join(minhashes, "ub_id", "left") if minhashes is not None else rows.withColumn("minhashes", F.lit(None).cast("array<long>"))
     rows.withColumn("config", F.lit(json.dumps(asdict(config)))).write.mode("overwrite").parquet(path)
 
 
@@ -98,18 +88,20 @@ def read_registers(spark: SparkSession, path: str) -> DataFrame | None:
     df = spark.read.parquet(path)
     if "regs" not in df.columns or df.where("regs is not null").isEmpty():
         return None
-    return df.select("ub_id", F.coalesce("regs", F.lit(bytes(REGISTERS))).alias("regs"))
+    return df.select("ub_id", F.coalesce("regs", F.lit(bytes(hll.REGISTERS))).alias("regs"))
 
 
-def write_single_sketches(spark: SparkSession, sketched: DataFrame, bins: DataFrame, folder: str) -> list[str]:
-    """One ``<stem of the first file>.hll`` for each user bin; returns the paths."""
-    out = []
-    rows = sketched.join(bins, "ub_id").select("sketch", F.get("files", 0).alias("file"))
-    for r in rows.toLocalIterator():
-        stem = r["file"].rsplit("/", 1)[-1].removesuffix(".gz").rsplit(".", 1)[0]
-        out.append(f"{folder.rstrip('/')}/{stem}.hll")
-        src.write_bytes(spark, out[-1], bytes(r["sketch"]))
-    return sorted(out)
+def read_minhashes(spark: SparkSession, path: str) -> DataFrame:
+    """(ub_id, minhashes) of stored sketches that have them."""
+    return spark.read.parquet(path).where("minhashes is not null").select("ub_id", "minhashes")
+
+
+def write_single_sketches(sketched: DataFrame, bins: DataFrame, folder: str) -> None:
+    """One ``<stem of the first file>.hll`` for each user bin, written by the executors."""
+    name = F.element_at(F.split(F.get("files", 0), "/"), -1)
+    stem = F.regexp_replace(F.regexp_replace(name, r"\.gz$", ""), r"\.[^.]*$", "")
+    rows = sketched.join(bins, "ub_id").select(F.concat(stem, F.lit(".hll")).alias("file"), F.col("sketch").alias("content"))
+    datasource.write_files(rows, folder)
 
 
 def count_lines(counts: DataFrame, bins: DataFrame) -> DataFrame:
@@ -132,7 +124,7 @@ def make_layout(spark: SparkSession, config: RunConfig, options: set[str] = froz
     if "window" not in options:
         config = replace(config, window_size=config.k)
     began = time.time()
-    regs = None
+    regs = own = None
     if sketches_to and not sketches_to.endswith((".sketch", ".sketches")):
         raise ValueError('The sketch output file must have the extension ".sketch" or ".sketches".')
     if config.data_file.endswith((".sketch", ".sketches")):
@@ -169,7 +161,7 @@ def make_layout(spark: SparkSession, config: RunConfig, options: set[str] = froz
     layouting = time.time() - began
     config = replace(config, index=cfg)
     if sketches_to:
-        write_sketches(sketched, bins, config, sketches_to, regs)
+        write_sketches(sketched, bins, config, sketches_to, regs, minhash.bottom(own) if own is not None else None)
     if timing_to:
         spent = binning.seconds(spark)
         src.write_text(spark, timing_to, "sketching_in_seconds\tlayouting_in_seconds\tunion_estimation_in_seconds\trearrangement_in_seconds\n" + "\t".join(f"{x:.2f}" for x in (sketching, layouting, *spent)) + "\t")

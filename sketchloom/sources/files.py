@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sketchloom.sources import datasource
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -118,18 +120,28 @@ def file_sizes(spark: SparkSession, bins: DataFrame) -> DataFrame:
     return _attach(spark, first, found).select("ub_id", "file", "bytes")
 
 
+def _working_folder(spark: SparkSession) -> str:
+    return str(spark._jvm.org.apache.hadoop.fs.Path(".").getFileSystem(spark._jsc.hadoopConfiguration()).getWorkingDirectory())
+
+
 def _attach(spark: SparkSession, wanted: DataFrame, rows: DataFrame) -> DataFrame:
     """Join rows read from ``path`` to the user bins that list the file."""
     tail = lambda c: F.regexp_replace(F.regexp_replace(c, "^[a-z0-9]+:/*", "/"), "^/+", "/")
-    cwd = str(spark._jvm.org.apache.hadoop.fs.Path(".").getFileSystem(spark._jsc.hadoopConfiguration()).getWorkingDirectory())
+    cwd = _working_folder(spark)
     absolute = F.when(F.col("file").rlike("^([a-z0-9]+:)?/"), F.col("file")).otherwise(F.concat(F.lit(cwd + "/"), F.col("file")))
     return rows.withColumn("p", tail(F.col("path"))).join(wanted.withColumn("p", tail(absolute)), "p")
 
 
 def precomputed(spark: SparkSession, bins: DataFrame) -> DataFrame:
-    """(ub_id, h) of files of consecutive little-endian 8-byte values; a short tail is dropped."""
+    """(ub_id, h) of files of consecutive little-endian 8-byte values; a short tail is dropped.
+
+    Files that Arrow can open are read in ranges of bytes, of any size; others whole, a row each."""
     wanted = _files(bins)
     paths = sorted({r[0] for r in wanted.select("file").distinct().toLocalIterator()})
+    if datasource.reachable(paths):
+        cwd = _working_folder(spark)
+        absolute = [p if "/" in p.split(":", 1)[-1][:1] else f"{cwd}/{p}" for p in paths]
+        return _attach(spark, wanted, datasource.read_hashes(spark, absolute)).select("ub_id", "h")
 
     def parse(batches):
         for batch in batches:

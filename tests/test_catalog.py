@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from sketchloom import catalog, catalog_files  # noqa: F401 (registers its queries)
+from sketchloom import catalog, catalog_engine, catalog_files  # noqa: F401 (they register their queries)
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
