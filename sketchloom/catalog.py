@@ -15,6 +15,7 @@ from sketchloom.functions import bloom, hll, kmers
 from sketchloom.operators import binning, report, statistics
 from sketchloom.plans import entries
 from sketchloom.sources.layouts import Layout
+from sketchloom.sources.tables import table
 
 CFG = IndexConfig(tmax=64, disable_estimate_union=True)
 LAYOUT = Layout(
@@ -387,6 +388,6 @@ def layout_dp_unions(spark, sf_dir):
 @query()
 def best_layout(spark, sf_dir):
     """The whole search: one row for each filter of the best layout."""
-    counts = exact_counts(suppliers(spark, sf_dir)).persist()
+    counts = table(exact_counts(suppliers(spark, sf_dir)), "counts")
     lay, best, _ = entries.search(spark, counts, IndexConfig(tmax=256, disable_estimate_union=True).completed(counts.count()))
     return lay.frames(spark)[1].withColumn("t_max", F.lit(best)).select("t_max", path_text("ibf_path"), "max_tb")

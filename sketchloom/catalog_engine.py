@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sketchloom.catalog import BIN, DISTINCT_K, INTERPOLATED, K, POS, REGS, SUP, dna, exact_counts, grid, micro, path_text, query, suppliers
+from sketchloom.catalog import BIN, CORR, DISTINCT_K, INTERPOLATED, K, POS, REGS, SUP, dna, exact_counts, grid, micro, path_text, query, suppliers
 from sketchloom.config import IndexConfig
 from sketchloom.functions import bloom, hll, minhash, udtf
-from sketchloom.operators import joins, statistics
+from sketchloom.operators import binning, joins, statistics
 from sketchloom.plans import entries
 from sketchloom.sources.tables import new_path
 
@@ -143,6 +143,28 @@ def penalised_costs(spark, sf_dir):
     return got.join(pens.withColumnRenamed("child", "ibf_path"), "ibf_path", "left").select(path_text("ibf_path"), F.round("cost", 6).alias("cost"), "own_kmers", F.round("pen", 6).alias("pen"))
 
 
+# ------------------------------------------------------------------ layouts that SQL can follow
+@query(f"""WITH n AS (SELECT ub_id, count(*) AS c FROM ({BIN}) GROUP BY ub_id), w AS (SELECT ub_id, s, c * {CORR.format(s='s')} / s AS w FROM n, (SELECT unnest(range(1, 65)) AS s)),
+need AS (SELECT x, ub_id, min(s) AS s FROM (SELECT DISTINCT w AS x FROM w) JOIN w ON w <= x GROUP BY 1, 2), tot AS (SELECT x, sum(s) AS bins FROM need GROUP BY x HAVING count(*) = (SELECT count(*) FROM n) AND sum(s) <= 64),
+o AS (SELECT ub_id, c, row_number() OVER (ORDER BY c, ub_id DESC) AS i, s + CASE WHEN row_number() OVER (ORDER BY c, ub_id DESC) = 1 THEN 64 - bins ELSE 0 END AS span FROM need JOIN n USING (ub_id) JOIN tot USING (x) WHERE x = (SELECT min(x) FROM tot))
+SELECT ub_id, CAST(coalesce(sum(span) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS tb, CAST(span AS BIGINT) AS span FROM o""")
+def layout_split(spark, sf_dir):
+    """Twelve user bins over 64 technical bins: the least weight that so many bins allow, the fewest
+    bins that keep to it, and the rest to the smallest."""
+    rows = binning.layouts(exact_counts(suppliers(spark, sf_dir, 12)), [64], IndexConfig(tmax=64, disable_estimate_union=True))
+    return rows.select("ub_id", "tb", "span")
+
+
+@query(f"SELECT ub_id AS family, CAST(8 AS BIGINT) AS members, true AS neighbours FROM (SELECT DISTINCT ub_id FROM ({BIN}))")
+def rearranged_copies(spark, sf_dir):
+    """Eight user bins with each of twelve sets, mixed: rearranged, those with one set are neighbours."""
+    copies = suppliers(spark, sf_dir, 12).distinct().withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    el = copies.select((F.col("ub_id") + 12 * F.col("copy")).alias("ub_id"), "h")
+    order = binning.rearrange(exact_counts(el), entries.packed_registers(el), IndexConfig(tmax=64))
+    own = order.groupBy((F.col("ub_id") % 12).alias("family")).agg(F.count("*").alias("members"), F.min("pos").alias("a"), F.max("pos").alias("b"))
+    return own.select("family", "members", (F.col("b") - F.col("a") == F.col("members") - 1).alias("neighbours"))
+
+
 # ------------------------------------------------------------------ sizes and search
 @query(f"SELECT ub_id, n, bytes FROM (SELECT ub_id, count(*) AS n, CAST(ceil(-(2 * count(*)) / ln(1 - exp(ln(0.05) / 2))) AS BIGINT) // 8 AS bytes FROM ({SUP}) GROUP BY ub_id)")
 def bloom_bytes(spark, sf_dir):

@@ -14,7 +14,7 @@ from sketchloom import cli
 from sketchloom.catalog import BIN, CFG, DNA, LAYOUT, REPORT, SUP, TREE, dna, exact_counts, path_text, query, suppliers
 from sketchloom.config import IndexConfig, RunConfig
 from sketchloom.functions import hll
-from sketchloom.operators import binning
+from sketchloom.operators import binning, statistics
 from sketchloom.plans import entries
 from sketchloom.sources import datasource
 from sketchloom.sources import files as src
@@ -142,7 +142,7 @@ def single_sketch_files(spark, sf_dir):
     el = suppliers(spark, sf_dir, 12)
     bins = spark.createDataFrame(list(enumerate(FILES)), "ub_id long, files array<string>")
     sketched, folder = entries.sketch(el, 12), work(spark, "hll")
-    entries.write_single_sketches(sketched, bins, folder)
+    entries.write_single_sketches(spark, sketched, bins, folder)
     found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.hll_sketch_estimate("content").alias("estimate"), "content")
     own = sketched.join(exact_counts(el).withColumnRenamed("kmer_count", "n"), "ub_id")
     name = F.concat(F.col("ub_id").cast("string"), F.when(F.col("ub_id") % 3 == 0, "_a.hll").otherwise(".hll"))
@@ -258,11 +258,11 @@ def cli_sizes_report(spark, sf_dir):
 def _sequences(spark: SparkSession, sf_dir: str) -> str:
     """One FASTA file of one record a document."""
     folder = work(spark, "records")
-    lines = dna(spark, sf_dir).where("length(seq) >= 40").select(F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit("\n"), F.upper("seq")).alias("value"))
+    lines = dna(spark, sf_dir).where("seq is not null").select(F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit("\n"), F.upper("seq")).alias("value"))
     return text_files(lines.coalesce(1), folder, ".fa").first()["files"][0]
 
 
-FORWARD = f"SELECT doc_id, length(s) AS n, count(DISTINCT substr(s, i, 12)) AS exact FROM (SELECT doc_id, s, CAST(unnest(range(1, length(s) - 10)) AS INT) AS i FROM ({DNA}) WHERE length(s) >= 40) GROUP BY doc_id, s"
+FORWARD = f"SELECT doc_id, length(s) AS n, count(DISTINCT substr(s, i, 12)) AS exact FROM (SELECT doc_id, s, CAST(unnest(range(1, length(s) - 10)) AS INT) AS i FROM ({DNA}) WHERE length(s) >= 12) GROUP BY doc_id, s"
 
 
 @query(f"SELECT doc_id, CAST(n AS BIGINT) AS sequence_length, CAST(b AS BIGINT) AS sketch_register_size, exact AS actual_cardinality, printf('%.4f', 1.04 / sqrt(b)) AS expected_relative_error, true AS near FROM ({FORWARD}), (VALUES (1024), (4096)) t(b)")
@@ -278,6 +278,39 @@ def cli_accuracy_table(spark, sf_dir):
     return c.select(n(0).alias("doc_id"), n(1).alias("sequence_length"), n(2).alias("sketch_register_size"), n(4).alias("actual_cardinality"), F.format_string("%.4f", expected).alias("expected_relative_error"), near.alias("near"))
 
 
+def _searched(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Paths of the statistics and the times of a search over the twelve user bins' files."""
+    listed, out, times = work(spark, "list") + ".tsv", work(spark, "out") + ".layout", work(spark, "times") + ".tsv"
+    src.write_text(spark, listed, "\n".join(r["files"][0] for r in hash_files(spark, sf_dir).orderBy("ub_id").collect()) + "\n")  # names only
+    if cli.run(["layout", "--input", listed, "--output", out, "--tmax", "64", "--determine-best-tmax", "--force-all-binnings", "--timing-output", times], spark):
+        raise RuntimeError("the search failed")
+    return out + ".stats", times
+
+
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line", "value"))
+
+
+STATS = [*statistics.parameters(replace(CFG, number_of_user_bins=1)).splitlines(), *statistics.header(False).splitlines(), "64\t1.00\t1.00\t1.00\t1.00", "# Best t_max (regarding expected query runtime): 64"]
+
+
+@query("SELECT line, replace(value, 'user bins = 1', 'user bins = ' || n) AS value FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(STATS)) + f") t(line, value), (SELECT count(DISTINCT ub_id) AS n FROM ({BIN}))")
+def cli_statistics(spark, sf_dir):
+    """The statistics file of a search, without its last column (sizes rest on estimates)."""
+    lines = _numbered(spark, _searched(spark, sf_dir)[0])
+    row = F.col("value").rlike("^[0-9]")
+    return lines.select("line", F.when(row, F.regexp_replace("value", "\t[^\t]*$", "")).otherwise(F.col("value")).alias("value"))
+
+
+@query(f"SELECT 'sketching_in_seconds' || chr(9) || 'layouting_in_seconds' || chr(9) || 'union_estimation_in_seconds' || chr(9) || 'rearrangement_in_seconds' AS head, 4 AS times, true AS well_formed, count(DISTINCT ub_id) AS user_bins FROM ({BIN})")
+def cli_timing(spark, sf_dir):
+    """The times of the same search: a head, four numbers with two decimals, and a last tab."""
+    lines = _numbered(spark, _searched(spark, sf_dir)[1]).groupBy().agg(F.max_by("value", -F.col("line")).alias("head"), F.max_by("value", "line").alias("values"), F.count("*").alias("n"))
+    bins = hash_files(spark, sf_dir).agg(F.count("*").alias("user_bins"))
+    good = (F.col("n") == 2) & F.col("values").rlike(r"^(\d+\.\d\d\t){4}$")
+    return lines.crossJoin(bins).select("head", (F.size(F.split("values", "\t")) - 1).alias("times"), good.alias("well_formed"), "user_bins")
+
+
 # ------------------------------------------------------------------ what every layout keeps to
 def _kept(rows: DataFrame) -> DataFrame:
     """For each run: user bins placed, distinct ones, their elements, bins of the root, and whether

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from sketchloom.config import IndexConfig, RunConfig
 from sketchloom.plans import entries
-from sketchloom.sources.files import write_text
+from sketchloom.sources.files import write_lines, write_text
 
 
 def parser() -> argparse.ArgumentParser:
@@ -74,9 +74,8 @@ def run(args: list[str], spark: SparkSession | None = None) -> int:
             text = entries.general_report(spark, a.input, a.output_shared_kmers) if a.report == "general" else entries.sizes_report(spark, a.input)
             write_text(spark, a.output, text)
         else:
-            rows = entries.sketch_report(spark, a.input, a.bits, a.kmer).orderBy("sequence_id", "sketch_register_size").collect()
             names = ("sequence_id", "sequence_length", "sketch_register_size", "estimated_cardinality", "actual_cardinality", "expected_relative_error", "actual_relative_error")
-            write_text(spark, a.output, "\n".join([f"# input file: {a.input}", f"# k: {a.kmer}", "\t".join(names), *("\t".join(f"{r[n]:g}" if isinstance(r[n], float) else str(r[n]) for n in names) for r in rows)]) + "\n")
+            write_lines(entries.sketch_lines(entries.sketch_report(spark, a.input, a.bits, a.kmer), [f"# input file: {a.input}", f"# k: {a.kmer}", "\t".join(names)], names), a.output)
         return 0
     except Exception as e:  # whatever went wrong is one line for the user
         print(f"[ERROR] {e}", file=sys.stderr)

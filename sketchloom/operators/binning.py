@@ -393,9 +393,12 @@ FILTER = ["run", "ibf_path"]
 _ROW = "run long, ibf_path array<long>, ub_id long, kmer_count long, tmax long"
 
 
-def _large(work: DataFrame, regs: DataFrame, cfg: IndexConfig, spent, moves) -> DataFrame:
-    """Layout rows of filters with many user bins and union estimates: registers only meet within
-    an interval, and within a block of positions and the runs that reach into it."""
+PLACED = _ROW + ", pos long, first long, most double, room double, blocks array<long>"
+
+
+def _rearranged(work: DataFrame, regs: DataFrame, cfg: IndexConfig, moves) -> DataFrame:
+    """Rows of filters with many user bins in their final order (``pos``), and what the band needs:
+    how far back runs reach, the weights' caps, and the blocks that want a position's registers."""
 
     def number(pdf):
         pdf = _descending(pdf)[0]
@@ -432,6 +435,23 @@ def _large(work: DataFrame, regs: DataFrame, cfg: IndexConfig, spent, moves) ->
         last = np.searchsorted(low, np.arange(n), side="right") - 1
         return pdf[["run", "ibf_path", "ub_id", "kmer_count", "tmax"]].assign(pos=np.arange(n), first=first, most=room / usable / _relaxed(cfg), room=room, blocks=[list(range(p // BLOCK, max(b, p // BLOCK) + 1)) for p, b in enumerate(last.tolist())])
 
+    numbered = work.groupBy(*FILTER).applyInPandas(number, _ROW + ", part long, pos long")
+    if not cfg.disable_rearrangement:
+        with_regs = numbered.join(regs, "ub_id").select(*numbered.columns, "regs")
+        numbered = with_regs.groupBy(*FILTER, "part").applyInPandas(order, _ROW + ", part long, pos long, regs binary, inner long")
+    return numbered.groupBy(*FILTER).applyInPandas(place, PLACED)
+
+
+def rearrange(counts: DataFrame, regs: DataFrame, cfg: IndexConfig) -> DataFrame:
+    """(ub_id, pos): all user bins in descending size, similar ones next to each other."""
+    work = counts.select(F.lit(cfg.tmax).cast("long").alias("run"), F.array().cast("array<long>").alias("ibf_path"), "ub_id", F.col("kmer_count").cast("long").alias("kmer_count"), F.lit(cfg.tmax).cast("long").alias("tmax"))
+    return _rearranged(work, regs, cfg, _clock(counts.sparkSession, "rearrangement")).select("ub_id", "pos")
+
+
+def _large(work: DataFrame, regs: DataFrame, cfg: IndexConfig, spent, moves) -> DataFrame:
+    """Layout rows of filters with many user bins and union estimates: registers only meet within
+    an interval, and within a block of positions and the runs that reach into it."""
+
     def bands(pdf):
         began = time.perf_counter()
         pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
@@ -452,11 +472,7 @@ def _large(work: DataFrame, regs: DataFrame, cfg: IndexConfig, spent, moves) ->
         rows, t, usable = _rows_of(pdf["kmer_count"].to_numpy(np.float64), int(pdf["tmax"].iloc[0]), len(pdf["ibf_path"].iloc[0]), cfg, unions, float(pdf["room"].iloc[0]))
         return _placed(pdf, t, usable, rows, cfg, unions)
 
-    numbered = work.groupBy(*FILTER).applyInPandas(number, _ROW + ", part long, pos long")
-    if not cfg.disable_rearrangement:
-        with_regs = numbered.join(regs, "ub_id").select(*numbered.columns, "regs")
-        numbered = with_regs.groupBy(*FILTER, "part").applyInPandas(order, _ROW + ", part long, pos long, regs binary, inner long")
-    placed = table(numbered.groupBy(*FILTER).applyInPandas(place, _ROW + ", pos long, first long, most double, room double, blocks array<long>"), "placed")
+    placed = table(_rearranged(work, regs, cfg, moves), "placed")
     spread_ = placed.join(regs, "ub_id").select("run", "ibf_path", "pos", "first", "most", "regs", F.explode("blocks").alias("block"))
     band = spread_.groupBy(*FILTER, "block").applyInPandas(bands, "run long, ibf_path array<long>, pos long, sizes array<float>")
     return placed.drop("blocks").join(band, [*FILTER, "pos"]).groupBy(*FILTER).applyInPandas(solve, ROWS)

@@ -6,6 +6,7 @@ import json
 import time
 from dataclasses import asdict, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from sketchloom.operators import binning, report, statistics
 from sketchloom.sources import datasource
 from sketchloom.sources import files as src
 from sketchloom.sources.layouts import Layout, layout_text, read_layout
+from sketchloom.sources.tables import table
 
 
 def elements(spark: SparkSession, bins: DataFrame, config: RunConfig) -> DataFrame:
@@ -53,22 +55,28 @@ def packed_registers(elements: DataFrame) -> DataFrame:
 
 
 def search(spark: SparkSession, counts: DataFrame, cfg: IndexConfig, verbose: bool = False, force_all: bool = False, regs: DataFrame | None = None, sketches: DataFrame | None = None) -> tuple[Layout, int, str]:
-    """(best layout, its number of bins, statistics text). All candidates are laid out in one
-    job a level; the stopping rule is applied to the results in order."""
-    rows = binning.layouts(counts, binning.candidates(cfg.tmax, cfg.number_of_user_bins), cfg, regs).persist()
+    """(best layout, its number of bins, statistics text). Candidates are laid out two at a time
+    (with ``force_all`` all at once), until one is no better than those before."""
     text = statistics.parameters(cfg) + statistics.header(verbose)
     best: tuple[float, int, Layout | None] = (float("inf"), 0, None)
     first = None
-    for t in binning.candidates(cfg.tmax, cfg.number_of_user_bins):  # at most 12
-        lay = binning.to_layout(rows, t)
-        found = statistics.Summary(lay.frames(spark)[0], counts, replace(cfg, tmax=t), sketches)
-        first = first or found.bytes
-        text += found.line(first, verbose) + "\n"
-        if found.query_cost < best[0]:
-            best = (found.query_cost, t, lay)
-        elif not force_all:
+    tries = binning.candidates(cfg.tmax, cfg.number_of_user_bins)  # at most 12
+    step = len(tries) if force_all else 2
+    for at in range(0, len(tries), step):
+        rows = binning.layouts(counts, tries[at : at + step], cfg, regs)
+        worse = False
+        for t in tries[at : at + step]:
+            lay = binning.to_layout(rows, t)
+            found = statistics.Summary(lay.frames(spark)[0], counts, replace(cfg, tmax=t), sketches)
+            first = first or found.bytes
+            text += found.line(first, verbose) + "\n"
+            worse = found.query_cost >= best[0]
+            if not worse:
+                best = (found.query_cost, t, lay)
+            elif not force_all:
+                break
+        if worse and not force_all:
             break
-    rows.unpersist()
     return best[2], best[1], text + f"# Best t_max (regarding expected query runtime): {best[1]}\n"
 
 
@@ -96,12 +104,13 @@ def read_minhashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).where("minhashes is not null").select("ub_id", "minhashes")
 
 
-def write_single_sketches(sketched: DataFrame, bins: DataFrame, folder: str) -> None:
-    """One ``<stem of the first file>.hll`` for each user bin, written by the executors."""
+def write_single_sketches(spark: SparkSession, sketched: DataFrame, bins: DataFrame, folder: str) -> list[str]:
+    """One ``<stem of the first file>.hll`` for each user bin, written by the executors; the paths."""
     name = F.element_at(F.split(F.get("files", 0), "/"), -1)
     stem = F.regexp_replace(F.regexp_replace(name, r"\.gz$", ""), r"\.[^.]*$", "")
     rows = sketched.join(bins, "ub_id").select(F.concat(stem, F.lit(".hll")).alias("file"), F.col("sketch").alias("content"))
     datasource.write_files(rows, folder)
+    return sorted(f"{folder.rstrip('/')}/{r['file']}" for r in rows.select("file").toLocalIterator())  # names only
 
 
 def count_lines(counts: DataFrame, bins: DataFrame) -> DataFrame:
@@ -140,12 +149,11 @@ def make_layout(spark: SparkSession, config: RunConfig, options: set[str] = froz
         bins = src.user_bins(spark, config.data_file)
         config = replace(config, precomputed_files=src.check_files(spark, bins))
         own = elements(spark, bins, config)
-        sketched = sketch(own, config.index.sketch_bits).persist()
+        sketched = table(sketch(own, config.index.sketch_bits), "sketches")
         if not config.index.disable_estimate_union:
-            regs = packed_registers(own).persist()
+            regs = table(packed_registers(own), "registers")
     files = [r["files"] for r in bins.orderBy("ub_id").collect()]
-    counts = bins.select("ub_id").join(sketched.select("ub_id", "kmer_count"), "ub_id", "left").fillna(0, ["kmer_count"]).persist()
-    counts.count()
+    counts = table(bins.select("ub_id").join(sketched.select("ub_id", "kmer_count"), "ub_id", "left").fillna(0, ["kmer_count"]), "counts")
     sketching = time.time() - began
     began = time.time()
     cfg = config.index.completed(len(files))
@@ -193,3 +201,19 @@ def sketch_report(spark: SparkSession, path: str, bits: list[int], k: int = 20)
     each = seqs.select(F.struct("id", "sequence_length").alias("record"), "seq")
     own = kmers.elements(each, k, seeded=False, key="record").select("record.*", "h")
     return report.sketch_accuracy(own, bits, ["id", "sequence_length"]).withColumnRenamed("id", "sequence_id")
+
+
+def sketch_lines(rows: DataFrame, head: list[str], names: tuple[str, ...]) -> DataFrame:
+    """(at, value): the accuracy table as text lines behind a head, in order of sequence and size."""
+
+    def text(batches):
+        for batch in batches:
+            cols = [batch.column(n).to_pylist() for n in names]
+            lines = ["\t".join(f"{x:g}" if isinstance(x, float) else str(x) for x in r) for r in zip(*cols)]
+            yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), batch.column("sketch_register_size"), pa.array(lines, pa.string())], ["id", "size", "value"])
+
+    body = rows.mapInArrow(text, "id string, size long, value string")
+    top = rows.sparkSession.createDataFrame(list(enumerate(head)), "n long, value string")
+    at = F.struct(F.lit(1).cast("long").alias("n"), "id", "size").alias("at")
+    first = F.struct((F.col("n") - len(head)).alias("n"), F.lit("").alias("id"), F.lit(0).cast("long").alias("size")).alias("at")
+    return top.select(first, "value").unionByName(body.select(at, "value"))

@@ -4,6 +4,8 @@ All go through Spark's own readers, so any store that Spark can open will do."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,20 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     write_bytes(spark, path, text.encode())
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Rows (at, value) as one text file in the order of ``at``: sorted by all tasks, written by one
+    as a stream, and moved to its name when the job has succeeded."""
+    spark = lines.sparkSession
+    held = f"{path}-{uuid.uuid4().hex}"
+    lines.orderBy("at").select("value").coalesce(1).write.text(held)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(held).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(x.getPath() for x in fs.listStatus(fs_path(held)) if x.getPath().getName().startswith("part-"))
+    fs.delete(fs_path(path), False)
+    fs.rename(part, fs_path(path))
+    fs.delete(fs_path(held), True)
+
+
 def missing(spark: SparkSession, names: list[str]) -> list[str]:
     """Those of the files that don't exist; every folder is listed once."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
