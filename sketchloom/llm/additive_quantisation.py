@@ -68,9 +68,11 @@ class AdditiveQuantiser:
 
     @classmethod
     def fit(cls, x: np.ndarray, books: int = 16, words: int = 128, rounds: int = 4, seed: int = 7) -> AdditiveQuantiser:
+        if not 1 <= words <= 256:
+            raise ValueError("a codebook has 1 to 256 words: codes are bytes")
         rng = np.random.default_rng(seed)
         x = _single(x)
-        words = max(1, min(words, len(x)))
+        words = min(words, len(x))
         res, found = x.copy(), []
         for _ in range(books):
             cents = res[rng.choice(len(res), words, replace=False)].copy()

@@ -35,6 +35,7 @@ from sketchloom.llm import common as c
 
 WEIGHTS = (5, 2, 1)
 CELL_BITS = 12
+MOST_BROADCAST = 100_000  # rows of a plan that every task may hold; beyond it is joined
 
 
 def targets(sizes: list[int], weights: list[int], share: Fraction = Fraction(3, 2), most: int = 2) -> list[Fraction]:
@@ -175,13 +176,14 @@ def mix(docs: DataFrame, keys: list[str], sources: str = "sources", weights: tup
     given = route([(frozenset(at[s] for s in t["pattern"]), t["size"]) for t in totals], [round(a) for a in aims], repeats)
     plan = spark.createDataFrame([(list(t["pattern"]), g // t["size"] if t["size"] else 0, g % t["size"] if t["size"] else 0) for t, g in zip(totals, given)], "pattern array<string>, times long, rest long")
     aim = spark.createDataFrame([(s, sizes[at[s]], float(aims[at[s]])) for s in order], "own string, source_size long, target double")
+    near = F.broadcast if max(len(totals), len(order)) <= MOST_BROADCAST else lambda df: df
     cell = F.shiftrightunsigned("h", 64 - CELL_BITS).alias("cell")
     cells = sized.groupBy("pattern", cell).agg(F.sum("size").alias("size"))
     before = F.sum("size").over(Window.partitionBy("pattern").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    runs = cells.withColumn("before", F.coalesce(before, F.lit(0).cast("long"))).join(F.broadcast(plan), "pattern")
+    runs = cells.withColumn("before", F.coalesce(before, F.lit(0).cast("long"))).join(near(plan), "pattern")
     cut = c.table(runs.where("before < rest and before + size >= rest").select("pattern", F.col("cell").alias("cut"), (F.col("rest") - F.col("before")).alias("missing")), "cut")
     # One row a pattern; the driver holds them all.
-    joined = sized.withColumn("cell", cell).join(F.broadcast(plan), "pattern").join(F.broadcast(cut), "pattern", "left").join(F.broadcast(aim), "own")
+    joined = sized.withColumn("cell", cell).join(near(plan), "pattern").join(near(cut), "pattern", "left").join(near(aim), "own")
     at_cut = F.col("cell").eqNullSafe(F.col("cut"))
     clear = joined.where(~at_cut).withColumn("extra", F.when(F.col("cell") < F.col("cut"), 1).otherwise(0))
     through = F.sum("size").over(Window.partitionBy("pattern").orderBy("h", "h2", "size").rowsBetween(Window.unboundedPreceding, 0))

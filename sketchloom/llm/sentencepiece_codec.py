@@ -45,7 +45,7 @@ from sketchloom.llm import common as c
 SPACE = "▁"
 BASE = c.BASES[1]
 INF = np.int64(1 << 40)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 LONG = 256  # characters
 MEMO = 1_000_000
 PROBES = 1 << 16  # positions of a long part that are probed at once

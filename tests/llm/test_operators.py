@@ -736,6 +736,21 @@ def test_few_vectors(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(0, 1, 5), (0, 2, 7)]
 
 
+def test_codebooks_fit_a_byte():
+    x = np.random.default_rng(1).normal(size=(400, 4))
+    with pytest.raises(ValueError):
+        aq.AdditiveQuantiser.fit(x, 2, 257)
+    assert aq.AdditiveQuantiser.fit(x, 2, 256).encode(x)[0].max() > 200
+
+
+def test_mixing_with_many_patterns(spark, monkeypatch):
+    """Plans too large to broadcast are joined, with the same result."""
+    docs = spark.createDataFrame([(i, "w " * (i % 9), [f"s{i % 5}", f"t{i % 7}"]) for i in range(200)], "doc_id long, text string, sources array<string>")
+    want = sorted(mixing.mix(docs, ["doc_id"]).collect())
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 3)
+    assert sorted(mixing.mix(docs, ["doc_id"]).collect()) == want
+
+
 # ------------------------------------------------------------------ odd columns
 def test_filters_keep_any_columns(spark):
     """Dotted names, and lengths that are ints."""
