@@ -14,27 +14,32 @@ from sketchloom.llm import common, lsh_forest, mixing, sentencepiece_codec, subs
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
+    common.bound_batches(spark)
     model = toxic_passages.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxic_passages.drop_toxic(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the least id."""
+    common.bound_batches(spark)
     return lsh_forest.drop_near_duplicates(docs)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows that repeat in the corpus go; every document stays with the rest."""
+    common.bound_batches(spark)
     return substring_dedup.strip_repeats(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document comes as often as the mix of sources takes it: never, once or twice."""
+    common.bound_batches(spark)
     return mixing.repeat_mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_pieces and ids_crc32 of every document."""
+    common.bound_batches(spark)
     return sentencepiece_codec.encode_documents(docs).select("doc_id", "ids", "n_pieces", "ids_crc32")
 
 

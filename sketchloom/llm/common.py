@@ -62,6 +62,15 @@ def partitions(spark: SparkSession) -> int:
 
 
 # ------------------------------------------------------------------ memory of Python workers
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold about 4 MB, not 64: both sides of a worker's pipe keep less
+    outside the heap. Results are the same."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 _kept: dict[str, Callable[[], None]] = {}
 try:
     _trim = ctypes.CDLL(None).malloc_trim

@@ -18,7 +18,8 @@ tables, so a lost executor repeats little and row numbers stay what they are. Te
 and joined by blocks. The digest of a conversation of many blocks is taken by a stream over
 its blocks in order (SHA-256 cannot be split), so memory stays at one block.
 
-Defined results: rows of one turn are ordered by role and text; null turns come first; null
+Defined results: rows of one turn are ordered by role and the SHA-256 of their text; null turns
+come first; null
 roles and texts are one space, a null conversation is one of its own; a role whose first
 character is not u, a or s fits nowhere and must change or go; a first s may only be kept;
 equal rows are duplicates; an empty table gives an empty result; other columns are ignored.

@@ -12,11 +12,11 @@
   common prefix that are in another component (the depth that counts so adapts to the region);
   each takes its ``BEST`` most alike ones to the full comparison. Links join components;
   ``ROUNDS`` rounds do, as groups mostly join in the first.
-* What the rounds leave open is settled exactly, without listing the pairs of a region: classes
-  that still have a possible partner in another component are joined by the prefix filter. In
+* What the rounds leave open is settled exactly: classes that still have a possible partner in another component are joined by the prefix filter. In
   ascending order of frequency, two sets that are similar enough share one of their first
   tokens, and how many is known from the sizes. A token's largest component is never joined
-  with itself, and positions rule out most of the other pairs.
+  with itself, and positions rule out most of the other pairs. A family of texts that are all
+  nearly alike enough is compared pair by pair here.
 * A link is confirmed on the full sets, by ``percent * union <= 100 * intersection``.
   Components come from min-label propagation with pointer jumping, by joins over written
   tables; later links are added between components only.
