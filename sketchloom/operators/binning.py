@@ -129,6 +129,120 @@ def reach(counts: np.ndarray, t: int, cfg: IndexConfig, room: float) -> np.ndarr
     return np.minimum(np.maximum(j - t, 0), by_weight)
 
 
+class _Least:
+    """Places of least keys in stretches, the last of equal ones; a table over powers of two."""
+
+    def __init__(self, keys: np.ndarray, longest: int):
+        self.keys, self.at = keys, [np.arange(len(keys), dtype=np.int32)]
+        half = 1
+        while 2 * half <= min(longest, len(keys)):
+            a, b = self.at[-1][:-half], self.at[-1][half:]
+            self.at.append(np.where(keys[a] < keys[b], a, b))
+            half *= 2
+
+    def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Of low .. high; -1 where that is empty."""
+        out = np.full(len(low), -1, np.int64)
+        some = high >= low
+        k = np.frexp((high - low + 1).astype(float))[1] - 1
+        for p in np.unique(k[some]).tolist():
+            own = np.flatnonzero(some & (k == p))
+            a, b = self.at[p][low[own]], self.at[p][high[own] - (1 << p) + 1]
+            out[own] = np.where(self.keys[a] < self.keys[b], a, b)
+        return out
+
+
+MIXED = 1 << 20  # cells that are looked at one by one at a time
+
+
+def _by_columns(counts: np.ndarray, sums: np.ndarray, first: np.ndarray, t: int, cfg: IndexConfig, cap: float):
+    """The table without unions, a number of bins after the other, for all user bins at once.
+
+    A run from a to j weighs the more of what stands before it and its own sum. Apart from what j
+    adds to all, either cost depends on a alone, so the best of a stretch comes from a table of
+    least keys, and work grows with the number of user bins, however long runs may be. Where
+    either weight may be the greater, cells are looked at one by one."""
+    n = len(counts)
+    relaxed, load = _relaxed(cfg), _corrections(t, cfg)
+    j = np.arange(1, n + 1)
+    low_a = np.maximum(first[1:], np.searchsorted(sums, sums[1:] - cap / relaxed - 1e-9) if np.isfinite(cap) else 0)
+    longest = int((j - low_a).max())
+    full, low = np.full((t + 1, n + 1), np.inf), np.zeros((t + 1, n + 1))
+    full[0, 0] = 0
+    from_j, from_i = np.zeros((n + 1, t + 1), np.int32), np.zeros((n + 1, t + 1), np.int16)
+    spans, room, shortest = [], t, 2  # (levels below, shortest run, longest run)
+    while shortest <= longest:
+        spans.append((len(spans) + 1, shortest, room))
+        shortest, room = room + 1, room * max(t, 2)
+    for i in range(1, t + 1):
+        best, k = np.full(n, np.inf), np.zeros(n, np.int16)
+        for over in range(i, 0, -1):
+            score = np.maximum(full[i - over, :n], counts * load[over]) * i + cfg.alpha * low[i - over, :n]
+            less = score < best
+            best[less], k[less] = score[less], i - over
+        weight, below = np.maximum(full[k, j - 1], counts * load[i - k]), low[k, j - 1]
+        place_j, place_i = j - 1, k.astype(np.int64)
+        before, under = full[i - 1], low[i - 1]
+        there = np.isfinite(before)
+        if there.any():
+            reached = sums + before / relaxed  # the run's sum is the less up to this j
+            rising = np.maximum.accumulate(np.where(there, reached, -np.inf))
+            lasting = np.minimum.accumulate(np.where(there, reached, np.inf)[::-1])[::-1]
+            near = 1e-9 * sums[-1]  # what rounding may turn is looked at
+            pure = np.searchsorted(lasting, sums[1:] + near)  # from here what stands before is the more
+            mixed = np.minimum(np.searchsorted(rising, sums[1:] - near), pure)  # up to here the sum
+            run, weight_, below_, from_ = np.full(n, np.inf), np.zeros(n), np.zeros(n), np.full(n, -1)
+
+            def offer(rows, a, level):
+                ell = under[a] + (sums[rows + 1] - sums[a]) * level
+                m = np.maximum(before[a], (sums[rows + 1] - sums[a]) * relaxed)
+                score = m * i + cfg.alpha * ell
+                better = (score < run[rows]) | ((score == run[rows]) & (a > from_[rows]))
+                rows, a = rows[better], a[better]
+                run[rows], weight_[rows], below_[rows], from_[rows] = score[better], m[better], ell[better], a
+
+            for level, short, long in spans:
+                lo, hi = np.maximum(low_a, j - long), j - short
+                inner = under - level * sums
+                for keys, left, right in ((i * before + cfg.alpha * inner, np.maximum(lo, pure), hi), (cfg.alpha * inner - i * relaxed * sums, lo, np.minimum(hi, mixed - 1))):
+                    keys = np.where(there, keys, np.inf)
+                    least = _Least(keys, min(long, longest))(left, right)
+                    rows = np.flatnonzero((least >= 0) & there[least])
+                    offer(rows, least[rows], level)
+                left, right = np.maximum(lo, mixed), np.minimum(hi, pure - 1)
+                size = np.maximum(right - left + 1, 0)
+                rows = np.flatnonzero(size)
+                while len(rows):
+                    part = max(int(np.searchsorted(np.cumsum(size[rows]), MIXED)), 1)
+                    own, rows = rows[:part], rows[part:]
+                    starts = np.cumsum(size[own]) - size[own]
+                    each = np.repeat(own, size[own])
+                    a = right[each] - (np.arange(len(each)) - np.repeat(starts, size[own]))
+                    m = np.maximum(before[a], (sums[each + 1] - sums[a]) * relaxed)
+                    score = np.where(there[a], m * i + cfg.alpha * (under[a] + (sums[each + 1] - sums[a]) * level), np.inf)
+                    least = np.minimum.reduceat(score, starts)
+                    hits = np.flatnonzero((score == np.repeat(least, size[own])) & there[a])
+                    one, at = np.unique(each[hits], return_index=True)  # the first is the shortest run
+                    offer(one, a[hits][at], level)
+            better = run < best
+            weight, below = np.where(better, weight_, weight), np.where(better, below_, below)
+            place_j, place_i = np.where(better, from_, place_j), np.where(better, i - 1, place_i)
+        ok = weight <= cap
+        full[i, 1:], low[i, 1:] = np.where(ok, weight, np.inf), np.where(ok, below, 0)
+        from_j[1:, i], from_i[1:, i] = place_j, place_i
+    return from_j, from_i, bool(np.isfinite(full[t, n]))
+
+
+def _way_back(n: int, t: int, from_j: np.ndarray, from_i: np.ndarray) -> list[tuple[int, int, int, int]]:
+    out, tb, j, i = [], 0, n, t
+    while j:
+        a, k = int(from_j[j, i]), int(from_i[j, i])
+        out.append((a, j - 1, tb, i - k))
+        tb += i - k
+        j, i = a, k
+    return out
+
+
 def optimise(counts: np.ndarray, t: int, cfg: IndexConfig, unions=None, room: float | None = None) -> list[tuple[int, int, int, int]]:
     """Rows (first, last, first bin, span) over ``counts``.
 
@@ -145,6 +259,9 @@ def optimise(counts: np.ndarray, t: int, cfg: IndexConfig, unions=None, room: fl
     first = reach(counts, t, cfg, room)
     sums = np.concatenate([[0.0], np.cumsum(counts)])
     relaxed, load = _relaxed(cfg), _corrections(t, cfg)
+    if unions is None:
+        from_j, from_i, done = _by_columns(counts, sums, first, t, cfg, cap)
+        return _way_back(n, t, from_j, from_i) if done else optimise(counts, t, cfg, None, np.inf)
     full = np.full((n + 1, t + 1), np.inf)
     low = np.zeros((n + 1, t + 1))
     full[0, 0] = 0
@@ -152,21 +269,17 @@ def optimise(counts: np.ndarray, t: int, cfg: IndexConfig, unions=None, room: fl
     from_i = np.zeros((n + 1, t + 1), np.int32)
     bins = np.arange(1, t + 1)
     over = bins[:, None] - np.arange(t)[None, :]  # bins that a user bin is split over
-    split = load[np.maximum(over, 0)]  # infinite where there are none
+    split = load[np.maximum(over, 1)]
     for j in range(1, n + 1):
-        m = np.maximum(full[j - 1, None, :t], counts[j - 1] * split)
+        m = np.maximum(full[j - 1, None, :t], np.where(over > 0, counts[j - 1] * split, np.inf))
         score = m * bins[:, None] + cfg.alpha * low[j - 1, None, :t]
         k = score.argmin(1)
         best, weight, below = score[bins - 1, k], m[bins - 1, k], low[j - 1, k]
         place_j, place_i = np.full(t, j - 1), k
         if j >= 2 and first[j] <= j - 2:
-            if unions is None:
-                a = np.arange(max(first[j], int(np.searchsorted(sums, sums[j] - cap / relaxed - 1e-9))), j - 1)[::-1]
-                size = sums[j] - sums[a]
-            else:
-                size = unions(j, int(first[j]), cap / relaxed)
-                a = np.arange(j - 2, j - 2 - len(size), -1)
-                size = np.minimum(size, sums[j] - sums[a])
+            size = unions(j, int(first[j]), cap / relaxed)
+            a = np.arange(j - 2, j - 2 - len(size), -1)
+            size = np.minimum(size, sums[j] - sums[a])
             inner = (sums[j] - sums[a]) * levels_below(j - a, t)
             if len(a):
                 m = np.maximum(full[a, :t], (size * relaxed)[:, None])
@@ -184,13 +297,7 @@ def optimise(counts: np.ndarray, t: int, cfg: IndexConfig, unions=None, room: fl
         from_j[j, 1:], from_i[j, 1:] = place_j, place_i
     if not np.isfinite(full[n, t]):  # estimates that contradict each other
         return optimise(counts, t, cfg, unions, np.inf)
-    out, tb, j, i = [], 0, n, t
-    while j:
-        a, k = int(from_j[j, i]), int(from_i[j, i])
-        out.append((a, j - 1, tb, i - k))
-        tb += i - k
-        j, i = a, k
-    return out
+    return _way_back(n, t, from_j, from_i)
 
 
 # ------------------------------------------------------------------ registers
@@ -478,6 +585,11 @@ def _large(work: DataFrame, regs: DataFrame, cfg: IndexConfig, spent, moves) ->
     return placed.drop("blocks").join(band, [*FILTER, "pos"]).groupBy(*FILTER).applyInPandas(solve, ROWS)
 
 
+def _dealt(rows: DataFrame, *more: str) -> DataFrame:
+    """Filters dealt over all tasks: their rows are few bytes, which Spark would put into one."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *FILTER, *more)
+
+
 def layouts(counts: DataFrame, candidates: list[int], cfg: IndexConfig, regs: DataFrame | None = None) -> DataFrame:
     """Rows of ``ROWS`` for each candidate number of technical bins (column ``run``).
 
@@ -495,11 +607,11 @@ def layouts(counts: DataFrame, candidates: list[int], cfg: IndexConfig, regs: Da
             large = size.where(f"count > {WHOLE} AND count > tmax").drop("count", "tmax")
             many = large.count()
             small = front.join(large, FILTER, "left_anti") if many else front
-            level = small.join(regs, "ub_id").groupBy(*FILTER).applyInPandas(_kernel(cfg, True, spent, moves), ROWS)
+            level = _dealt(small.join(regs, "ub_id")).groupBy(*FILTER).applyInPandas(_kernel(cfg, True, spent, moves), ROWS)
             if many:
                 level = level.unionByName(_large(front.join(large, FILTER, "left_semi"), regs, cfg, spent, moves))
         else:
-            level = front.groupBy(*FILTER).applyInPandas(_kernel(cfg, False, spent, moves), ROWS)
+            level = _dealt(front).groupBy(*FILTER).applyInPandas(_kernel(cfg, False, spent, moves), ROWS)
         level = table(level, "layout-level")
         done.append(level)
         front = level.where("merged").select("run", F.concat("ibf_path", F.array("tb")).alias("ibf_path"), "ub_id", "kmer_count", F.col("run").alias("tmax"))

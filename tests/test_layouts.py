@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -119,6 +120,28 @@ def test_cost_of_small_tables(t):
         assert binning.slack(counts, t, cfg) >= 0
 
 
+@pytest.mark.parametrize("room", [None, np.inf])
+def test_table_by_columns(room):
+    """The table by numbers of bins places every user bin as the one by user bins does."""
+    rng = np.random.default_rng(11)
+    for k, t in enumerate((1, 2, 3, 5, 16, 33, 64)):
+        for counts in (rng.lognormal(6, 1.5, 150), np.full(150, 37.0), rng.pareto(0.7, 40 + 90 * (k % 2)) * 10, rng.integers(0, 5, 60)):
+            counts = np.sort(counts.astype(int) + (counts.max() > 4))[::-1].astype(float)
+            cfg = IndexConfig(tmax=t, alpha=(0.5, 1.2, 10)[k % 3], disable_estimate_union=True)
+            sums = np.concatenate([[0.0], np.cumsum(counts)])
+            one_by_one = lambda j, first, most: (sums[j] - sums[first : j - 1])[::-1]
+            assert binning.optimise(counts, t, cfg, None, room) == binning.optimise(counts, t, cfg, one_by_one, room)
+
+
+def test_many_user_bins_in_one_filter():
+    """Twenty thousand user bins over 64: the table's work grows with their number, not its square."""
+    counts = np.repeat(np.arange(700.0, 500, -1), 100)
+    began = time.perf_counter()
+    rows = binning.optimise(counts, 64, CFG)
+    assert time.perf_counter() - began < 60 and sum(s for *_, s in rows) == 64
+    assert sorted((a, b) for a, b, *_ in rows)[0][0] == 0 and sum(b - a + 1 for a, b, *_ in rows) == len(counts)
+
+
 @pytest.mark.parametrize("unions", [False, True])
 def test_band_is_enough(unions):
     """Looking only at runs below the cap gives what looking at all gives."""
