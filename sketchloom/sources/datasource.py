@@ -1,6 +1,8 @@
 """Spark data sources of files with 8-byte hashes and of sketches, one file a user bin.
 
-Reading, a file of any size is cut into ranges of bytes, each a partition of Arrow batches.
+Reading, a file of any size is cut into ranges of bytes, and each partition takes some that
+follow each other: many small ranges or files make no more than ``MOST_PARTITIONS`` tasks, unless
+they would hold more than ``RANGE_BYTES``.
 Writing, each task streams its rows into temporary files, which are moved to their names when
 the whole job has succeeded; what a lost task leaves behind goes with the folder of temporary
 files. Files are opened by Arrow's file systems (local or shared folders, and stores it knows)."""
@@ -20,6 +22,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 RANGE_BYTES = 64 << 20
+MOST_PARTITIONS = 256
 BATCH_VALUES = 1 << 17
 TEMPORARY = "_temporary"
 
@@ -51,33 +54,56 @@ class ByteRange(InputPartition):
     last: int
 
 
+@dataclass
+class ByteRanges(InputPartition):
+    ranges: list[ByteRange]
+
+    @property
+    def first(self) -> int:
+        return self.ranges[0].first
+
+    @property
+    def last(self) -> int:
+        return self.ranges[-1].last
+
+
 class HashReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.paths = json.loads(options["paths"])
         self.step = max(int(options.get("range_bytes", RANGE_BYTES)) // 8, 1) * 8
 
     def partitions(self) -> list[InputPartition]:
-        out = []
+        out: list[ByteRange] = []
         for path in self.paths:
             fs, inner = file_system(path)
             size = fs.get_file_info(inner).size or 0
             size -= size % 8  # a short tail is dropped
             out += [ByteRange(path, a, min(a + self.step, size)) for a in range(0, size, self.step)]
-        return out or [ByteRange("", 0, 0)]
-
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if partition.last == partition.first:
-            return
-        fs, inner = file_system(partition.path)
+        share = min(sum(r.last - r.first for r in out) / MOST_PARTITIONS, max(RANGE_BYTES, self.step))
+        packed, held = [], share
+        for r in out:
+            if held >= share:
+                packed.append(ByteRanges([]))
+                held = 0
+            packed[-1].ranges.append(r)
+            held += r.last - r.first
+        return packed or [ByteRanges([])]
+
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
+        for one in partition.ranges:
+            yield from self._range(one)
+
+    def _range(self, one: ByteRange) -> Iterator[pa.RecordBatch]:
+        fs, inner = file_system(one.path)
         with fs.open_input_file(inner) as f:
-            at = partition.first
-            while at < partition.last:
-                raw = f.read_at(min(8 * BATCH_VALUES, partition.last - at), at)
+            at = one.first
+            while at < one.last:
+                raw = f.read_at(min(8 * BATCH_VALUES, one.last - at), at)
                 if len(raw) < 8:
                     break
                 h = np.frombuffer(raw[: len(raw) // 8 * 8], "<i8")
                 at += 8 * len(h)
-                name = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(h), np.int8)), pa.array([partition.path])).cast(pa.string())
+                name = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(h), np.int8)), pa.array([one.path])).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([name, pa.array(h)], ["path", "h"])
 
 

@@ -1,6 +1,7 @@
 """Joins, bottom-k sketches, sparse registers, file sources and table functions against plain versions."""
 
 import hashlib
+import json
 import os
 import random
 
@@ -95,6 +96,17 @@ def test_hash_files_in_ranges(spark, tmp_path):
     assert datasource.read_hashes(spark, []).count() == 0
 
 
+def test_many_small_ranges(tmp_path):
+    """Ranges of 80 bytes of forty files: a bounded number of partitions, every value once, in order."""
+    for i in range(40):
+        (tmp_path / str(i)).write_bytes(np.arange(i * 1000, i * 1000 + 1000, dtype="<i8").tobytes())
+    reader = datasource.HashReader({"paths": json.dumps([str(tmp_path / str(i)) for i in range(40)]), "range_bytes": "80"})
+    parts = reader.partitions()
+    assert 200 <= len(parts) <= datasource.MOST_PARTITIONS
+    assert [h for p in parts for b in reader.read(p) for h in b.column("h").to_pylist()] == list(range(40_000))
+    assert all(r.last - r.first == 80 for p in parts for r in p.ranges)
+
+
 def test_a_file_of_three_gigabytes(spark, tmp_path):
     """Sparse on disk: three ranges of it are read, none of them whole."""
     path = tmp_path / "big"
