@@ -255,11 +255,11 @@ def cli_sizes_report(spark, sf_dir):
     return c.select(*[(F.col("c")[i] if n == "avg_load_factor" else F.col("c")[i].cast("long")).alias(n) for i, n in enumerate(names)])
 
 
-def _sequences(spark: SparkSession, sf_dir: str) -> str:
-    """One FASTA file of one record a document."""
+def _sequences(spark: SparkSession, sf_dir: str) -> list[str]:
+    """FASTA files of one record a document, each written by one of many tasks."""
     folder = work(spark, "records")
     lines = dna(spark, sf_dir).where("seq is not null").select(F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit("\n"), F.upper("seq")).alias("value"))
-    return text_files(lines.coalesce(1), folder, ".fa").first()["files"][0]
+    return [r["files"][0] for r in text_files(lines, folder, ".fa").collect()]  # names only
 
 
 FORWARD = f"SELECT doc_id, length(s) AS n, count(DISTINCT substr(s, i, 12)) AS exact FROM (SELECT doc_id, s, CAST(unnest(range(1, length(s) - 10)) AS INT) AS i FROM ({DNA}) WHERE length(s) >= 12) GROUP BY doc_id, s"
@@ -269,7 +269,7 @@ FORWARD = f"SELECT doc_id, length(s) AS n, count(DISTINCT substr(s, i, 12)) AS e
 def cli_accuracy_table(spark, sf_dir):
     """The table that the command line writes for sketches with 10 and 12 index bits, k = 12."""
     out = work(spark, "accuracy")
-    if cli.run(["accuracy", "-i", _sequences(spark, sf_dir), "-o", out, "-b", "10", "12", "-k", "12"], spark):
+    if cli.run(["accuracy", "-i", *_sequences(spark, sf_dir), "-o", out, "-b", "10", "12", "-k", "12"], spark):
         raise RuntimeError("the table failed")
     c = spark.read.text(out).where(~F.col("value").startswith("#") & ~F.col("value").startswith("sequence_id")).select(F.split("value", "\t").alias("c"))
     n = lambda i: F.col("c")[i].cast("long")

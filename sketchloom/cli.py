@@ -43,7 +43,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--output", required=True)
     b.add_argument("--output-shared-kmers", action="store_true")
     c = sub.add_parser("accuracy", help="sketch estimates against exact counts")
-    c.add_argument("-i", "--input", required=True)
+    c.add_argument("-i", "--input", required=True, nargs="+", help="one or more sequence files")
     c.add_argument("-o", "--output", required=True)
     c.add_argument("-b", "--bits", type=int, nargs="+", default=[12])
     c.add_argument("-k", "--kmer", type=int, default=20)
@@ -75,7 +75,7 @@ def run(args: list[str], spark: SparkSession | None = None) -> int:
             write_text(spark, a.output, text)
         else:
             names = ("sequence_id", "sequence_length", "sketch_register_size", "estimated_cardinality", "actual_cardinality", "expected_relative_error", "actual_relative_error")
-            write_lines(entries.sketch_lines(entries.sketch_report(spark, a.input, a.bits, a.kmer), [f"# input file: {a.input}", f"# k: {a.kmer}", "\t".join(names)], names), a.output)
+            write_lines(entries.sketch_lines(entries.sketch_report(spark, a.input, a.bits, a.kmer), [f"# input file: {' '.join(a.input)}", f"# k: {a.kmer}", "\t".join(names)], names), a.output)
         return 0
     except Exception as e:  # whatever went wrong is one line for the user
         print(f"[ERROR] {e}", file=sys.stderr)

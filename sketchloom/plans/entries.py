@@ -194,9 +194,9 @@ def sizes_report(spark: SparkSession, path: str) -> str:
     return report.sizes_text(report.level_sizes(report.filter_sizes(lay, tops, own, config.index)), len(files))
 
 
-def sketch_report(spark: SparkSession, path: str, bits: list[int], k: int = 20) -> DataFrame:
-    """Accuracy of sketches for each sequence of a file, forward k-mers."""
-    bins = spark.createDataFrame([(0, [path])], "ub_id long, files array<string>")
+def sketch_report(spark: SparkSession, paths: list[str], bits: list[int], k: int = 20) -> DataFrame:
+    """Accuracy of sketches for each sequence of some files, forward k-mers."""
+    bins = spark.createDataFrame([(0, paths)], "ub_id long, files array<string>")
     seqs = src.sequences(spark, bins).select("id", F.length("seq").alias("sequence_length"), "seq")
     each = seqs.select(F.struct("id", "sequence_length").alias("record"), "seq")
     own = kmers.elements(each, k, seeded=False, key="record").select("record.*", "h")

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sketchloom import cli
+from sketchloom import catalog_files, cli
 from sketchloom.config import IndexConfig, RunConfig, next_multiple_of_64, reconcile
 from sketchloom.functions import bloom, hll, kmers
 from sketchloom.operators import binning, report, statistics
@@ -306,6 +306,20 @@ def test_command_line(spark, fixture, capsys):
     assert rows[0] == [f"# input file: {files[2][0]}"] and rows[3][:3] == ["seq2 x", "500", "256"] and int(rows[4][4]) == len(brute_kmers(open(files[2][0]).read().split("\n", 1)[1].replace("\n", ""), 15, 15, False))
 
 
+def test_accuracy_of_several_files(spark, tmp_path):
+    """The records of all files are in one table; documents are written as many files, not one."""
+    texts = {"b": "ACGTTGCAAC" * 9, "a": "TTGACCA" * 11, "c": "GGCATTACGA" * 7}
+    for name, seq in texts.items():
+        (tmp_path / f"{name}.fa").write_text(f">{name}\n{seq}\n")
+    paths = [str(tmp_path / f"{n}.fa") for n in texts]
+    assert cli.run(["accuracy", "-i", *paths, "-o", str(tmp_path / "acc"), "-b", "10", "-k", "12"], spark) == 0
+    lines = (tmp_path / "acc").read_text().splitlines()
+    assert lines[0] == f"# input file: {' '.join(paths)}" and [x.split("\t")[:2] for x in lines[3:]] == [[n, str(len(texts[n]))] for n in sorted(texts)]
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("acgt").alias("text"), F.lit("x").alias("lang"))
+    docs.repartition(4).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    assert len(catalog_files._sequences(spark, str(tmp_path / "in"))) > 1
+
+
 def test_streaming(spark, tmp_path):
     from sketchloom.streaming import sketches
 
