@@ -9,11 +9,21 @@ from sketchloom.config import IndexConfig
 from sketchloom.functions import bloom
 
 
+SHARE = 500_000  # elements of one task
+
+
+def dealt(elements: DataFrame) -> DataFrame:
+    """Elements dealt by their hash, so all that is counted distinct of one meets in one task; the more
+    elements, the more tasks, each with no more memory."""
+    least = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return elements.repartition(max(least, elements.count() // SHARE + 1), "h")
+
+
 def per_bin(layout: DataFrame, elements: DataFrame, cfg: IndexConfig, shared: bool = False, bits: int = 12) -> DataFrame:
     """One row a top-level bin: tb (as laid out), exact, estimated, corrected, shared, ub_count, kind, splits."""
     top = layout.select("ub_id", F.coalesce(F.get("prev_tbs", 0), F.col("storage_tb")).alias("tb"), (F.size("prev_tbs") > 0).alias("merged"), "num_tbs")
     shape = top.groupBy("tb").agg(F.count("*").alias("ub_count"), F.max("merged").alias("merged"), F.max("num_tbs").alias("span"))
-    own = elements.join(top.select("ub_id", "tb", "merged"), "ub_id")
+    own = dealt(elements).join(F.broadcast(top.select("ub_id", "tb", "merged")), "ub_id")
     # Distinct per (bin, hash) first: the number of user bins that hold a hash gives the intersection.
     if shared:
         each = own.groupBy("tb", "merged", "h").agg(F.count_distinct("ub_id").alias("in_ubs"))
@@ -55,7 +65,7 @@ def filter_sizes(layout: DataFrame, max_bins: DataFrame, elements: DataFrame, cf
     place = up.select("ub_id", F.slice("prev_tbs", F.lit(1), F.col("d")).alias("ibf_path"), (F.col("d") < F.size("prev_tbs")).alias("merged"),
                       F.when(F.col("d") < F.size("prev_tbs"), F.get("prev_tbs", F.col("d"))).otherwise(F.col("storage_tb")).alias("tb"), F.when(F.col("d") < F.size("prev_tbs"), 1).otherwise(F.col("num_tbs")).cast("long").alias("span"))
     bins = place.select("ibf_path", "tb", "merged", "span").distinct()
-    n = elements.join(place.select("ub_id", "ibf_path", "tb"), "ub_id").select("ibf_path", "tb", "h").distinct().groupBy("ibf_path", "tb").agg(F.count("*").alias("n"))
+    n = dealt(elements).join(F.broadcast(place.select("ub_id", "ibf_path", "tb")), "ub_id").select("ibf_path", "tb", "h").distinct().groupBy("ibf_path", "tb").agg(F.count("*").alias("n"))
     sized = bins.join(n, ["ibf_path", "tb"], "left").fillna(0, ["n"])
     tops = sized.join(max_bins.withColumnRenamed("max_tb", "tb"), ["ibf_path", "tb"]).select("ibf_path", F.col("tb").alias("max_tb"), F.col("n").alias("m"), F.col("merged").alias("max_merged"), F.col("span").alias("max_span"))
     rows = sized.join(tops, "ibf_path")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sketchloom import catalog_engine
 from sketchloom.config import IndexConfig
 from sketchloom.functions import hll, minhash, udtf
-from sketchloom.operators import joins, statistics
+from sketchloom.operators import joins, report, statistics
 from sketchloom.plans import entries
 from sketchloom.sources import datasource
 
@@ -87,6 +87,14 @@ def test_copies_are_sketched_once(spark, monkeypatch):
     assert seen == [12] and sorted(rows) == [(i, 8, True) for i in range(12)]
 
 
+def test_reports_deal_elements(spark, monkeypatch):
+    """More elements make more tasks, not larger ones, and no hash is in two of them."""
+    monkeypatch.setattr(report, "SHARE", 100)
+    el = spark.range(3000).select((F.col("id") % 3).alias("ub_id"), (F.col("id") % 500).alias("h"))
+    rows = report.dealt(el).select("h", F.spark_partition_id().alias("p")).groupBy("h").agg(F.count_distinct("p").alias("n"), F.max("p").alias("p")).collect()
+    assert report.dealt(el).rdd.getNumPartitions() == 31 and {r.n for r in rows} == {1} and len({r.p for r in rows}) > 20
+
+
 # ------------------------------------------------------------------ files
 def test_hash_files_in_ranges(spark, tmp_path):
     """A file of any size is read by many tasks, each its own bytes."""
