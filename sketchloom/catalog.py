@@ -381,7 +381,7 @@ def layout_dp_unions(spark, sf_dir):
     """The same with union estimates and rearrangement."""
     el = suppliers(spark, sf_dir)
     cfg = IndexConfig(tmax=64)
-    rows = binning.layouts(exact_counts(el), [64], cfg, entries.packed_registers(el))
+    rows = binning.layouts(exact_counts(el), [64], cfg, table(entries.packed_registers(el), "registers"))
     return rows.select("run", path_text("ibf_path"), "ub_id", "tb", "span", "merged", "max_tb")
 
 

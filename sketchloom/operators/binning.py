@@ -13,8 +13,9 @@ not with its square.
 The tree is built level by level, all filters of a level (and all candidates of a search) in
 one job. Small filters are one task each. In a large one with union estimates, tasks of
 ``INTERVAL`` user bins put similar ones next to each other, tasks of ``BLOCK`` positions
-estimate the unions of the band, and one task fills the table from those numbers; registers of
-a whole filter are never in one place."""
+estimate the unions of the band, and one task fills the table from those numbers. Where nothing
+bounds the runs there is no band: one task fills the table as registers pass by. Registers of a
+whole filter are never held in one place."""
 
 from __future__ import annotations
 
@@ -153,6 +154,7 @@ class _Least:
 
 
 MIXED = 1 << 20  # cells that are looked at one by one at a time
+PAIRS = 256  # blocks of beginnings, each for a number of bins, that are looked at at a time
 
 
 def _by_columns(counts: np.ndarray, sums: np.ndarray, first: np.ndarray, t: int, cfg: IndexConfig, cap: float):
@@ -307,7 +309,9 @@ _SHARE = np.exp2(-np.arange(256.0))
 def cardinalities(regs: np.ndarray) -> np.ndarray:
     """HyperLogLog estimates of rows of registers."""
     m = regs.shape[-1]
-    return _estimate(m, _SHARE[regs].sum(-1), (regs == 0).sum(-1))
+    held = 127 - regs.astype(np.int32)
+    held <<= 23  # as the exponent of a float: a power of two, for ranks below 127
+    return _estimate(m, held.view(np.float32).sum(-1, dtype=np.float64), m - np.count_nonzero(regs, axis=-1))
 
 
 def _estimate(m: int, share: np.ndarray, zero: np.ndarray) -> np.ndarray:
@@ -315,6 +319,149 @@ def _estimate(m: int, share: np.ndarray, zero: np.ndarray) -> np.ndarray:
     return np.where((raw <= 2.5 * m) & (zero > 0), m * np.log(m / np.maximum(zero, 1)), raw)
 
 
+def _fewest(m: int, share: np.ndarray, zero: np.ndarray) -> np.ndarray:
+    """What the estimate of a union is at least, if a part of it has these registers: estimates
+    may fall where the one formula takes over from the other."""
+    raw = 0.7213 / (1 + 1.079 / m) * m * m / share
+    return np.where((raw <= 2.5 * m) & (zero > 0), np.minimum(raw, m * np.log(m / np.maximum(zero, 1))), raw)
+
+
+class Table:
+    """The table of ``optimise`` with unions where nothing bounds a run, filled as user bins come in
+    with their registers.
+
+    Of each register the last position with each rank is held, so the unions of all runs that end
+    here are sums of what each position adds to a longer run. The best run for a number of bins
+    is looked for in blocks of beginnings: a block's least weights and least costs below bound it,
+    and only blocks that may hold the best are looked at one by one. Counts and the parts of
+    those sums are whole or powers of two, so bounds are exact, and ties fall as in ``optimise``."""
+
+    def __init__(self, n: int, t: int, m: int, cfg: IndexConfig):
+        self.t, self.m, self.cfg, self.j = t, m, cfg, 0
+        self.block = 1 << max(round(np.log2(max(n, 2)) / 2) - 1, 2)
+        number = n // self.block + 1
+        places = number * self.block
+        self.sums, self.level = np.zeros(places), levels_below(np.arange(n + 1), t)
+        self.full, self.low = np.full((t + 1, number, self.block), np.inf), np.zeros((t + 1, number, self.block))
+        self.full[0, 0, 0] = 0
+        self.least_full = np.full((number, t), np.inf)
+        self.least_low = np.zeros((int(self.level[-1]) + 1, number, t))
+        self.last = np.full((m, len(_SHARE)), -1, np.int32)
+        self.fall, self.used = np.zeros((number, self.block)), np.zeros((number, self.block))
+        self.from_j, self.from_i = np.zeros((n + 1, t + 1), np.int32), np.zeros((n + 1, t + 1), np.int16)
+        self.size = np.zeros((n + 1, t + 1))
+        self.before = np.zeros(t, np.int64)  # where the last user bin's best runs began
+        self.relaxed, self.load = _relaxed(cfg), _corrections(t, cfg)
+        self.bins = np.arange(1, t + 1)
+        self.over = self.bins[:, None] - np.arange(t)[None, :]
+        self.split = self.load[np.maximum(self.over, 1)]
+
+    def _take(self, at: int, regs: np.ndarray) -> None:
+        some = np.flatnonzero(regs)
+        ranks = regs[some].astype(np.int64)
+        reg = np.repeat(some, ranks)
+        rank = np.arange(len(reg)) - np.repeat(np.cumsum(ranks) - ranks, ranks) + 1
+        old = self.last[reg, rank]
+        self.last[reg, rank] = at
+        share, held = _SHARE[rank], old >= 0
+        fall, used = self.fall.reshape(-1), self.used.reshape(-1)
+        np.subtract.at(fall, old[held], share[held])
+        np.subtract.at(used, old[held & (rank == 1)], 1)
+        fall[at], used[at] = share.sum(), len(some)
+
+    def add(self, count: float, regs: np.ndarray) -> None:
+        """The next user bin."""
+        self._take(self.j, regs)
+        self.j += 1
+        j, t, bins, alpha = self.j, self.t, self.bins, self.cfg.alpha
+        self.sums[j] = self.sums[j - 1] + count
+        b, r = divmod(j - 1, self.block)
+        m = np.maximum(self.full[None, :t, b, r], np.where(self.over > 0, count * self.split, np.inf))
+        score = m * bins[:, None] + alpha * self.low[None, :t, b, r]
+        k = score.argmin(1)
+        best, weight, below = score[bins - 1, k], m[bins - 1, k], self.low[k, b, r]
+        place_j, place_i, size = np.full(t, j - 1), k, np.zeros(t)
+        if j >= 2:
+            run, a, run_weight, run_below, run_size = self._runs(best)
+            better = run < best
+            weight, below = np.where(better, run_weight, weight), np.where(better, run_below, below)
+            place_j, place_i, size = np.where(better, a, place_j), np.where(better, bins - 1, place_i), np.where(better, run_size, size)
+        b, r = divmod(j, self.block)
+        self.full[1:, b, r], self.low[1:, b, r] = weight, below
+        self.from_j[j, 1:], self.from_i[j, 1:], self.size[j, 1:] = place_j, place_i, size
+        if r == self.block - 1:
+            full, low, own = self.full[:t, b], self.low[:t, b], self.sums[b * self.block : j + 1]
+            self.least_full[b] = full.min(1)
+            for level in range(1, len(self.least_low)):
+                least = np.where(np.isfinite(full), low - level * own, np.inf).min(1)
+                self.least_low[level, b] = np.where(np.isfinite(least), least, 0)
+
+    def _runs(self, best: np.ndarray):
+        """For each number of bins the cheapest run that ends here: cost, beginning, weight, what
+        lies below, size."""
+        j, t, alpha, wide = self.j, self.t, self.cfg.alpha, self.block
+        done = (j - 1) // wide  # blocks all of whose places a run may begin with
+        fall, used = self.fall[: done + 1], self.used[: done + 1]
+        behind = [x.sum(1)[::-1].cumsum()[::-1] for x in (fall, used)]
+        behind = [np.append(x[1:], 0) for x in behind]  # of the blocks behind each
+        got = [np.full(t, np.inf), np.full(t, -1), np.zeros(t), np.zeros(t), np.zeros(t)]
+
+        def look(blocks, cols):
+            there = np.zeros(done + 1, np.int64)
+            there[blocks] = 1
+            own, back = np.flatnonzero(there), (there.cumsum() - 1)[blocks]
+            share, zero = (self.m - (x[own, ::-1].cumsum(1)[:, ::-1] + y[own, None]) for x, y in zip((fall, used), behind))
+            a = own[:, None] * wide + np.arange(wide)
+            whole = self.sums[j] - self.sums[a]
+            size = np.minimum(_estimate(self.m, share, zero), whole)
+            size[a > j - 2] = np.inf
+            m = np.maximum(self.full[cols, blocks], (size * self.relaxed)[back])
+            ell = self.low[cols, blocks] + (whole * self.level[np.maximum(j - a, 0)])[back]
+            score = m * (cols + 1)[:, None] + alpha * ell
+            pick = wide - 1 - score[:, ::-1].argmin(1)
+            row = np.arange(len(cols))
+            found = [score[row, pick], a[back, pick], m[row, pick], ell[row, pick], size[back, pick]]
+            order = np.lexsort((-found[1], found[0], cols))  # short runs before long ones
+            order = order[np.append(True, np.diff(cols[order]) > 0)]
+            found, cols = [x[order] for x in found], cols[order]
+            less = (found[0] < got[0][cols]) | ((found[0] == got[0][cols]) & (found[1] > got[1][cols]))
+            for x, y in zip(got, found):
+                x[cols[less]] = y[less]
+
+        columns = np.arange(t)
+        near = np.minimum(self.before // wide, done)  # they tell at once how cheap a run can be
+        look(np.append(near, np.full(t, done)), np.append(columns, columns))
+        if done:
+            share, zero = (self.m - (x[:done, -1] + y[:done]) for x, y in zip((fall, used), behind))
+            ends = np.arange(1, done + 1) * wide - 1
+            least = np.minimum(_fewest(self.m, share, zero), self.sums[j] - self.sums[ends]) * self.relaxed
+            level = self.level[j - ends]
+            bound = np.maximum(self.least_full[:done], least[:, None]) * self.bins + alpha * (self.least_low[level, np.arange(done)] + (level * self.sums[j])[:, None])
+            bound[near[near < done], columns[near < done]] = np.inf
+
+            def open_(blocks, cols, bounds):
+                return (bounds < best[cols]) & ((bounds < got[0][cols]) | ((bounds == got[0][cols]) & (blocks * wide + wide - 1 > got[1][cols])))
+
+            blocks, cols = np.nonzero(bound < np.minimum(best, np.nextafter(got[0], np.inf)))
+            bounds = bound[blocks, cols]
+            while len(blocks):
+                keep = open_(blocks, cols, bounds)
+                blocks, cols, bounds = blocks[keep], cols[keep], bounds[keep]
+                if len(blocks) > PAIRS:
+                    order = np.argsort(bounds - got[0][cols], kind="stable")
+                    blocks, cols, bounds = blocks[order], cols[order], bounds[order]
+                if len(blocks):
+                    look(blocks[:PAIRS], cols[:PAIRS])
+                blocks, cols, bounds = blocks[PAIRS:], cols[PAIRS:], bounds[PAIRS:]
+        self.before = np.maximum(got[1], 0)
+        return got
+
+    def rows(self) -> tuple[list[tuple[int, int, int, int]], dict[int, float]]:
+        """The rows of ``optimise``, and the unions' sizes of their runs, by last position."""
+        out = _way_back(self.j, self.t, self.from_j, self.from_i)
+        return out, {b: float(self.size[b + 1, self.t - tb]) for a, b, tb, _ in out if b > a}
+
+
 def unions_of(regs: np.ndarray, base: int = 0):
     """``unions`` of ``optimise`` from the registers of positions ``base``, ``base`` + 1, ...
 
@@ -500,7 +647,11 @@ FILTER = ["run", "ibf_path"]
 _ROW = "run long, ibf_path array<long>, ub_id long, kmer_count long, tmax long"
 
 
-PLACED = _ROW + ", pos long, first long, most double, room double, blocks array<long>"
+PLACED = _ROW + ", pos long, first long, most double, room double, size long, blocks array<long>"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def _rearranged(work: DataFrame, regs: DataFrame, cfg: IndexConfig, moves) -> DataFrame:
@@ -535,12 +686,15 @@ def _rearranged(work: DataFrame, regs: DataFrame, cfg: IndexConfig, moves) -> Da
         t = int(pdf["tmax"].iloc[0])
         usable = max(t - int(t * cfg.empty_bin_fraction), 1)
         room = slack(counts, usable, cfg) * (1 + 1e-9)
-        first = reach(counts, usable, cfg, room)[1:]  # of the runs that end with a position
         n = len(pdf)
+        own = pdf[["run", "ibf_path", "ub_id", "kmer_count", "tmax"]].assign(pos=np.arange(n), room=room, size=n)
+        if not np.isfinite(room):
+            return own.assign(first=0, most=np.inf, blocks=[[]] * n)[_names(PLACED)]
+        first = reach(counts, usable, cfg, room)[1:]  # of the runs that end with a position
         low = np.minimum.reduceat(first, np.arange(0, n, BLOCK))
         low = np.minimum.accumulate(low[::-1])[::-1]  # of a block and all behind it
         last = np.searchsorted(low, np.arange(n), side="right") - 1
-        return pdf[["run", "ibf_path", "ub_id", "kmer_count", "tmax"]].assign(pos=np.arange(n), first=first, most=room / usable / _relaxed(cfg), room=room, blocks=[list(range(p // BLOCK, max(b, p // BLOCK) + 1)) for p, b in enumerate(last.tolist())])
+        return own.assign(first=first, most=room / usable / _relaxed(cfg), blocks=[list(range(p // BLOCK, max(b, p // BLOCK) + 1)) for p, b in enumerate(last.tolist())])[_names(PLACED)]
 
     numbered = work.groupBy(*FILTER).applyInPandas(number, _ROW + ", part long, pos long")
     if not cfg.disable_rearrangement:
@@ -557,7 +711,36 @@ def rearrange(counts: DataFrame, regs: DataFrame, cfg: IndexConfig) -> DataFrame
 
 def _large(work: DataFrame, regs: DataFrame, cfg: IndexConfig, spent, moves) -> DataFrame:
     """Layout rows of filters with many user bins and union estimates: registers only meet within
-    an interval, and within a block of positions and the runs that reach into it."""
+    an interval, and within a block of positions and the runs that reach into it. Where nothing
+    bounds the runs, one task fills the table as registers pass by, and holds none."""
+
+    def passing(batches):
+        began, held, table_ = 0.0, [], None
+
+        def end():
+            rows, sizes = table_.rows()
+            pdf = pd.concat(held, ignore_index=True)
+            spent.add(began)
+            return _placed(pdf, int(pdf["tmax"].iloc[0]), table_.t, rows, cfg, lambda j, a, _: {j - a - 2: sizes[j - 1]})
+
+        for batch in batches:
+            starts = np.flatnonzero(batch["pos"].to_numpy() == 0).tolist()
+            for a, b in zip([0, *starts], [*starts, len(batch)]):
+                part = batch.iloc[a:b]
+                if not len(part):
+                    continue
+                if part["pos"].iloc[0] == 0:
+                    if table_:
+                        yield end()
+                    t = int(part["tmax"].iloc[0])
+                    began, held, table_ = 0.0, [], Table(int(part["size"].iloc[0]), max(t - int(t * cfg.empty_bin_fraction), 1), len(part["regs"].iloc[0]), cfg)
+                since = time.perf_counter()
+                for count, regs in zip(part["kmer_count"].tolist(), part["regs"]):
+                    table_.add(float(count), np.frombuffer(regs, np.uint8))
+                began += time.perf_counter() - since
+                held.append(part.drop(columns="regs"))
+        if table_:
+            yield end()
 
     def bands(pdf):
         began = time.perf_counter()
@@ -580,9 +763,12 @@ def _large(work: DataFrame, regs: DataFrame, cfg: IndexConfig, spent, moves) ->
         return _placed(pdf, t, usable, rows, cfg, unions)
 
     placed = table(_rearranged(work, regs, cfg, moves), "placed")
+    endless = F.col("room") == float("inf")
+    free = _dealt(placed.where(endless).join(regs, "ub_id").select(*FILTER, "ub_id", "kmer_count", "tmax", "pos", "size", "regs")).sortWithinPartitions(*FILTER, "pos").mapInPandas(passing, ROWS)
+    placed = placed.where(~endless)
     spread_ = placed.join(regs, "ub_id").select("run", "ibf_path", "pos", "first", "most", "regs", F.explode("blocks").alias("block"))
     band = spread_.groupBy(*FILTER, "block").applyInPandas(bands, "run long, ibf_path array<long>, pos long, sizes array<float>")
-    return placed.drop("blocks").join(band, [*FILTER, "pos"]).groupBy(*FILTER).applyInPandas(solve, ROWS)
+    return placed.drop("blocks").join(band, [*FILTER, "pos"]).groupBy(*FILTER).applyInPandas(solve, ROWS).unionByName(free)
 
 
 def _dealt(rows: DataFrame, *more: str) -> DataFrame:

@@ -157,6 +157,36 @@ def test_band_is_enough(unions):
         assert got == binning.optimise(counts, 64, IndexConfig(tmax=64), sizes, np.inf)
 
 
+@pytest.mark.parametrize("t", [2, 5, 33])
+def test_table_as_registers_pass(t):
+    """User bins placed one by one, in blocks of beginnings, as looking at every run does."""
+    rng = np.random.default_rng(t)
+    for k, pool in enumerate((1 << 40, 3000, 100)):
+        counts = rng.permutation(rng.lognormal(4, 1, 350).astype(int) + 1).astype(float)
+        regs = registers([rng.integers(0, pool, int(n)).tolist() for n in counts], 256)
+        cfg = IndexConfig(tmax=t, alpha=(0, 1.2, 10)[k])
+        sizes = binning.unions_of(regs)
+        want = binning.optimise(counts, t, cfg, sizes, np.inf)
+        tab = binning.Table(len(counts), t, 256, cfg)
+        for n, r in zip(counts, regs):
+            tab.add(n, r)
+        rows, unions = tab.rows()
+        assert rows == want
+        assert unions == {b: min(counts[a : b + 1].sum(), sizes(b + 1, a, np.inf)[b - a - 1]) for a, b, *_ in rows if a < b}
+
+
+def test_filters_without_a_bound(spark, monkeypatch):
+    """More user bins than bins squared: no task estimates unions of blocks, or holds a band of them."""
+    monkeypatch.setattr(binning, "WHOLE", 60)
+    monkeypatch.setattr(binning, "BLOCK", 0)  # blocks would fail
+    n, cfg = 100, IndexConfig(tmax=8, disable_rearrangement=True)
+    el = spark.range(n * 40).select((F.col("id") % n).alias("ub_id"), (F.floor(F.col("id") / n) + (F.col("id") % n) * 15).alias("h"))
+    counts = el.groupBy("ub_id").agg(F.count_distinct("h").alias("kmer_count"))
+    assert binning.slack(np.full(n, 40.0), 8, cfg) == np.inf
+    rows = binning.layouts(counts, [8], cfg, entries.packed_registers(el))
+    assert sorted(r.ub_id for r in rows.where("not merged").collect()) == list(range(n))
+
+
 def test_spread_is_optimal():
     rng = random.Random(3)
     for _ in range(60):
