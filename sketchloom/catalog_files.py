@@ -20,6 +20,7 @@ from sketchloom.sources import datasource
 from sketchloom.sources import files as src
 from sketchloom.sources.layouts import Layout, layout_text, read_layout
 from sketchloom.sources.tables import new_path as work
+from sketchloom.sources.tables import table
 
 FILES = [[f"bins/{i}_a.fa", f"bins/{i}_b.fa"] if i % 3 == 0 else [f"bins/{i}.fa"] for i in range(12)]
 CONFIG = RunConfig(data_file="bins.tsv", k=15, window_size=21, output_filename="x.layout", determine_best_tmax=True, index=replace(CFG, number_of_user_bins=12, alpha=1.5))
@@ -336,7 +337,7 @@ def layout_dp_kept(spark, sf_dir):
 @query(_kept_sql((64,)))
 def layout_dp_unions_kept(spark, sf_dir):
     el = suppliers(spark, sf_dir)
-    return _kept(binning.layouts(exact_counts(el), [64], IndexConfig(tmax=64), entries.packed_registers(el)))
+    return _kept(binning.layouts(exact_counts(el), [64], IndexConfig(tmax=64), table(entries.packed_registers(el), "registers")))
 
 
 @query(f"SELECT ub_id, count(*) AS n FROM ({SUP}) GROUP BY ub_id")
