@@ -45,7 +45,7 @@ def text_files(lines: DataFrame, folder: str, ending: str) -> DataFrame:
 def written_sets(sets: DataFrame, folder: str) -> DataFrame:
     """The distinct elements of each user bin as a file of 8-byte values; (ub_id, files)."""
     name = F.concat(F.col("ub_id").cast("string"), F.lit(".minimiser"))
-    datasource.write_files(sets.select(name.alias("file"), "h").distinct(), folder)
+    datasource.write_files(sets.select(name.alias("file"), "h"), folder, distinct=True)
     return sets.select("ub_id").distinct().select("ub_id", F.array(F.concat(F.lit(folder + "/"), name)).alias("files"))
 
 

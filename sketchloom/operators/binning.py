@@ -497,16 +497,50 @@ def distances(regs: np.ndarray, counts: np.ndarray, one: np.ndarray, count: floa
     return np.clip(2 - (counts + count) / np.maximum(union, 1), 0, 1)
 
 
+class _Alike:
+    """Distances of sets and of their unions, as ``distances`` tells them, from bits that say which
+    registers reach a rank: a union's bits are both sets', and what two sets share is counted."""
+
+    def __init__(self, regs: np.ndarray):
+        n, self.m = regs.shape
+        self.ranks = max(int(regs.max(initial=0)), 1)
+        bits = np.zeros((2 * n, self.ranks, -(-self.m // 64) * 8), np.uint8)
+        for k in range(self.ranks):
+            one = np.packbits(regs > k, axis=1)
+            bits[:n, k, : one.shape[1]] = one
+        self.bits = bits.view(np.uint64)
+        self.worth = np.exp2(-np.arange(1.0, self.ranks + 1))
+        self.fall, self.used, self.size = np.zeros(2 * n), np.zeros(2 * n, np.int64), np.zeros(2 * n)
+        self._measure(slice(0, n))
+
+    def _counted(self, bits: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(bits).sum(-1, dtype=np.uint32)
+
+    def _measure(self, which: slice) -> None:
+        number = self._counted(self.bits[which])
+        self.fall[which], self.used[which] = number @ self.worth, number[:, 0]
+        self.size[which] = _estimate(self.m, self.m - self.fall[which], self.m - self.used[which])
+
+    def join(self, i: int, k: int, new: int) -> None:
+        np.bitwise_or(self.bits[i], self.bits[k], out=self.bits[new])
+        self._measure(slice(new, new + 1))
+
+    def __call__(self, others, one: int) -> np.ndarray:
+        reached = max(int(np.flatnonzero(self.bits[one].any(1)).max(initial=0)) + 1, 1)
+        shared = self._counted(self.bits[others, :reached] & self.bits[one, :reached])
+        share = self.m - self.fall[others] - self.fall[one] + shared @ self.worth[:reached]
+        union = _estimate(self.m, share, self.m - self.used[others] - self.used[one] + shared[:, 0])
+        return np.clip(2 - (self.size[others] + self.size[one]) / np.maximum(union, 1), 0, 1)
+
+
 def cluster(regs: np.ndarray) -> list[int]:
     """An order in which alike sets are neighbours: the closest two clusters, by the distance of
     their unions, become one until one is left; each time the closer ends meet."""
     n = len(regs)
-    own = cardinalities(regs)
-    between = np.stack([distances(regs, own, regs[i], own[i]) for i in range(n)])
-    held, size = np.zeros((2 * n, regs.shape[1]), np.uint8), np.zeros(2 * n)
-    held[:n], size[:n] = regs, own
+    alike = _Alike(regs)
+    between = np.stack([alike(slice(0, n), i) for i in range(n)])
     order = {i: [i] for i in range(n)}
-    heap = [(float(between[i, k]), i, k) for i in range(n) for k in range(i + 1, n)]
+    heap = [(d, i, k) for i in range(n) for k, d in enumerate(between[i, i + 1 :].tolist(), i + 1)]
     heapq.heapify(heap)
     new = n
     while len(order) > 1:
@@ -516,11 +550,10 @@ def cluster(regs: np.ndarray) -> list[int]:
         a, b = order.pop(i), order.pop(k)
         ways = [(between[x[-1], y[0]], w) for w, (x, y) in enumerate(((a, b), (a, b[::-1]), (a[::-1], b), (a[::-1], b[::-1])))]
         way = min(ways)[1]
-        held[new] = np.maximum(held[i], held[k])
-        size[new] = cardinalities(held[new])
+        alike.join(i, k, new)
         if order:
             others = np.fromiter(order, np.int64)
-            for x, d in zip(others.tolist(), distances(held[others], size[others], held[new], size[new]).tolist()):
+            for x, d in zip(others.tolist(), alike(others, new).tolist()):
                 heapq.heappush(heap, (d, x, new))
         order[new] = (a[::-1] if way > 1 else a) + (b[::-1] if way % 2 else b)
         new += 1

@@ -52,6 +52,7 @@ class ByteRange(InputPartition):
     path: str
     first: int
     last: int
+    number: int = 0
 
 
 @dataclass
@@ -71,14 +72,15 @@ class HashReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.paths = json.loads(options["paths"])
         self.step = max(int(options.get("range_bytes", RANGE_BYTES)) // 8, 1) * 8
+        self.numbered = options.get("numbered") == "true"
 
     def partitions(self) -> list[InputPartition]:
         out: list[ByteRange] = []
-        for path in self.paths:
+        for number, path in enumerate(self.paths):
             fs, inner = file_system(path)
             size = fs.get_file_info(inner).size or 0
             size -= size % 8  # a short tail is dropped
-            out += [ByteRange(path, a, min(a + self.step, size)) for a in range(0, size, self.step)]
+            out += [ByteRange(path, a, min(a + self.step, size), number) for a in range(0, size, self.step)]
         share = min(sum(r.last - r.first for r in out) / MOST_PARTITIONS, max(RANGE_BYTES, self.step))
         packed, held = [], share
         for r in out:
@@ -103,6 +105,9 @@ class HashReader(DataSourceReader):
                     break
                 h = np.frombuffer(raw[: len(raw) // 8 * 8], "<i8")
                 at += 8 * len(h)
+                if self.numbered:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), one.number, np.int32)), pa.array(h)], ["number", "h"])
+                    continue
                 name = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(h), np.int8)), pa.array([one.path])).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([name, pa.array(h)], ["path", "h"])
 
@@ -169,14 +174,14 @@ class FileWriter(DataSourceArrowWriter):
 
 
 class UserBinFiles(DataSource):
-    """Reads (path, h); writes (file, h) as 8-byte values or (file, content) as bytes."""
+    """Reads (path, h), or (number, h) with the path's place in the list; writes (file, h) as 8-byte values or (file, content) as bytes."""
 
     @classmethod
     def name(cls) -> str:
         return "userbinfiles"
 
     def schema(self) -> str:
-        return "path string, h long"
+        return "number int, h long" if self.options.get("numbered") == "true" else "path string, h long"
 
     def reader(self, schema) -> DataSourceReader:
         return HashReader(self.options)
@@ -189,15 +194,18 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(UserBinFiles)
 
 
-def read_hashes(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYTES):
-    """(path, h) of files of little-endian 8-byte values, each read by many tasks."""
+def read_hashes(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYTES, numbered: bool = False):
+    """(path, h) of files of little-endian 8-byte values, each read by many tasks. Where files are
+    many, rows are far smaller as (number, h), with the path's place in ``paths``."""
     register(spark)
-    return spark.read.format("userbinfiles").option("paths", json.dumps(paths)).option("range_bytes", str(range_bytes)).load()
+    return spark.read.format("userbinfiles").option("paths", json.dumps(paths)).option("range_bytes", str(range_bytes)).option("numbered", str(numbered).lower()).load()
 
 
-def write_files(rows, folder: str) -> None:
-    """Rows (file, h) or (file, content): a file each in ``folder``, values in ascending order."""
+def write_files(rows, folder: str, distinct: bool = False) -> None:
+    """Rows (file, h) or (file, content): a file each in ``folder``, values in ascending order,
+    with ``distinct`` each once."""
     register(rows.sparkSession)
     first, second = rows.columns
-    dealt = rows.repartition(first).sortWithinPartitions(first, second)
+    dealt = rows.repartition(first)
+    dealt = (dealt.distinct() if distinct else dealt).sortWithinPartitions(first, second)  # equal rows have met: no second shuffle
     dealt.write.format("userbinfiles").mode("append").save(folder)

@@ -57,14 +57,18 @@ def missing(spark: SparkSession, names: list[str]) -> list[str]:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     by_folder: dict[str, list[tuple[str, str]]] = {}
     for n in names:
-        p = jvm.org.apache.hadoop.fs.Path(n)
-        parent = p.getParent()
-        by_folder.setdefault(parent.toString() if parent else ".", []).append((p.getName(), n))
+        folder, _, name = n.rpartition("/")
+        if not name or name in (".", ".."):  # what only a path can tell
+            p = jvm.org.apache.hadoop.fs.Path(n)
+            folder, name = str(p.getParent() or "."), p.getName()
+        by_folder.setdefault(folder or ("/" if n.startswith("/") else "."), []).append((name, n))
     out = []
     for folder, files in by_folder.items():
         p = jvm.org.apache.hadoop.fs.Path(folder)
         fs = p.getFileSystem(conf)
-        there = {f.getPath().getName() for f in fs.listStatus(p)} if fs.exists(p) else set()
+        found = jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(fs.listStatus(p)) if fs.exists(p) else None
+        listing = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(found).mkString("\n") if found else ""  # one call, not some for each file
+        there = {name.rsplit("/", 1)[-1] for name in listing.split("\n")}
         out += [n for name, n in files if name not in there]
     return sorted(out)
 
@@ -157,7 +161,8 @@ def precomputed(spark: SparkSession, bins: DataFrame) -> DataFrame:
     if datasource.reachable(paths):
         cwd = _working_folder(spark)
         absolute = [p if "/" in p.split(":", 1)[-1][:1] else f"{cwd}/{p}" for p in paths]
-        return _attach(spark, wanted, datasource.read_hashes(spark, absolute)).select("ub_id", "h")
+        number = spark.createDataFrame(list(enumerate(paths)), "number int, file string")
+        return datasource.read_hashes(spark, absolute, numbered=True).join(F.broadcast(wanted.join(number, "file").select("number", "ub_id")), "number").select("ub_id", "h")
 
     def parse(batches):
         for batch in batches:

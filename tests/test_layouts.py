@@ -265,6 +265,23 @@ def test_cluster_against_plain_agglomeration():
         assert at[-1] - at[0] == len(j) - 1
 
 
+@pytest.mark.parametrize("size", [3, 300, 30_000])
+def test_distances_from_bits(size):
+    """They are those of the registers, to the last digit, also of unions and of empty sets."""
+    rng = np.random.default_rng(size)
+    regs = np.zeros((20, hll.REGISTERS), np.uint8)
+    for i in range(18):
+        np.maximum.at(regs[i], rng.integers(0, hll.REGISTERS, size), np.minimum(rng.geometric(0.5, size), 30).astype(np.uint8))
+    regs[5] = regs[4]
+    alike = binning._Alike(regs)
+    alike.join(2, 4, 20)
+    alike.join(20, 18, 21)
+    all_ = np.concatenate([regs, [np.maximum(regs[2], regs[4])] * 2])
+    own = binning.cardinalities(all_)
+    for one in range(22):
+        assert alike(np.arange(22), one).tolist() == binning.distances(all_, own, all_[one], own[one]).tolist()
+
+
 def test_intervals_and_flips():
     assert binning.intervals(np.array([100, 90, 51, 49, 30, 25, 24, 10.0]), 0.5).tolist() == [0, 0, 0, 1, 1, 1, 2, 3]
     assert np.bincount(binning.intervals(np.full(600, 5.0), 0.5)).tolist() == [256, 256, 88]

@@ -16,6 +16,7 @@ from sketchloom.functions import hll, kmers, minhash, udtf
 from sketchloom.operators import joins, report, statistics
 from sketchloom.plans import entries
 from sketchloom.sources import datasource
+from sketchloom.sources import files as src
 
 
 # ------------------------------------------------------------------ joins
@@ -114,6 +115,35 @@ def test_hash_files_in_ranges(spark, tmp_path):
     assert datasource.read_hashes(spark, []).count() == 0
 
 
+def test_numbered_hash_files(spark, tmp_path):
+    """Rows carry the file's place in the list; a file of two user bins is in both, once each."""
+    for name, n in (("a", 3), ("b", 0), ("c", 40)):
+        (tmp_path / f"{name}.minimiser").write_bytes(np.arange(n, dtype="<i8").tobytes())
+    paths = [str(tmp_path / f"{n}.minimiser") for n in "cab"]
+    assert sorted(datasource.read_hashes(spark, paths, 80, numbered=True).collect()) == [(0, h) for h in range(40)] + [(1, h) for h in range(3)]
+    bins = spark.createDataFrame([(7, [paths[0]]), (8, [paths[1], paths[2]]), (9, [paths[0], paths[1]])], "ub_id long, files array<string>")
+    found = src.precomputed(spark, bins)
+    assert sorted(found.collect()) == sorted([(7, h) for h in range(40)] + [(8, h) for h in range(3)] + [(9, h) for n in (40, 3) for h in range(n)])
+    assert "regexp_replace" not in found._jdf.queryExecution().toString()
+
+
+def test_a_folder_is_listed_at_once(spark, tmp_path, monkeypatch):
+    """As many calls to the JVM for 400 files of a folder as for 4."""
+    sent = []
+    client, send = spark._jvm._gateway_client, spark._jvm._gateway_client.send_command
+    monkeypatch.setattr(client, "send_command", lambda *a, **k: sent.append(1) or send(*a, **k))
+    for n in (4, 400):
+        folder = tmp_path / f"of {n}"
+        folder.mkdir()
+        names = [str(folder / f"{i}, {i}.minimiser") for i in range(n)]
+        for name in names:
+            open(name, "w").close()
+        sent.clear()
+        lost = [f"{folder}/none", f"file:{folder}/0", str(tmp_path / "nowhere" / "x")]
+        assert src.missing(spark, [*names, f"file:{names[0]}", *lost]) == sorted(lost)
+        assert len(sent) < 100
+
+
 def test_many_small_ranges(tmp_path):
     """Ranges of 80 bytes of forty files: a bounded number of partitions, every value once, in order."""
     for i in range(40):
@@ -148,6 +178,8 @@ def test_written_files(spark, tmp_path):
     for n, h in rows:
         want.setdefault(n, []).append(h)
     assert got == {n: sorted(v) for n, v in want.items()}
+    datasource.write_files(spark.createDataFrame([("one", h % 10) for h in range(99)] + [("two", 3)], "file string, h long").repartition(7), str(tmp_path / "sets"), distinct=True)
+    assert [np.fromfile(tmp_path / "sets" / n, "<i8").tolist() for n in ("one", "two")] == [list(range(10)), [3]]
     blobs = [(f"{i}.hll", bytes([i]) * i) for i in range(1, 9)]
     datasource.write_files(spark.createDataFrame(blobs, "file string, content binary"), f"file:{tmp_path}/blobs")
     assert {n: (tmp_path / "blobs" / n).read_bytes() for n in os.listdir(tmp_path / "blobs")} == dict(blobs)
